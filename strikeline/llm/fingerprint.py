@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.llm.vectors import SPACE, U, mix, prefix_hash, short_batches, span_hash, utf8, word_spans
 
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
             buf, off = utf8(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.tobytes().hex() for s in signatures(buf, off, samples)], pa.string())], names=[*batch.schema.names, "fingerprint"])
 
-    return own.mapInArrow(run, own.schema.add("fingerprint", "string"))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields]).add("fingerprint", "string"))
 
 
 def _buckets(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:

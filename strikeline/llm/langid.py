@@ -135,7 +135,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(table)
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_shares")]
     own = docs.select(*[docs[f"`{f.name}`"] for f in fields])
-    schema = own.schema.add("lang_pred", "string").add("score", "double").add("lang_shares", T.MapType(T.StringType(), T.DoubleType()))
+    schema = T.StructType([*own.schema.fields]).add("lang_pred", "string").add("score", "double").add("lang_shares", T.MapType(T.StringType(), T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log_p = shared.value

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.llm.vectors import SPACE, chunks, short_batches, utf8, word_spans
 
@@ -169,7 +170,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             s = np.full(len(batch), 0.5) if shared.value is None else shared.value.forward(x, first)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(float)), pa.array(np.bincount(of, minlength=len(batch)).astype(np.int64))], names=[*batch.schema.names, "score", "n_passages"])
 
-    return own.mapInArrow(run, own.schema.add("score", "double").add("n_passages", "long"))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields]).add("score", "double").add("n_passages", "long"))
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
