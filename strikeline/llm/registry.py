@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, langid, quality
+from strikeline.llm import chat, decontaminate, fingerprint, html, langid, quality
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 
 ORACLE_SQL = {"op7_chat_formatting": chat.OP7_SQL}
