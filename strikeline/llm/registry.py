@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, html, langid, quality
+from strikeline.llm import chat, decontaminate, fingerprint, html, langid, quality, suffixes
 
 QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
