@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, html, langid, quality, suffixes
+from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, quality, suffixes
 
 QUERIES = {
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,

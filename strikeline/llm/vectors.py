@@ -110,9 +110,9 @@ def shingles(words: np.ndarray, row: np.ndarray, n_rows: int, k: int = 5) -> tup
     few = np.flatnonzero((count > 0) & (count < k))
     if len(few):
         own = np.zeros(len(few), U)
-        for i, r in enumerate(few):
-            for w in words[first[r] : first[r] + count[r]]:
-                own[i] = own[i] * c + w
+        for j in range(k):
+            more = count[few] > j
+            own[more] = own[more] * c + words[first[few[more]] + j]
         out, rows = np.concatenate([out, mix(own + U(1))]), np.concatenate([rows, few])
         order = np.argsort(rows, kind="stable")
         out, rows = out[order], rows[order]
