@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, quality, suffixes
+from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, lm_scoring, quality, suffixes
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_language_id": langid.op3_language_id,
     "op4_quality_classifier": quality.op4_quality_classifier,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_html_extraction": html.op10_html_extraction,
 }
 
-ORACLE_SQL = {"op7_chat_formatting": chat.OP7_SQL}
+ORACLE_SQL = {"op1_lm_scoring": lm_scoring.OP1_SQL, "op7_chat_formatting": chat.OP7_SQL}
