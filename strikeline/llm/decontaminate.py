@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.llm.vectors import LOWER, WORD, U, chunks, prefix_hash, ragged, span_hash, short_batches, utf8, word_spans
 
@@ -190,29 +191,37 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str,
     return [[(r.i, r.t) for r in own.where(part == k).collect() if r.i is not None] for k in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Hits of benchmark windows in documents.
 
-    Returns per row of docs: doc_id, text, n_words, n_hit, items (array<string>, sorted), spans (array<struct<first,last>>: merged hit
-    runs, in bytes of the text). A window is `window` consecutive words of an item; an item of fewer words is one window. Null or empty
-    texts have no words, an empty benchmark or one of null texts hits nothing, items of null id are skipped, repeated rows are each answered, and
-    other columns of either table are ignored.
+    Returns all columns of docs and n_words, n_hit, items (array<string>, sorted), spans (array<struct<first,last>>: merged hit runs, in bytes of
+    the text). A window is `window` consecutive words of an item; an item of fewer words is one window. Null or empty texts have no words,
+    an empty benchmark or one of null texts hits nothing, items of null id are skipped, repeated rows are each answered, other columns of docs pass
+    unchanged (those of the four names are replaced).
     """
     short_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
-    out = None
-    for block in _blocks(benchmark, item_col, "text"):
+    added = ("n_words", "n_hit", "items", "spans")
+    out = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
+    schema = T.StructType([*out.schema.fields]).add("n_words", "long").add("n_hit", "long")
+    schema = schema.add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))
+    for k, block in enumerate(_blocks(benchmark, item_col, "text")):
         windows = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
-                buf, off = utf8(batch.column("text"))
+        def run(batches: Iterator[pa.RecordBatch], windows=windows, again=k > 0) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, text_col):
+                buf, off = utf8(batch.column(text_col))
                 start, end, row, hit, pairs = _search(windows.value, buf, off)
                 n = len(batch)
-                items: list[set[str]] = [set() for _ in range(n)]
+                items: list[set[str]] = [set(x) for x in batch.column("items").to_pylist()] if again else [set() for _ in range(n)]
                 for r, i in pairs:
                     items[r].add(windows.value.names[i])
+                if again:
+                    for r, found in enumerate(batch.column("spans").to_pylist()):
+                        for x in found:
+                            hit[np.searchsorted(start, off[r] + x["first"]) : np.searchsorted(start, off[r] + x["last"])] = True
                 begins, ends = hit.copy(), hit.copy()
                 if len(hit):
                     begins[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
@@ -220,20 +229,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 for a, b in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
                     spans[row[a]].append({"first": int(start[a] - off[row[a]]), "last": int(end[b] - off[row[a]])})
+                kept = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c not in added]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
-                        batch.column("text").cast(pa.string()),
-                        pa.array(np.bincount(row, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(row[hit], minlength=n).astype(np.int64)),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                        *(x for _, x in kept), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row[hit], minlength=n).astype(np.int64)),
+                        pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, SPANS),
                     ],
-                    names=["doc_id", "text", "n_words", "n_hit", "items", "spans"],
-                )
+                    names=[*(c for c, _ in kept), *added],
+                )
 
-        found = own.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        out = out.mapInArrow(run, schema)
     return out
 
 
@@ -262,7 +267,7 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every document of the table against every benchmark item."""
-    return digest(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return digest(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, lm_scoring, quality, suffixes
+from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, lm_scoring, pieces, quality, suffixes
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_sentencepiece_sampling": pieces.op9_sentencepiece_sampling,
     "op10_html_extraction": html.op10_html_extraction,
 }
 

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.llm.vectors import U, chunks, groups, prefix_hash, ragged, short_batches, span_hash, utf8
 
@@ -214,15 +215,20 @@ def repeated_windows(own: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removal of each byte that a string of `length` bytes covers which also starts anywhere else in the table, the same document included.
 
-    Returns per row of docs: doc_id, text (null counts as empty), n_bytes, n_removed, n_spans, kept (binary), kept_sha256. Strings are judged on the
-    input, so of equal texts of `length` bytes or more nothing is left in either. Shorter texts keep all; repeated rows and ids, null ids and ties are
-    each answered; an empty table gives no rows; other columns are ignored.
+    Returns per row of docs: row (a struct of its other columns), text (null counts as empty), n_bytes, n_removed, n_spans, kept_text (without
+    characters of which a part was removed) and kept_sha256 (of the kept bytes). Strings are judged on the input, so of equal texts of `length` bytes
+    or more nothing is left in either. Shorter texts keep all; repeated rows and ids, null ids and ties are each answered; an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.hash(text).alias("k2"), text.alias("text"))
+    own = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.hash(text).alias("k2"), text.alias("text")
+    )
     found = repeated_windows(own, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("p1", "p2")).alias("ranges"))
-    joined = own.join(found, ["k1", "k2"], "left").select("doc_id", "text", "ranges")
+    joined = own.join(found, ["k1", "k2"], "left").select("row", "text", "ranges")
+    schema = T.StructType([own.schema["row"], own.schema["text"]])
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_text", "string"), ("kept_sha256", "string")):
+        schema = schema.add(name, kind)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,34 +236,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             for t, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data = t.encode()
                 if not ranges:
-                    rows.append((len(data), 0, 0, data))
+                    rows.append((len(data), 0, 0, t, hashlib.sha256(data).hexdigest()))
                     continue
                 delta = np.zeros(len(data) + 1, np.int32)
                 np.add.at(delta, [r["p1"] for r in ranges], 1)
                 np.add.at(delta, [r["p2"] + length for r in ranges], -1)
                 gone = np.cumsum(delta)[:-1] > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
-            n, removed, spans, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("text").cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                    pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                ],
-                names=["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-            )
-
-    return joined.mapInArrow(cut, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                # a character is kept if its first byte is, and all that follow in it
+                at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+                whole = np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(data))))
+                rows.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~whole].tobytes().decode(), hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
-def kept_text(kept: Column) -> Column:
-    """The kept bytes as text; characters of which a part was removed are left out."""
-    return F.replace(F.decode(kept, "UTF-8"), F.lit("�"), F.lit(""))
+    return joined.mapInArrow(cut, schema)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that repeat anywhere in all documents."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def brute_force(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple]:
