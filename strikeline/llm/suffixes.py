@@ -70,7 +70,8 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int):
 
 
 def _tuples(length: int):
-    """mapInArrow: (k1, k2, text) to run tuples. Positions are relative to the text."""
+    """mapInArrow: (k1, k2, text) to run tuples. place: the first window start in the text, 12 bits of how many more follow, 12 bits of the
+    mark's distance from the first."""
     k = _gram(length)
     half = length // 2 - k // 2
 
@@ -84,14 +85,13 @@ def _tuples(length: int):
             to_left, to_right = a - p1 >= half, a - p2 < half
             left = span_hash(s, np.where(to_left, a - half, a), a + k).view(np.int64)
             right = span_hash(s, a, np.where(to_right, a + length - half + 1, a + k)).view(np.int64)
-            base = off[row]
+            place = ((p1 - off[row]) << 24) | ((p2 - p1) << 12) | (a - p1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k1").take(pa.array(row)), batch.column("k2").take(pa.array(row)), pa.array(name),
-                    pa.array(left, mask=~to_left), pa.array(right, mask=~to_right),
-                    *(pa.array((x - base).astype(np.int32)) for x in (a, p1, p2)),
+                    pa.array(left, mask=~to_left), pa.array(right, mask=~to_right), pa.array(place),
                 ],
-                names=["k1", "k2", "name", "l", "r", "a", "p1", "p2"],
+                names=["k1", "k2", "name", "l", "r", "place"],
             )
 
     return run
@@ -184,25 +184,31 @@ def repeated_windows(own: DataFrame, length: int) -> DataFrame:
     """(k1, k2, p1, p2): ranges of starts of repeated windows. own: (k1, k2, text), where a row is known by (k1, k2) but for equal texts."""
     k = _gram(length)
     half = length // 2 - k // 2
-    tuples = own.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_tuples(length), "k1 long, k2 int, name long, l long, r long, a int, p1 int, p2 int")
-    key = ["name", "l", "r"]
-    names = tuples.groupBy(*key).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "a", "p1", "p2")))
-    many = names.where("n > 1").select(*(F.col(c).alias(f"_{c}") for c in key))
-    same = [tuples[c].eqNullSafe(many[f"_{c}"]) for c in key]
-    resolved = tuples.join(many, same[0] & same[1] & same[2], "left_semi").select("k1", "k2", "p1", "p2")
-
-    edge = F.col("a") - F.lit(half)  # the last window start of the left windows
+    tuples = own.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_tuples(length), "k1 long, k2 int, name long, l long, r long, place long")
+    names = tuples.groupBy("name", "l", "r").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "place")))
+    # always true; with the columns that `sides` reads, both are made of one shuffle
+    many = names.where("n > 1 and k1 is not null and k2 is not null and place is not null").select(F.col("name").alias("_name"), F.hash("l", "r").alias("_sides"))
+    first, last = F.shiftright("place", 24), F.shiftright("place", 24) + F.shiftright("place", 12).bitwiseAND(4095)
+    resolved = (
+        tuples.select("k1", "k2", "place", "name", F.hash("l", "r").alias("sides"))
+        .join(many, (F.col("name") == F.col("_name")) & (F.col("sides") == F.col("_sides")), "left_semi")
+        .select("k1", "k2", first.cast("int").alias("p1"), last.cast("int").alias("p2"))
+    )
+
+    edge = (first + F.col("place").bitwiseAND(4095) - half).cast("int")  # the last window start of the left windows
+    p1, p2 = first.cast("int"), last.cast("int")
     sides = names.select(
         "k1", "k2", (F.col("n") == 1).alias("once"),
         F.explode(F.array(
-            F.struct(F.col("l").alias("prefix"), F.col("p1").alias("p1"), F.least("p2", edge).alias("p2")),
-            F.struct(F.col("r").alias("prefix"), F.greatest("p1", edge + 1).alias("p1"), F.col("p2").alias("p2")),
+            F.struct(F.col("l").alias("prefix"), p1.alias("p1"), F.least(p2, edge).alias("p2")),
+            F.struct(F.col("r").alias("prefix"), F.greatest(p1, edge + 1).alias("p1"), p2.alias("p2")),
         )).alias("s"),
     ).select("k1", "k2", "once", "s.prefix", "s.p1", "s.p2").where(F.col("prefix").isNotNull())
     shared = sides.groupBy("prefix").agg(F.count("*").alias("m"), F.bool_or("once").alias("open")).where("m > 1 and open")
     unresolved = sides.join(shared, "prefix").select("k1", "k2", F.struct("prefix", "once", "p1", "p2", (F.col("m") > IN_MEMORY).alias("large")).alias("run"))
     by_text = unresolved.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    with_text = own.join(by_text, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "runs")
+    # a row that repeats an id and text has no run that occurs once, and a second copy of its other runs changes nothing
+    with_text = own.join(by_text, ["k1", "k2"])
 
     parts = with_text.mapInArrow(_covered(length, True), "prefix long, once boolean, k1 long, k2 int, p1 int, bytes binary")
     induced = parts.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_induce(length), "k1 long, k2 int, p1 int, p2 int")
