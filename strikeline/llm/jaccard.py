@@ -5,9 +5,8 @@ PER_RUN of its elements by a hash that all sets share; sets that choose one elem
 again by the next level's chosen elements, LEVELS times at most; small buckets, and what is left after the last level, are compared. Runs repeat until
 the chance that a pair of the least similarity misses in all of them is below 1 - RECALL; a run costs only further chosen elements, so all are made at once.
 
-Within buckets, pairs are first compared by sketches of minimum hashes; members that a sketch links form candidate groups, groups of equal members
-are kept once, and the sets of the rest are compared exactly. A pair counts in the least of the groups that hold both, so it counts once. Only counts
-of links and a spanning tree leave a group, never its pairs.
+Within buckets, pairs are first compared by sketches of minimum hashes. The connected parts of what sketches link are groups; the sets of a
+group are compared exactly, in blocks of BLOCK times BLOCK members. Only counts of links and a spanning tree leave a block, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,11 +23,11 @@ from strikeline.llm.vectors import LOWER, U, chunks, groups, mix, prefix_hash, s
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 PER_RUN, LEVELS, SMALL = 2.0, 3, 128
-SKETCH = 64
+SKETCH = 128
 #: Members of one side of a block of pairs.
 BLOCK = 512
-#: A sketch of SKETCH bytes links a pair whose estimate is at least this: five standard deviations below SIMILARITY.
-SKETCH_LEAST = 0.55
+#: A sketch of SKETCH bytes links a pair whose estimate is this far below the similarity: over four standard deviations.
+SKETCH_SLACK = 0.16
 
 
 def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, per_run: float = PER_RUN) -> int:
@@ -122,8 +121,9 @@ def _pairs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _sketched():
-    """mapInArrow over members sorted by bucket: (grp, key) of members that sketches link within a bucket."""
+def _sketched(similarity: float):
+    """mapInArrow over members sorted by bucket: (s1, t1), each member that sketches link within a bucket and the least linked one."""
+    least = (similarity - SKETCH_SLACK) * SKETCH
 
     def flush(tables: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(tables).combine_chunks()
@@ -139,18 +139,17 @@ def _sketched():
                 same = np.zeros((len(own), at + n - x), np.int32)
                 for j in range(SKETCH):
                     same += own[:, j, None] == sketch[None, x : at + n, j]
-                u, v = np.nonzero(same >= SKETCH_LEAST * SKETCH)
+                u, v = np.nonzero(same >= least)
                 a.append(u[u < v] + x)
                 b.append(v[u < v] + x)
-                # links within these rows are known; a part needs one link to each other member only
         few = np.where(count > BLOCK, 0, count)
         i, j = _pairs(few)
         rows = np.flatnonzero(np.repeat(count <= BLOCK, count))
         for x in range(0, len(i), 1 << 18):
             u, v = rows[i[x : x + (1 << 18)]], rows[j[x : x + (1 << 18)]]
-            near = np.minimum(size[u], size[v]) >= (SIMILARITY - 1e-9) * np.maximum(size[u], size[v])
+            near = np.minimum(size[u], size[v]) >= (similarity - 1e-9) * np.maximum(size[u], size[v])
             u, v = u[near], v[near]
-            linked = (sketch[u] == sketch[v]).sum(1) >= SKETCH_LEAST * SKETCH
+            linked = (sketch[u] == sketch[v]).sum(1) >= least
             a.append(u[linked])
             b.append(v[linked])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -158,8 +157,9 @@ def _sketched():
         kept = np.flatnonzero(np.bincount(label, minlength=len(bucket))[label] > 1)
         if not len(kept):
             return None
-        grp = mix(bucket[kept].view(U) + mix(t.column("s1").to_numpy()[label[kept]].view(U)))
-        return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), t.column("s1").combine_chunks().take(pa.array(kept)), t.column("s2").combine_chunks().take(pa.array(kept))], names=["grp", "s1", "s2"])
+        kept = kept[label[kept] != kept]
+        s1 = t.column("s1").combine_chunks()
+        return pa.RecordBatch.from_arrays([s1.take(pa.array(kept)), s1.take(pa.array(label[kept]))], names=["s1", "t1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -197,26 +197,19 @@ def _intersections(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndar
 
 
 def _verified(similarity: float):
-    """mapInArrow over members of blocks of groups, sorted by block: (s1, s2, links, t1, t2); links is a weight sum, (t1, t2) a linked member."""
+    """mapInArrow over members of blocks of groups, sorted by block: (s1, s2, links, t1); links is a weight sum, t1 the least linked member."""
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
-        grp, side = t.column("grp")[0].as_py(), t.column("side").to_numpy()
+        side = t.column("side").to_numpy()
         sets = [np.frombuffer(x, U) for x in t.column("elements").to_pylist()]
-        weight, own = t.column("weight").to_numpy(), t.column("groups").to_pylist()
+        weight = t.column("weight").to_numpy()
         one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block of one part against itself
+        if not len(one) or not len(two):
+            return None
         size = np.array([len(x) for x in sets])
         inter = _intersections([sets[i] for i in one], [sets[j] for j in two])
         ok = inter >= similarity * (size[one][:, None] + size[two][None, :] - inter) - 1e-6
         ok &= one[:, None] != two[None, :]
-        earlier = sorted({g for x in own for g in x if g < grp})
-        if earlier:
-            at = {g: k for k, g in enumerate(earlier)}
-            member = np.zeros((len(sets), len(earlier)), np.float32)
-            for i, x in enumerate(own):
-                for g in x:
-                    if g < grp:
-                        member[i, at[g]] = 1
-            ok &= (member[one] @ member[two].T) == 0
         links = np.zeros(len(sets), np.int64)
         links[one] += (ok * weight[two][None, :]).sum(1).astype(np.int64)
         if len(side) and side[0] != 2:
@@ -228,7 +221,7 @@ def _verified(similarity: float):
             return None
         s1, s2 = t.column("s1").combine_chunks(), t.column("s2").combine_chunks()
         take, to = pa.array(kept), pa.array(label[kept])
-        return pa.RecordBatch.from_arrays([s1.take(take), s2.take(take), pa.array(links[kept]), s1.take(to), s2.take(to)], names=["s1", "s2", "links", "t1", "t2"])
+        return pa.RecordBatch.from_arrays([s1.take(take), s2.take(take), pa.array(links[kept]), s1.take(to)], names=["s1", "s2", "links", "t1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "block"):
@@ -238,6 +231,11 @@ def _verified(similarity: float):
     return run
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """components of (s1, t1) pairs that stand once each."""
+    return components(edges.unionByName(edges.select(F.col("t1").alias("s1"), F.col("s1").alias("t1"))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(s1, c1): c1 is the least s1 of each connected part. edges: (s1, t1) in both directions.
 
@@ -289,31 +287,25 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
             large = sizes.where(F.col("m") > SMALL).groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
             rows = rows.join(large, "bucket").join(sets.select("s1", "s2", "paths"), ["s1", "s2"]).select("s1", "s2", F.explode(F.transform(F.array_distinct(F.col("paths")[level + 1]), lambda x: F.xxhash64("bucket", x))).alias("bucket"))
     members = buckets.join(sets.select("s1", "s2", "size", "sketch"), ["s1", "s2"])
-    linked = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(), "grp long, s1 long, s2 long")
-    linked = shared_checkpoint(linked)
-    kept = linked.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).groupBy("m", "who").agg(F.min("grp").alias("grp"))
-    groups_of = linked.join(kept.select("grp", "m"), "grp")
-    lists = groups_of.groupBy("s1", "s2").agg(F.collect_list(F.struct("grp", "m")).alias("gs"))
+    stars = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(similarity), "s1 long, t1 long").distinct()
+    group_of = both_ways(stars)
+    group_size = group_of.groupBy("c1").agg(F.count("*").alias("m"))
 
     # elements of the linked sets, from the text of one document of each
-    wanted = sets.select("s1", "s2", "weight", "least").join(lists, ["s1", "s2"])
+    wanted = sets.select("s1", "s2", "weight", "least").join(group_of.join(group_size, "c1"), "s1")
     texts = ids.select("doc_id", "s1", "s2").where("s1 is not null").join(wanted.select("s1", "s2", "least"), ["s1", "s2"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["s1", "s2"])
     with_text = own.join(texts.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "s1", "s2"), F.coalesce(own["doc_id"], F.lit(-1)) == F.col("d")).select("s1", "s2", "text")
     elements = _checked(with_text, words)
-    whole = wanted.join(elements, ["s1", "s2"])
-    parts = whole.select("s1", "s2", "weight", "elements", F.col("gs.grp").alias("groups"), F.explode("gs").alias("g")).select("*", "g.grp", F.ceil(F.col("g.m") / BLOCK).cast("int").alias("k"))
-    part = F.pmod(F.xxhash64("s1", "s2", "grp"), F.col("k")).cast("int")
-    dealt = parts.withColumn("p", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    lo, hi = F.least("p", "other"), F.greatest("p", "other")
+    whole = wanted.join(elements, ["s1", "s2"]).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = whole.withColumn("p", F.pmod(F.xxhash64("s1", "s2"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = dealt.select(
-        "grp", "s1", "s2", "weight", "elements", "groups", F.xxhash64("grp", lo, hi).alias("block"),
+        "s1", "s2", "weight", "elements", F.xxhash64("c1", F.least("p", "other"), F.greatest("p", "other")).alias("block"),
         F.when(F.col("p") == F.col("other"), 2).when(F.col("p") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_verified(similarity), "s1 long, s2 long, links long, t1 long, t2 long")
+    counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_verified(similarity), "s1 long, s2 long, links long, t1 long")
     counted = shared_checkpoint(counted)
     links = counted.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
-    one_way = counted.where("s1 != t1 or s2 != t2").select("s1", "s2", "t1", "t2")
-    label = components(one_way.unionByName(one_way.select(F.col("t1").alias("s1"), F.col("t2").alias("s2"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))).select("s1", "t1").distinct())
+    label = both_ways(counted.where("s1 != t1").select("s1", "t1").distinct())
     classes = sets.select("s1", "s2", "weight", "least").join(links, ["s1", "s2"], "left").join(label, "s1", "left").withColumn("c1", F.coalesce("c1", "s1"))
     heads = classes.groupBy("c1").agg(F.min("least").alias("class_id"))
     per_set = classes.join(heads, "c1").select("s1", "s2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
