@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from strikeline.llm.vectors import LOWER, U, mix, prefix_hash, span_hash, utf8, word_spans
 
 MU, NU = 20.0, 1000.0
-CHUNK_TEXT, BUCKET_TEXT = 12 << 20, 12 << 20
+CHUNK_TEXT, BUCKET_TEXT = 6 << 20, 6 << 20
 TOTAL, START = U(1), U(2)
 
 
@@ -61,6 +61,32 @@ def _by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, found, begin
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """48 bits of each key. Within a bucket of some million keys two of them agree with a chance below one in ten million."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count; from 255 on it is among the 64-bit numbers at the end."""
+    large = counts >= 255
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes() + int(large.sum()).to_bytes(8, "little")
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    n_large = int.from_bytes(data[-8:], "little")
+    n = len(data) - 8 - 8 * n_large
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    if n_large:
+        out[out == 255] = np.frombuffer(data, "<i8", n_large, n)
+    return out
+
+
 def domain_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents against the model of the documents whose id is in `targets`.
 
@@ -81,18 +107,18 @@ def domain_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
         keys, bg, tg, *_ = _chunk_keys(rows.column("text"), target)
         order, found, begin = _by_bucket(keys, n_buckets)
         ends = np.append(begin[1:], len(order))
-        cut = lambda x, t: [x[order[a:b]].astype(t).tobytes() for a, b in zip(begin, ends, strict=True)]
+        cut = lambda x, pack: pa.array([pack(x[order[a:b]]) for a, b in zip(begin, ends, strict=True)], pa.binary())
         return pa.table(
-            {"chunk": pa.array([chunk] * len(found), pa.int32()), "bucket": pa.array(found.astype(np.int32)), "ks": pa.array(cut(keys, U), pa.binary()), "bg": pa.array(cut(bg, np.int32), pa.binary()), "tg": pa.array(cut(tg, np.int32), pa.binary())}
+            {"chunk": pa.array([chunk] * len(found), pa.int32()), "bucket": pa.array(found.astype(np.int32)), "ks": cut(keys, _pack_keys), "bg": cut(bg, _pack_counts), "tg": cut(tg, _pack_counts)}
         )
 
     def add(table: pa.Table) -> pa.Table:
-        ks = [np.frombuffer(x, U) for x in table.column("ks").to_pylist()]
+        ks = [_unpack_keys(x.as_py()) for x in table.column("ks")]
         _, at = np.unique(np.concatenate(ks), return_inverse=True)
         out, ends = {}, np.cumsum([len(x) for x in ks])[:-1]
         for c in ("bg", "tg"):
-            sums = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()]))
-            out[c] = [x.astype(np.int64).tobytes() for x in np.split(sums[at], ends)]
+            sums = np.bincount(at, weights=np.concatenate([_unpack_counts(x.as_py()) for x in table.column(c)])).astype(np.int64)
+            out[c] = [_pack_counts(x) for x in np.split(sums[at], ends)]
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bg": pa.array(out["bg"], pa.binary()), "tg": pa.array(out["tg"], pa.binary())})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -102,7 +128,7 @@ def domain_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
         answers = {b: (x, y) for b, x, y in zip(*(right.column(c).to_pylist() for c in ("bucket", "bg", "tg")), strict=True)}
         b, t = (np.empty(len(keys)) for _ in range(2))
         for x, k in ((b, 0), (t, 1)):
-            x[order] = np.concatenate([np.frombuffer(answers[f][k], np.int64) for f in found.tolist()])
+            x[order] = np.concatenate([_unpack_counts(answers[f][k]) for f in found.tolist()])
         n_b, n_t = b[-1], t[-1]
         p_b = b[word] / max(n_b, 1)
         p_t = (t[word] + NU * p_b) / (n_t + NU)
