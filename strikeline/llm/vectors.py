@@ -124,8 +124,7 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     if not total:
         return np.zeros(0, np.int64)
-    ends = np.cumsum(counts)
-    return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+    return np.arange(total) + np.repeat(starts - np.cumsum(counts) + counts, counts)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
