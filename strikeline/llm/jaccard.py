@@ -23,7 +23,9 @@ from strikeline.llm.vectors import LOWER, U, chunks, groups, mix, prefix_hash, s
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 PER_RUN, LEVELS, SMALL = 2.0, 3, 128
-SKETCH = 128
+#: Large buckets that a set follows to the next level, those of the least hash: similar sets share most of theirs.
+FOLLOWED = 3
+SKETCH, PART = 128, 1024
 #: Members of one side of a block of pairs.
 BLOCK = 512
 #: A sketch of SKETCH bytes links a pair whose estimate is this far below the similarity: over four standard deviations.
@@ -158,6 +160,9 @@ def _sketched(similarity: float):
         if not len(kept):
             return None
         kept = kept[label[kept] != kept]
+        names = t.column("s1").to_numpy()
+        _, once = np.unique(mix(names[kept].view(U)) + names[label[kept]].view(U), return_index=True)
+        kept = kept[np.sort(once)]
         s1 = t.column("s1").combine_chunks()
         return pa.RecordBatch.from_arrays([s1.take(pa.array(kept)), s1.take(pa.array(label[kept]))], names=["s1", "t1"])
 
@@ -278,15 +283,22 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     rows = sets.select("s1", "s2", F.explode(F.array_distinct(F.col("paths")[0])).alias("bucket"))
     for level in range(LEVELS):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("m > 1")
-        last = level == LEVELS - 1
         # buckets of the same members need one comparison only
-        small = (sizes if last else sizes.where(F.col("m") <= SMALL)).groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-        found = rows.join(small, "bucket")
-        buckets = found if buckets is None else buckets.unionByName(found)
+        once = sizes.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+        last = level == LEVELS - 1
+        found = rows.join(once, "bucket")
+        small = found if last else found.where(F.col("m") <= SMALL)
+        buckets = small if buckets is None else buckets.unionByName(small)
         if not last:
-            large = sizes.where(F.col("m") > SMALL).groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-            rows = rows.join(large, "bucket").join(sets.select("s1", "s2", "paths"), ["s1", "s2"]).select("s1", "s2", F.explode(F.transform(F.array_distinct(F.col("paths")[level + 1]), lambda x: F.xxhash64("bucket", x))).alias("bucket"))
-    members = buckets.join(sets.select("s1", "s2", "size", "sketch"), ["s1", "s2"])
+            least = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(level)).alias("h"), "bucket"))), 1, FOLLOWED)
+            large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(least.alias("b"))
+            pairs = large.join(sets.select("s1", "s2", F.array_distinct(F.col("paths")[level + 1]).alias("next")), ["s1", "s2"])
+            rows = pairs.select("s1", "s2", F.explode(F.flatten(F.transform("b", lambda b: F.transform("next", lambda x: F.xxhash64(b["bucket"], x))))).alias("bucket"))
+    # what is still large after the last level is compared in blocks of two parts
+    k = F.when(F.col("m") > 2 * PART, F.ceil(F.col("m") / PART)).otherwise(1).cast("int")
+    split = buckets.withColumns({"k": k, "p": F.pmod(F.xxhash64("s1", "s2", "bucket"), k).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = split.select("s1", "s2", F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other"))).alias("bucket"))
+    members = dealt.join(sets.select("s1", "s2", "size", "sketch"), ["s1", "s2"])
     stars = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(similarity), "s1 long, t1 long").distinct()
     group_of = both_ways(stars)
     group_size = group_of.groupBy("c1").agg(F.count("*").alias("m"))
