@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
 
 
-def enrich_rows(chain: DataFrame, params: Params) -> DataFrame:
-    """All columns that depend on their own row alone; no shuffle."""
+GREEKS = "delta probability_itm gamma vega theta delta_abs delta_safety_pct delta_itm_proxy has_valid_greeks".split()
+SCORES = "quote_quality_score option_score score_validation score_adjustment final_score".split()
+
+
+def settle(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows; a later filter on these columns reads their values and is not rewritten in terms of what they were made of.
+
+    Catalyst moves filters below projections by putting each column's expression in its place. Scores are built on Greeks in many
+    layers, and that expression would grow without bound. Filters on all other columns still reach the scan.
+    """
+    return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
+
+
+def enrich_rows(chain: DataFrame, params: Params, settled: bool = True) -> DataFrame:
+    """All columns that depend on their own row alone; no shuffle. Without settling, columns that nobody reads are not computed."""
+    mark = settle if settled else (lambda df, _: df)
     out = pricing.with_premium(pricing.with_moneyness(quotes.with_quote_quality(chain)))
-    out = pricing.with_theta_capital(greeks.with_greeks(pricing.with_margin(out), params))
-    out = screens.with_tiers(screens.with_freshness(out, params))
+    out = mark(greeks.with_greeks(pricing.with_margin(out), params), GREEKS)
+    out = screens.with_tiers(screens.with_freshness(pricing.with_theta_capital(out), params))
     out = screens.with_quality_score(screens.with_screen(screens.with_risk(out), params))
-    return screens.with_event_risk(screens.with_option_score(out, params))
+    return mark(screens.with_option_score(screens.with_event_risk(out), params), SCORES)
 
 
 def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:

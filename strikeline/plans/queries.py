@@ -55,7 +55,7 @@ def query(name: str, sql: str | None):
 def row_query(name: str, columns: str) -> None:
     """A query of some columns of the enriched chain; Catalyst prunes the rest."""
     columns = f"contract_symbol {columns}"
-    QUERIES[name] = lambda spark, sf: shown(enrich.enrich_rows(tables.chain(spark, sf), PARAMS), columns)
+    QUERIES[name] = lambda spark, sf: shown(enrich.enrich_rows(tables.chain(spark, sf), PARAMS, settled=False), columns)
     ORACLE[name] = oracle.pick(columns, "enriched")
 
 
