@@ -5,6 +5,8 @@ from __future__ import annotations
 from strikeline.functions.mathx import P, Q, ROOT_TWO_PI
 from strikeline.schema import BOOLEANS, COLUMNS, DATES, INTEGERS, STRINGS, TIMESTAMPS
 
+#: Added before rounding to six places: decimal fractions that end in 5 then round alike in both engines.
+NUDGE = 1e-10
 TODAY, NOW = "DATE '2002-01-02'", "TIMESTAMP '2002-01-02 21:00:00'"
 
 
@@ -201,4 +203,19 @@ def pick(columns: str, source: str, cte: str = ROWS) -> str:
     return f"WITH {cte.lstrip(', ')} SELECT {', '.join(shown(c) for c in columns.split())} FROM {source}"
 
 
+def nudged(sql: str) -> str:
+    """The same SQL with NUDGE inside every round(..., 6)."""
+    out, at = [], 0
+    while (found := sql.find("round(", at)) >= 0:
+        depth, end = 1, found + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = nudged(sql[found + len("round(") : end - 1])
+        value, _, places = inner.rpartition(", ")
+        out.append(sql[at:found] + (f"round(({value}) + 1e-10, 6)" if places == "6" else f"round({inner})"))
+        at = end
+    return "".join(out) + sql[at:]
+
+
 CANONICAL = list(COLUMNS)
