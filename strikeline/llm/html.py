@@ -2,7 +2,8 @@
 
 A page is cut into tokens: tags (name, closing or not, with class or id words that name furniture), and words. Words score positive and tags
 negative; every kind's weight is its log-odds of standing inside rather than outside the content of labelled pages. A linear scan finds the
-contiguous run of the largest sum. Furniture inside the run (scripts, forms, navigation, asides, comment lists, ...) is left out of its text.
+contiguous run of the largest sum. An element of furniture (forms, navigation, asides, comment lists, ...) counts once, as one negative token, and
+is left out of the text of a run that spans it.
 
 A page labels itself where it has exactly one <article> (or, lacking that, one <main>) element; the weights are counted over all such pages.
 """
@@ -41,7 +42,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An open <p> ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
-BR, TEXT, TAG = 0, 1, 2
+TEXT, TAG = 1, 2
+#: Kinds of a whole element of furniture, which counts once, and of the tags in it, which do not count.
+FURNITURE, NESTED = "furniture", ""
 
 
 def tokenize(page: str) -> Iterator[tuple]:
@@ -83,7 +86,7 @@ def _tokens(page: str) -> list[tuple]:
                         depth -= 1
                     if top == name + "!":
                         break
-            out.append((TAG, kind, name, inside, "article" in stack, "main" in stack))
+            out.append((TAG, NESTED if inside else kind, name, inside, "article" in stack, "main" in stack))
             continue
         if name in ENDS_P and "p" in stack and stack[-1] == "p":
             stack.pop()
@@ -91,7 +94,7 @@ def _tokens(page: str) -> list[tuple]:
         # headings of the article itself stay: a <header> within <article> is content
         if name == "header" and "article" in stack and not depth:
             furniture = False
-        out.append((TAG, kind, name, depth > 0 or furniture, "article" in stack, "main" in stack))
+        out.append((TAG, NESTED if depth else FURNITURE if furniture else kind, name, depth > 0 or furniture, "article" in stack, "main" in stack))
         if name not in VOID:
             stack.append(name + "!" if furniture else name)
             depth += furniture
@@ -101,19 +104,19 @@ def _tokens(page: str) -> list[tuple]:
 def _kinds(token: tuple) -> tuple[str, int]:
     """The kind that has a weight, and how often it counts."""
     if token[0] == TEXT:
-        return ("word!" if token[2] else "word"), len(token[1].split())
-    return token[1], 1
+        return "word", 0 if token[2] else len(token[1].split())
+    return token[1], int(token[1] != NESTED)
 
 
 def count_kinds(page: str | None) -> Counter:
     """(kind, inside content) counts of a page that labels itself, else nothing."""
     tokens = _tokens(page or "")
-    opened = Counter(t[2] for t in tokens if t[0] == TAG and not t[1].startswith("/"))
+    opened = Counter(t[1] for t in tokens if t[0] == TAG)
     at = 4 if opened["article"] == 1 else 5 if not opened["article"] and opened["main"] == 1 else 0
     counts: Counter = Counter()
     if at:
         for t in tokens:
-            inside = (t[at - 1] if t[0] == TEXT else t[at]) and not (t[2] if t[0] == TEXT else t[3])
+            inside = t[at - 1] if t[0] == TEXT else t[at]
             kind, n = _kinds(t)
             counts[kind, inside] += n
     return counts
@@ -141,27 +144,26 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     for r in rows:
         if not r.kind.startswith("word"):
             odds = math.log(((r.a + 0.5) / (inside + 1)) / ((r.b + 0.5) / (outside + 1)))
-            weights[r.kind] = -min(30.0, max(0.05, 1.0 - odds * 3))
-    words = {r.kind: (r.a + 0.5, r.b + 0.5) for r in rows if r.kind.startswith("word")}
-    good, bad = words.get("word", (1, 1)), words.get("word!", (1, 1))
-    weights["word"] = max(0.5, min(3.0, math.log(good[0] / good[1]) if good[0] > good[1] else 0.5))
-    weights["word!"] = -max(0.5, min(3.0, math.log(bad[1] / bad[0]) if bad[1] > bad[0] else 0.5))
+            weights[r.kind] = -min(4.0 if r.kind == FURNITURE or r.kind.startswith("<!") else 30.0, max(0.05, 1.0 - odds * 3))
+    words = next(((r.a + 0.5, r.b + 0.5) for r in rows if r.kind == "word"), (1.0, 1.0))
+    weights["word"] = max(0.5, min(3.0, math.log(words[0] / words[1])))
     return weights
 
 
-DEFAULT_WEIGHTS = {"word": 1.0, "word!": -1.0, "": -3.0}
+DEFAULT_WEIGHTS = {"word": 1.0, FURNITURE: -4.0}
+#: Weight of a kind that no labelled page has.
+UNKNOWN = -3.0
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Text of the best run: blocks in page order, white space within them as one space, joined by one space."""
     tokens = _tokens(page or "")
-    unknown = weights.get("", DEFAULT_WEIGHTS[""])
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, t in enumerate(tokens):
         if total <= 0:
             total, begin = 0.0, i
         kind, n = _kinds(t)
-        total += weights.get(kind, unknown) * n
+        total += weights.get(kind, UNKNOWN) * n
         if total > best:
             best, best_at = total, (begin, i + 1)
     parts: list[str] = []
