@@ -278,26 +278,30 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     )
     sets = shared_checkpoint(sets)
 
-    # recursive splitting: a row is a member of a bucket; large buckets go on with the elements of the next level
+    # recursive splitting: a row is a member of a bucket, which the set of elements on its path names; large buckets go on with the
+    # elements of the next level
     buckets = None
-    rows = sets.select("s1", "s2", F.explode(F.array_distinct(F.col("paths")[0])).alias("bucket"))
+    first = F.array_distinct(F.col("paths")[0])
+    rows = sets.select("s1", "s2", F.explode(F.transform(first, lambda x: F.array(x))).alias("path"))
     for level in range(LEVELS):
+        rows = rows.withColumn("bucket", F.xxhash64("path"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("m > 1")
         # buckets of the same members need one comparison only
-        once = sizes.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+        once = sizes.groupBy("m", "who").agg(F.min("bucket").alias("bucket"))
         last = level == LEVELS - 1
         found = rows.join(once, "bucket")
-        small = found if last else found.where(F.col("m") <= SMALL)
+        small = (found if last else found.where(F.col("m") <= SMALL)).select("s1", "s2", "bucket", "m")
         buckets = small if buckets is None else buckets.unionByName(small)
         if not last:
-            least = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(level)).alias("h"), "bucket"))), 1, FOLLOWED)
+            least = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(level)).alias("h"), "path"))), 1, FOLLOWED)
             large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(least.alias("b"))
             pairs = large.join(sets.select("s1", "s2", F.array_distinct(F.col("paths")[level + 1]).alias("next")), ["s1", "s2"])
-            rows = pairs.select("s1", "s2", F.explode(F.flatten(F.transform("b", lambda b: F.transform("next", lambda x: F.xxhash64(b["bucket"], x))))).alias("bucket"))
+            longer = lambda b: F.transform(F.filter("next", lambda x: ~F.array_contains(b["path"], x)), lambda x: F.array_sort(F.concat(b["path"], F.array(x))))
+            rows = pairs.select("s1", "s2", F.explode(F.array_distinct(F.flatten(F.transform("b", longer)))).alias("path"))
     # what is still large after the last level is compared in blocks of two parts
-    k = F.when(F.col("m") > 2 * PART, F.ceil(F.col("m") / PART)).otherwise(1).cast("int")
-    split = buckets.withColumns({"k": k, "p": F.pmod(F.xxhash64("s1", "s2", "bucket"), k).cast("int")}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = split.select("s1", "s2", F.when(F.col("k") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other"))).alias("bucket"))
+    huge = buckets.where(F.col("m") > 2 * PART).withColumn("k", F.ceil(F.col("m") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("s1", "s2", "bucket"), F.col("k")).cast("int"))
+    split = huge.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s1", "s2", F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other")).alias("bucket"))
+    dealt = buckets.where(F.col("m") <= 2 * PART).select("s1", "s2", "bucket").unionByName(split)
     members = dealt.join(sets.select("s1", "s2", "size", "sketch"), ["s1", "s2"])
     stars = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(similarity), "s1 long, t1 long").distinct()
     group_of = both_ways(stars)
