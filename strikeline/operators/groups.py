@@ -1,7 +1,8 @@
 """Group statistics over the chain, attached to every row of the group.
 
 Statistics are aggregated first and joined back: a group's rows never meet in one task, and the joined side has one row per group. `keys` always
-starts with snapshot_date, so that many snapshots go through one job.
+starts with snapshot_date, so that many snapshots go through one job. Statistics are taken from `source` where it is given: a frame of the same
+rows from before other statistics were joined, so that a chain of these functions does not repeat the joins below it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def attach(chain: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return chain.join(named, on, "left").drop(*(f"_k_{k}" for k in keys))
 
 
-def with_iv_state_level(chain: DataFrame) -> DataFrame:
+def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Volatility level of each underlying: its nearest at-the-money volatility against the 30th and 70th percentile of all above 0.
 
     UNKNOWN with fewer than five volatilities. The representative is that of the least strike distance at the nearest expiration that has
@@ -33,17 +34,17 @@ def with_iv_state_level(chain: DataFrame) -> DataFrame:
     keys = [*SNAPSHOT, "underlying_symbol"]
     iv = F.when(F.col("implied_volatility") > 0, F.col("implied_volatility"))
     order = F.when(iv.isNotNull() & F.col("strike_distance_pct").isNotNull() & F.col("expiration_date").isNotNull(), F.struct("expiration_date", "strike_distance_pct", "option_type", "strike", "contract_symbol"))
-    stats = chain.groupBy(*keys).agg(
+    stats = (chain if source is None else source).groupBy(*keys).agg(
         F.count(iv).alias("_n"), F.percentile(iv, F.lit(0.3)).alias("_p30"), F.percentile(iv, F.lit(0.7)).alias("_p70"), F.coalesce(F.min_by(iv, order), F.median(iv)).alias("_iv")
     )
     level = F.when(F.col("_n") < 5, "UNKNOWN").when(F.col("_iv") >= F.col("_p70"), "HIGH").when(F.col("_iv") <= F.col("_p30"), "LOW").otherwise("NEUTRAL")
     return attach(chain, stats.select(*keys, level.alias("iv_state_level")), keys)
 
 
-def with_iv_state_term(chain: DataFrame) -> DataFrame:
+def with_iv_state_term(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Term structure: median volatility of the second expiration against the first."""
     keys = [*SNAPSHOT, "underlying_symbol"]
-    per = chain.where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull()).groupBy(*keys, "expiration_date").agg(F.median("implied_volatility").alias("m"))
+    per = (chain if source is None else source).where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull()).groupBy(*keys, "expiration_date").agg(F.median("implied_volatility").alias("m"))
     w = Window.partitionBy(*keys).orderBy("expiration_date")
     first = per.select(*keys, "m", F.lead("m").over(w).alias("next"), F.row_number().over(w).alias("k")).where("k = 1")
     move = F.col("next") / F.col("m")
@@ -51,26 +52,26 @@ def with_iv_state_term(chain: DataFrame) -> DataFrame:
     return attach(chain, first.select(*keys, state.alias("iv_state_term")), keys).withColumn("iv_state_term", F.coalesce("iv_state_term", F.lit("UNKNOWN")))
 
 
-def with_strike_increment(chain: DataFrame) -> DataFrame:
+def with_strike_increment(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Least step between listed strikes at the nearest expiration of three different strikes or more, by underlying and type."""
     keys = [*SNAPSHOT, "underlying_symbol", "option_type"]
-    strikes = chain.where((F.col("strike") > 0) & F.col("expiration_date").isNotNull()).select(*keys, "expiration_date", "strike").distinct()
+    strikes = (chain if source is None else source).where((F.col("strike") > 0) & F.col("expiration_date").isNotNull()).select(*keys, "expiration_date", "strike").distinct()
     step = F.col("strike") - F.lag("strike").over(Window.partitionBy(*keys, "expiration_date").orderBy("strike"))
     per = strikes.withColumn("step", step).groupBy(*keys, "expiration_date").agg(F.count("*").alias("n"), F.min("step").alias("step")).where("n >= 3")
     return attach(chain, per.groupBy(*keys).agg(F.min_by("step", "expiration_date").alias("listed_strike_increment")), keys)
 
 
-def with_theta_below_p25(chain: DataFrame) -> DataFrame:
+def with_theta_below_p25(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Whether theta efficiency is below the first quartile of its underlying and type."""
     keys = [*SNAPSHOT, "underlying_symbol", "option_type"]
-    stats = chain.groupBy(*keys).agg(F.percentile("theta_efficiency", F.lit(0.25)).alias("_p25"))
+    stats = (chain if source is None else source).groupBy(*keys).agg(F.percentile("theta_efficiency", F.lit(0.25)).alias("_p25"))
     return attach(chain, stats, keys).withColumn("theta_efficiency_below_p25", F.col("theta_efficiency") < F.col("_p25")).drop("_p25")
 
 
-def with_expected_move(chain: DataFrame) -> DataFrame:
+def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Expected move of each expiration from the mean volatility of the rows closest to the money."""
     keys = [*SNAPSHOT, "underlying_symbol", "expiration_date"]
-    valid = chain.where((F.col("underlying_price") > 0) & (F.col("time_to_expiration_years") > 0) & (F.col("implied_volatility") > 0) & F.col("strike_distance_pct").isNotNull())
+    valid = (chain if source is None else source).where((F.col("underlying_price") > 0) & (F.col("time_to_expiration_years") > 0) & (F.col("implied_volatility") > 0) & F.col("strike_distance_pct").isNotNull())
     rows = valid.select(*keys, "underlying_price", "time_to_expiration_years", "implied_volatility", "strike_distance_pct")
     nearest = attach(rows, rows.groupBy(*keys).agg(F.min("strike_distance_pct").alias("_least")), keys)
     close = nearest.where(F.abs(F.col("strike_distance_pct") - F.col("_least")) <= 1e-8 + 1e-5 * F.abs("_least"))

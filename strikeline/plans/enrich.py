@@ -34,7 +34,9 @@ def enrich_rows(chain: DataFrame, params: Params, settled: bool = True) -> DataF
 
 def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:
     """Row columns, then statistics of the unfiltered chain, then filters, then statistics of what they leave."""
-    out = enrich_rows(chain, params)
-    out = groups.with_strike_increment(groups.with_iv_state_term(groups.with_iv_state_level(out)))
-    out = filters.filter_chain(out, params, positions)
-    return groups.with_expected_move(groups.with_theta_below_p25(out))
+    rows, light = enrich_rows(chain, params), pricing.with_moneyness(quotes.with_quote_quality(chain))
+    out = groups.with_iv_state_level(rows, light)
+    out = groups.with_strike_increment(groups.with_iv_state_term(out, light), light)
+    left = filters.filter_chain(light, params, positions)
+    out = groups.with_theta_below_p25(filters.filter_chain(out, params, positions), filters.filter_chain(rows, params, positions))
+    return groups.with_expected_move(out, left)

@@ -600,7 +600,7 @@ def risk_mix(spark, sf):
     return shown(summaries.risk_mix(_rows(spark, sf)))
 
 
-@query("liquidity_topk", "WITH " + oracle.CHAIN + f" SELECT {_KEYS}, contract_symbol, open_interest + volume AS liquidity, row_number() OVER w AS rank FROM chain QUALIFY row_number() OVER w <= 6 WINDOW w AS (PARTITION BY underlying_symbol, chain.expiration_date, option_type ORDER BY open_interest + volume DESC, strike, contract_symbol)")
+@query("liquidity_topk", "WITH " + oracle.CHAIN + f" SELECT {_KEYS}, contract_symbol, open_interest + volume AS liquidity, row_number() OVER w AS rank FROM chain WINDOW w AS (PARTITION BY underlying_symbol, chain.expiration_date, option_type ORDER BY open_interest + volume DESC, strike, contract_symbol) QUALIFY row_number() OVER w <= 6")
 def liquidity_topk(spark, sf):
     return shown(summaries.liquidity_topk(tables.chain(spark, sf)), "underlying_symbol expiration_date option_type contract_symbol liquidity rank")
 
