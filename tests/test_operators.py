@@ -193,8 +193,12 @@ def test_latest_quotes_and_stream_equals_batch(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     key = ["contract_symbol", "final_score", "theta_efficiency", "risk_level"]
     assert sorted(map(str, found.select(key).collect())) == sorted(map(str, batch.select(key).collect()))
-    latest = enrichment.latest_quotes(enrichment.distinct_quotes(raw), "365 days")
-    assert latest.count() == raw.select("contract_symbol").distinct().count()
+    latest = enrichment.latest_quotes(spark.read.parquet(str(tmp_path / "in")), "365 days")
+    assert latest.count() == found.select("contract_symbol").distinct().count()
+    twice = enrichment.read_quotes(spark, str(tmp_path / "in"), schema).unionByName(enrichment.read_quotes(spark, str(tmp_path / "in"), schema))
+    query = enrichment.distinct_quotes(twice).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("once").count() == found.select("contract_symbol", "option_quote_time").distinct().count()
 
 
 def test_scores_stay_in_range_and_partitions_do_not_matter(spark):
