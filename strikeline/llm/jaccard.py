@@ -1,9 +1,10 @@
 """N-gram Jaccard join by chosen paths.
 
 Sets are the distinct runs of five words of a text; documents of equal sets are one member with a weight. In every run a set chooses about
-PER_RUN of its elements by a hash that all sets share; sets that choose one element meet in its bucket. A bucket of more than SMALL members is split
-again by the next level's chosen elements, LEVELS times at most; small buckets, and what is left after the last level, are compared. Runs repeat until
-the chance that a pair of the least similarity misses in all of them is below 1 - RECALL; a run costs only further chosen elements, so all are made at once.
+PER_RUN of its elements by a hash that all sets share; sets that choose one element meet in its bucket. Every bucket of more than SMALL members is split
+again by the next level's chosen elements, LEVELS levels at most; small buckets, and what is left after the last level, are compared. All runs are made at once:
+a level has the elements that any run chooses, and a path goes on with a part of them that a hash of the path picks, so that paths fail independently.
+Runs, and the part by the size of the set, are such that a pair of the least similarity misses with a chance below 1 - RECALL where all of its buckets are large.
 
 Within buckets, pairs are first compared by sketches of minimum hashes. The connected parts of what sketches link are groups; the sets of a
 group are compared exactly, in blocks of BLOCK times BLOCK members. Only counts of links and a spanning tree leave a block, never its pairs.
@@ -13,18 +14,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeline.llm.vectors import LOWER, U, chunks, groups, mix, prefix_hash, shared_checkpoint, shingles, short_batches, span_hash, utf8, word_spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 PER_RUN, LEVELS, SMALL = 2.0, 3, 128
-#: Large buckets that a set follows to the next level, those of the least hash: similar sets share most of theirs.
-FOLLOWED = 3
+#: Sets of at most this size choose all elements. The part that a path goes on with is found for each size up to SIZES; larger sets need no more.
+WHOLE, SIZES = 8, 128
 SKETCH, PART = 128, 1024
 #: Members of one side of a block of pairs.
 BLOCK = 512
@@ -32,10 +34,55 @@ BLOCK = 512
 SKETCH_SLACK = 0.16
 
 
+def _chosen(size: np.ndarray, runs: int, per_run: float = PER_RUN) -> np.ndarray:
+    """The chance that any of the runs chooses an element of a set."""
+    return np.where(size <= WHOLE, 1.0, 1 - (1 - np.minimum(per_run / size, 1.0)) ** runs)
+
+
+def missed(size: int, part: float, runs: int, similarity: float = SIMILARITY, per_run: float = PER_RUN) -> float:
+    """The chance that two sets meet in no bucket of the last level, if all above are large. At least similarity * size elements of the larger one
+    are shared (all of the smaller one, where it is a subset); a path does not repeat its elements."""
+    shared = math.ceil(similarity * size - 1e-9)
+    chosen = float(_chosen(np.array(size), runs, per_run))
+    k = np.arange(min(shared, 10 * math.ceil(per_run * runs)) + 1)
+    if chosen == 1:
+        chance = (k == shared).astype(float)
+    else:
+        ways = np.append(0.0, np.cumsum(np.log((shared - k[:-1]) / (k[:-1] + 1))))
+        chance = np.exp(ways + k * math.log(chosen) + (shared - k) * math.log1p(-chosen))
+    dead, weight = np.zeros(1), np.ones(1)
+    for level in range(LEVELS - 1, 0, -1):
+        dead = ((1 - part * (1 - dead[:, None])) ** np.maximum(k - level, 0)).ravel()
+        weight = (weight[:, None] * chance).ravel()
+    return float((weight * (1 - chosen * (1 - dead)) ** shared).sum())
+
+
+def _least_size(similarity: float) -> int:
+    """Sets below this size can run out of elements; their paths also stay as they are."""
+    return math.floor(LEVELS / similarity + 1e-9) + 1
+
+
+@lru_cache
 def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, per_run: float = PER_RUN) -> int:
-    """Runs until the target recall. Of two sets of similarity s, 2s/(1+s) of the larger's elements are shared at least, each chosen with per_run/size."""
-    miss = math.exp(-per_run * 2 * similarity / (1 + similarity))
-    return max(1, math.ceil(math.log((1 - recall) / LEVELS) / math.log(miss)))
+    """Runs until the target recall, where a path goes on with 1.25 times the elements that one run chooses, or with more in small sets."""
+    runs = 1
+    while missed(10**6, min(1.25 / runs, 1.0), runs, similarity, per_run) > 1 - recall or any(missed(n, 1.0, runs, similarity, per_run) > 1 - recall for n in range(_least_size(similarity), SIZES + 1)):
+        runs += 1
+    return runs
+
+
+@lru_cache
+def parts_followed(similarity: float = SIMILARITY, recall: float = RECALL, per_run: float = PER_RUN) -> tuple[float, ...]:
+    """By size (the last for all larger sets), the part of a level's chosen elements that a path goes on with. It never rises with the size, so that the larger
+    of two sets decides."""
+    runs = runs_needed(similarity, recall, per_run)
+    out = [min(1.25 / runs, 1.0)]
+    for size in range(SIZES, _least_size(similarity) - 1, -1):
+        part = out[-1]
+        while part < 1 and missed(size, part, runs, similarity, per_run) > 1 - recall:
+            part = min(part * 1.02, 1.0)
+        out.append(part)
+    return (1.0,) * _least_size(similarity) + tuple(out[:0:-1]) + (out[0],)
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +104,7 @@ def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _members(words: int, runs: int):
     """mapInArrow: (doc_id, text) to (doc_id, s1, s2, size, paths, sketch). (s1, s2) names the set; null where it is empty."""
-    seeds = mix(np.arange(1, LEVELS * runs + 1, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(LEVELS, runs)
+    seeds = mix(np.arange(1, LEVELS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     sketch_seeds = mix(np.arange(1001, 1001 + SKETCH, dtype=U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,12 +122,9 @@ def _members(words: int, runs: int):
                 s2[have] = mix(np.add.reduceat(mix(h ^ U(77)), first))
                 for j in range(SKETCH):
                     sketch[have, j] = (mix(np.minimum.reduceat((h ^ sketch_seeds[j]) * U(0xD6E8FEB86659FD93), first)) & U(255)).astype(np.uint8)
-                limit = np.minimum(PER_RUN / size[row], 1.0) * 2.0**32
+                limit = (_chosen(np.maximum(size, 1), runs) * 2.0**32)[row]
                 for level in range(LEVELS):
-                    chosen = np.zeros(len(h), bool)
-                    for seed in seeds[level]:
-                        chosen |= (mix(h ^ seed) >> U(32)).astype(np.float64) < limit
-                    at = np.flatnonzero(chosen)
+                    at = np.flatnonzero((mix(h ^ seeds[level]) >> U(32)).astype(np.float64) < limit)
                     for r, x in zip(row[at].tolist(), h[at].view(np.int64).tolist(), strict=True):
                         paths[r][level].append(x)
             empty = size == 0
@@ -278,26 +322,30 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     )
     sets = shared_checkpoint(sets)
 
-    # recursive splitting: a row is a member of a bucket, which the set of elements on its path names; large buckets go on with the
-    # elements of the next level
+    # recursive splitting: a row is a member of a bucket, which the set of elements on its path names; all large buckets go on, each with
+    # its own part of the elements of the next level
+    parts = parts_followed(similarity, recall)
+    part = F.element_at(F.array(*(F.lit(int(p * 2**20) + 1) for p in parts)), F.least("size", F.lit(len(parts) - 1)) + 1)
+    stays = F.col("size") < _least_size(similarity)
     buckets = None
     first = F.array_distinct(F.col("paths")[0])
     rows = sets.select("s1", "s2", F.explode(F.transform(first, lambda x: F.array(x))).alias("path"))
     for level in range(LEVELS):
         rows = rows.withColumn("bucket", F.xxhash64("path"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("m > 1")
-        # buckets of the same members need one comparison only
-        once = sizes.groupBy("m", "who").agg(F.min("bucket").alias("bucket"))
         last = level == LEVELS - 1
-        found = rows.join(once, "bucket")
+        # buckets of the same members need one comparison only, but each goes on
+        used = sizes.select("bucket", "m", (F.row_number().over(Window.partitionBy("m", "who").orderBy("bucket")) == 1).alias("compared"))
+        found = shared_checkpoint(rows.join(used.where("compared" if last else F.col("compared") | (F.col("m") > SMALL)), "bucket").drop("compared"))
         small = (found if last else found.where(F.col("m") <= SMALL)).select("s1", "s2", "bucket", "m")
         buckets = small if buckets is None else buckets.unionByName(small)
         if not last:
-            least = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", F.lit(level)).alias("h"), "path"))), 1, FOLLOWED)
-            large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(least.alias("b"))
-            pairs = large.join(sets.select("s1", "s2", F.array_distinct(F.col("paths")[level + 1]).alias("next")), ["s1", "s2"])
-            longer = lambda b: F.transform(F.filter("next", lambda x: ~F.array_contains(b["path"], x)), lambda x: F.array_sort(F.concat(b["path"], F.array(x))))
-            rows = pairs.select("s1", "s2", F.explode(F.array_distinct(F.flatten(F.transform("b", longer)))).alias("path"))
+            large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(F.collect_list("path").alias("b"))
+            pairs = large.join(sets.select("s1", "s2", F.array_distinct(F.col("paths")[level + 1]).alias("next"), part.alias("part"), stays.alias("stays")), ["s1", "s2"])
+            picked = lambda p, x: ~F.array_contains(p, x) & (F.pmod(F.xxhash64(F.lit(level), p, x), F.lit(2**20)) < F.col("part"))
+            longer = lambda p: F.transform(F.filter("next", lambda x: picked(p, x)), lambda x: F.array_sort(F.concat(p, F.array(x))))
+            onward = F.concat(F.flatten(F.transform("b", longer)), F.when(F.col("stays"), F.col("b")).otherwise(F.slice("b", 1, 0)))
+            rows = pairs.select("s1", "s2", F.explode(F.array_distinct(onward)).alias("path"))
     # what is still large after the last level is compared in blocks of two parts
     huge = buckets.where(F.col("m") > 2 * PART).withColumn("k", F.ceil(F.col("m") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("s1", "s2", "bucket"), F.col("k")).cast("int"))
     split = huge.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s1", "s2", F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other")).alias("bucket"))

@@ -82,6 +82,25 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard.similar_documents(docs(spark, []).limit(0)).count() == 0
 
 
+def test_jaccard_join_follows_all_large_buckets(spark, monkeypatch):
+    """Pairs of similarity 0.8, a set and its part, every bucket of which is large and has other members."""
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(500):
+        own = rng.sample(range(400), 100)
+        texts += [" ".join(f"w{x}" for x in own), " ".join(f"w{x}" for x in own[:80])]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(docs(spark, texts), words=1).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(1000)}
+
+
+def test_missed_pairs_are_below_the_recall():
+    parts = jaccard.parts_followed()
+    assert list(parts) == sorted(parts, reverse=True)
+    for size in (5, 9, 10, 24, 60, 100, 128, 1000, 10**5):
+        assert jaccard.missed(size, parts[min(size, len(parts) - 1)], jaccard.runs_needed()) <= 1 - jaccard.RECALL
+
+
 def test_runs_follow_the_recall():
     assert jaccard.runs_needed(recall=0.9) < jaccard.runs_needed(recall=0.9999)
 
