@@ -190,10 +190,11 @@ def greeks_merge(spark, sf):
 
 
 def _quote_arrays(spark, sf):
+    """Arrays of quotes, an underlying's in many rows by a hash of the contract. The SQL takes the same part of the chain."""
     c = tables.chain(spark, sf).where("_order % 50 = 0")
     value = F.struct(F.col("contract_symbol").alias("k"), F.when(F.col("_line") != 1, F.col("last_trade_price")).alias("last"), F.when(F.col("_line") != 2, F.unix_seconds("option_quote_time")).alias("updated"), F.col("underlying_day_change_pct").alias("changepct"))
-    rows = c.where("_n <= 20").groupBy("underlying_symbol").agg(F.array_sort(F.collect_list(value)).alias("q"))
-    return rows.select("underlying_symbol", *(F.col(f"q.{k}").alias(k) for k in ("last", "updated", "changepct")))
+    rows = c.where("_n <= 20").groupBy("underlying_symbol", F.pmod(F.xxhash64("contract_symbol"), F.lit(1 << 20)).alias("part")).agg(F.array_sort(F.collect_list(value)).alias("q"))
+    return rows.select("underlying_symbol", F.col("q.k").alias("key"), *(F.col(f"q.{k}").alias(k) for k in ("last", "updated", "changepct")))
 
 
 _BEST = """, qa AS (

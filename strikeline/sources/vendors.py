@@ -151,11 +151,13 @@ def read_positions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_quote_row(quotes: DataFrame) -> DataFrame:
-    """Of each underlying's arrays `last` and `updated`, the newest entry with a price; a missing time loses, the first index wins ties."""
-    rows = quotes.select("underlying_symbol", F.posexplode(F.arrays_zip("last", "updated", "changepct")).alias("pos", "q")).where("q.last is not null")
-    # the greatest of (has a time, time, -index)
-    order = F.struct(F.col("q.updated").isNotNull(), F.coalesce("q.updated", F.lit(0)), -F.col("pos"))
-    return rows.groupBy("underlying_symbol").agg(F.max_by(F.struct("pos", "q"), order).alias("b")).select(
+    """Of each underlying's arrays `last` and `updated`, the newest entry with a price; a missing time loses, the first index wins ties.
+    An underlying may have several rows of arrays; an array `key` then gives the order of entries over all of them, before the index."""
+    fields = [*(["key"] if "key" in quotes.columns else []), "last", "updated", "changepct"]
+    rows = quotes.select("underlying_symbol", F.posexplode(F.arrays_zip(*fields)).alias("pos", "q")).where("q.last is not null")
+    # the least of (has no time, -time, key, index)
+    order = F.struct(F.col("q.updated").isNull(), -F.coalesce("q.updated", F.lit(0)), *(F.col(f"q.{k}") for k in fields if k == "key"), F.col("pos"))
+    return rows.groupBy("underlying_symbol").agg(F.min_by(F.struct("pos", "q"), order).alias("b")).select(
         "underlying_symbol", F.col("b.q.last").alias("underlying_price"), epoch_or_text(F.col("b.q.updated")).alias("underlying_price_time"), F.col("b.q.changepct").alias("underlying_day_change_pct")
     )
 

@@ -220,3 +220,13 @@ def test_pricing_edge_rows(spark):
     got = rows(out, "premium_reference_method", "itm_amount", "estimated_margin_requirement", "return_on_margin_annualized")
     assert got[0][:2] == ("last_trade_price", 0.0) and got[0][2] == pytest.approx(2 + max(18 - 10, 9)) and got[0][3] is None
     assert got[1][:2] == ("mid", 10.0) and got[1][2] == pytest.approx(1.25 + max(18 - 0, 10))
+
+
+def test_best_quote_over_several_rows_of_arrays(spark):
+    from strikeline.plans import queries
+
+    parts = [("A", ["k3", "k5"], [3.0, 5.0], [9, 9]), ("A", ["k2", "k4"], [2.0, 4.0], [9, None]), ("A", ["k1"], [None], [10])]
+    df = spark.createDataFrame(parts, "underlying_symbol string, key array<string>, last array<double>, updated array<long>").withColumn("changepct", F.col("last"))
+    assert rows(vendors.best_quote_row(df), "underlying_symbol", "underlying_price") == [("A", 2.0)]
+    packed = queries._quote_arrays(spark, "/root/testdata/sf0.001")
+    assert packed.count() > packed.select("underlying_symbol").distinct().count()
