@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,13 +49,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def prefix_hash(data: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
-    """Sums S with which span_hash gives the hash of any span in constant time."""
-    s = np.zeros(len(data) + 1, U)
-    np.cumsum(byte[data] * powers(len(data))[0][: len(data)], dtype=U, out=s[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums S with which span_hash gives the hash of any span of values in constant time."""
+    s = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(len(values))[0][: len(values)], dtype=U, out=s[1:])
     return s
 
 
+def prefix_hash(data: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
+    """prefix_sums of bytes."""
+    return prefix_sums(byte[data])
+
+
 def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Equal byte strings have equal hashes, wherever they stand."""
     return mix((s[end] - s[start]) * powers(len(s))[1][start] + (end - start).astype(U))
@@ -163,11 +169,30 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that the cluster names in spark.checkpoint.dir; sets one only where none is set."""
+    """Cuts the lineage through the shared folder."""
     spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, which is smaller than a checkpoint."""
+    out = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
