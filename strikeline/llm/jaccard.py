@@ -18,10 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.vectors import LOWER, U, chunks, groups, mix, prefix_hash, shared_checkpoint, shingles, short_batches, span_hash, utf8, word_spans
+from strikeline.llm.vectors import LOWER, U, chunks, groups, mix, prefix_hash, row_name, shared_table, shingles, short_batches, span_hash, utf8, word_spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 PER_RUN, LEVELS, SMALL = 2.0, 3, 128
@@ -29,9 +29,11 @@ PER_RUN, LEVELS, SMALL = 2.0, 3, 128
 WHOLE, SIZES = 8, 128
 SKETCH, PART = 128, 1024
 #: Members of one side of a block of pairs.
-BLOCK = 512
+BLOCK = 1024
 #: A sketch of SKETCH bytes links a pair whose estimate is this far below the similarity: over four standard deviations.
 SKETCH_SLACK = 0.16
+#: Rows of a partition of a frame of links or labels; smaller frames have fewer partitions, and so fewer files.
+LINKS = 200_000
 
 
 def _chosen(size: np.ndarray, runs: int, per_run: float = PER_RUN) -> np.ndarray:
@@ -102,8 +104,11 @@ def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], rows[new]
 
 
+MEMBERS = "doc_id long, k1 long, k2 long, s1 long, s2 long, size int, " + ", ".join(f"p{level} array<long>" for level in range(LEVELS)) + ", sketch binary"
+
+
 def _members(words: int, runs: int):
-    """mapInArrow: (doc_id, text) to (doc_id, s1, s2, size, paths, sketch). (s1, s2) names the set; null where it is empty."""
+    """mapInArrow: (doc_id, k1, k2, text) to MEMBERS. (s1, s2) names the set; null where it is empty. p0, p1, ... are the elements chosen at each level."""
     seeds = mix(np.arange(1, LEVELS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
     sketch_seeds = mix(np.arange(1001, 1001 + SKETCH, dtype=U))
 
@@ -116,7 +121,7 @@ def _members(words: int, runs: int):
             first = np.searchsorted(row, have)
             s1, s2 = np.zeros(n, U), np.zeros(n, U)
             sketch = np.zeros((n, SKETCH), np.uint8)
-            paths: list[list[list[int]]] = [[[] for _ in range(LEVELS)] for _ in range(n)]
+            paths = [pa.array([[]] * n, pa.list_(pa.int64()))] * LEVELS
             if len(h):
                 s1[have] = mix(np.add.reduceat(h, first) ^ size[have].astype(U))
                 s2[have] = mix(np.add.reduceat(mix(h ^ U(77)), first))
@@ -125,15 +130,14 @@ def _members(words: int, runs: int):
                 limit = (_chosen(np.maximum(size, 1), runs) * 2.0**32)[row]
                 for level in range(LEVELS):
                     at = np.flatnonzero((mix(h ^ seeds[level]) >> U(32)).astype(np.float64) < limit)
-                    for r, x in zip(row[at].tolist(), h[at].view(np.int64).tolist(), strict=True):
-                        paths[r][level].append(x)
+                    paths[level] = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)).astype(np.int32)), pa.array(h[at].view(np.int64)))
             empty = size == 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(s1.view(np.int64), mask=empty), pa.array(s2.view(np.int64), mask=empty), pa.array(size.astype(np.int32)),
-                    pa.array(paths, pa.list_(pa.list_(pa.int64()))), pa.array([s.tobytes() for s in sketch], pa.binary()),
+                    *(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(s1.view(np.int64), mask=empty), pa.array(s2.view(np.int64), mask=empty), pa.array(size.astype(np.int32)),
+                    *paths, pa.array([s.tobytes() for s in sketch], pa.binary()),
                 ],
-                names=["doc_id", "s1", "s2", "size", "paths", "sketch"],
+                names=["doc_id", "k1", "k2", "s1", "s2", "size", *(f"p{level}" for level in range(LEVELS)), "sketch"],
             )
 
     return run
@@ -289,63 +293,68 @@ def components(edges: DataFrame) -> DataFrame:
     """(s1, c1): c1 is the least s1 of each connected part. edges: (s1, t1) in both directions.
 
     Least labels travel along edges and then from each label's own label (pointer jumping), until a round changes none; every round is
-    written to the shared checkpoint folder.
+    written to the shared folder, in as many partitions as its rows need.
     """
-    edges = shared_checkpoint(edges)
-    labels = shared_checkpoint(edges.groupBy("s1").agg(F.least(F.min("t1"), F.col("s1")).alias("c1")))
+    edges = shared_table(edges)
+    parts = edges.count() // LINKS + 1
+    labels = shared_table(edges.groupBy("s1").agg(F.least(F.min("t1"), F.col("s1")).alias("c1")).coalesce(parts))
     while True:
         near = edges.join(labels.select(F.col("s1").alias("t1"), "c1"), "t1").groupBy("s1").agg(F.min("c1").alias("n1"))
         step = labels.join(near, "s1").select("s1", "c1", F.least("c1", "n1").alias("m1"))
         jump = step.select(F.col("s1").alias("m1"), F.col("m1").alias("j1"))
-        new = shared_checkpoint(step.join(jump, "m1", "left").select("s1", F.least("m1", F.coalesce("j1", "m1")).alias("c1"), (F.least("m1", F.coalesce("j1", "m1")) != F.col("c1")).alias("moved")))
+        least = F.least("m1", F.coalesce("j1", "m1"))
+        new = shared_table(step.join(jump, "m1", "left").select("s1", least.alias("c1"), (least != F.col("c1")).alias("moved")).coalesce(parts))
         done = not new.where("moved").limit(1).count()
         labels = new.select("s1", "c1")
         if done:
             return labels
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document with its class and its number of links.
-
-    Returns per row of docs: doc_id, class_id (least doc_id of all documents that links connect to it), n_links (other documents of similarity
-    `similarity` or more, copies included). Elements are runs of `words` words (lower-case A-Z; digits, letters and non-ASCII characters); fewer words, but
-    not none, are one element; a text without words that is not empty is one element of its own characters. Null and empty texts have no links and each is a class
-    of its own, as is a document of a null id that has no links. Repeated rows are links of each other. Other columns are ignored.
-    """
-    short_batches(docs.sparkSession)
-    runs = runs_needed(similarity, recall)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = own.mapInArrow(_members(words, runs), "doc_id long, s1 long, s2 long, size int, paths array<array<long>>, sketch binary")
-    ids = shared_checkpoint(named)
-    sets = ids.where("s1 is not null").groupBy("s1", "s2").agg(
-        F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")
-    )
-    sets = shared_checkpoint(sets)
-
-    # recursive splitting: a row is a member of a bucket, which the set of elements on its path names; all large buckets go on, each with
-    # its own part of the elements of the next level
+def _buckets(ids: DataFrame, sets: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(s1, s2, bucket, m): the buckets to be compared and their sizes, by recursive splitting. A row is a member of a bucket, which the set of elements on
+    its path names; all large buckets go on, each with its own part of the elements of the next level."""
     parts = parts_followed(similarity, recall)
     part = F.element_at(F.array(*(F.lit(int(p * 2**20) + 1) for p in parts)), F.least("size", F.lit(len(parts) - 1)) + 1)
     stays = F.col("size") < _least_size(similarity)
-    buckets = None
-    first = F.array_distinct(F.col("paths")[0])
-    rows = sets.select("s1", "s2", F.explode(F.transform(first, lambda x: F.array(x))).alias("path"))
+    out = None
+    rows = sets.select("s1", "s2", F.explode(F.array_distinct("p0")).alias("bucket"))
     for level in range(LEVELS):
-        rows = rows.withColumn("bucket", F.xxhash64("path"))
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).where("m > 1")
-        last = level == LEVELS - 1
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+        found = shared_table(rows.join(sizes, "bucket"))
         # buckets of the same members need one comparison only, but each goes on
-        used = sizes.select("bucket", "m", (F.row_number().over(Window.partitionBy("m", "who").orderBy("bucket")) == 1).alias("compared"))
-        found = shared_checkpoint(rows.join(used.where("compared" if last else F.col("compared") | (F.col("m") > SMALL)), "bucket").drop("compared"))
-        small = (found if last else found.where(F.col("m") <= SMALL)).select("s1", "s2", "bucket", "m")
-        buckets = small if buckets is None else buckets.unionByName(small)
-        if not last:
-            large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(F.collect_list("path").alias("b"))
-            pairs = large.join(sets.select("s1", "s2", F.array_distinct(F.col("paths")[level + 1]).alias("next"), part.alias("part"), stays.alias("stays")), ["s1", "s2"])
-            picked = lambda p, x: ~F.array_contains(p, x) & (F.pmod(F.xxhash64(F.lit(level), p, x), F.lit(2**20)) < F.col("part"))
-            longer = lambda p: F.transform(F.filter("next", lambda x: picked(p, x)), lambda x: F.array_sort(F.concat(p, F.array(x))))
-            onward = F.concat(F.flatten(F.transform("b", longer)), F.when(F.col("stays"), F.col("b")).otherwise(F.slice("b", 1, 0)))
-            rows = pairs.select("s1", "s2", F.explode(F.array_distinct(onward)).alias("path"))
+        alike = found.groupBy("bucket").agg(F.first("m").alias("m"), F.bit_xor(F.xxhash64("s1", "s2")).alias("who"))
+        once = alike.groupBy("m", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+        last = level == LEVELS - 1
+        small = (found if last else found.where(F.col("m") <= SMALL)).join(once, "bucket", "left_semi").select("s1", "s2", "bucket", "m")
+        out = small if out is None else out.unionByName(small)
+        if last:
+            return out
+        path = F.array("bucket") if level == 0 else F.col("path")
+        large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(F.collect_list(path).alias("b"))
+        heads = large.join(sets.select("s1", "s2", "size", "head.k1", "head.k2"), ["s1", "s2"])
+        chosen = ids.select("k1", "k2", F.array_distinct(f"p{level + 1}").alias("next"))
+        pairs = heads.join(chosen, ["k1", "k2"]).dropDuplicates(["s1", "s2"]).select("s1", "s2", "b", "next", part.alias("part"), stays.alias("stays"))
+        picked = lambda p, x: ~F.array_contains(p, x) & (F.pmod(F.xxhash64(F.lit(level), p, x), F.lit(2**20)) < F.col("part"))
+        longer = lambda p: F.transform(F.filter("next", lambda x: picked(p, x)), lambda x: F.array_sort(F.concat(p, F.array(x))))
+        onward = F.concat(F.flatten(F.transform("b", longer)), F.when(F.col("stays"), F.col("b")).otherwise(F.slice("b", 1, 0)))
+        rows = pairs.select("s1", "s2", F.explode(F.array_distinct(onward)).alias("path")).withColumn("bucket", F.xxhash64("path"))
+
+
+def _linked(docs: DataFrame, similarity: float, recall: float, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, s1, s2), where (k1, k2) names a row by its id and text; and sets (s1, s2, n_links, first), first being the first row of the
+    set's class: doc_id, null last, then k1 and k2."""
+    short_batches(docs.sparkSession)
+    runs = runs_needed(similarity, recall)
+    k1, k2 = row_name(F.col(id_col).cast("long"), F.col(text_col))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    ids = shared_table(own.mapInArrow(_members(words, runs), MEMBERS))
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    sets = ids.where("s1 is not null").groupBy("s1", "s2").agg(
+        F.count("*").alias("weight"), F.min(head).alias("head"), F.first("size").alias("size"), F.first("p0").alias("p0"), F.first("sketch").alias("sketch")
+    )
+    sets = shared_table(sets)
+
+    buckets = _buckets(ids, sets, similarity, recall)
     # what is still large after the last level is compared in blocks of two parts
     huge = buckets.where(F.col("m") > 2 * PART).withColumn("k", F.ceil(F.col("m") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("s1", "s2", "bucket"), F.col("k")).cast("int"))
     split = huge.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s1", "s2", F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other")).alias("bucket"))
@@ -355,11 +364,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     group_of = both_ways(stars)
     group_size = group_of.groupBy("c1").agg(F.count("*").alias("m"))
 
-    # elements of the linked sets, from the text of one document of each
-    wanted = sets.select("s1", "s2", "weight", "least").join(group_of.join(group_size, "c1"), "s1")
-    texts = ids.select("doc_id", "s1", "s2").where("s1 is not null").join(wanted.select("s1", "s2", "least"), ["s1", "s2"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["s1", "s2"])
-    with_text = own.join(texts.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), "s1", "s2"), F.coalesce(own["doc_id"], F.lit(-1)) == F.col("d")).select("s1", "s2", "text")
-    elements = _checked(with_text, words)
+    # elements of the linked sets, from the text of their first rows
+    wanted = sets.select("s1", "s2", "weight", "head.k1", "head.k2").join(group_of.join(group_size, "c1"), "s1")
+    elements = own.select("k1", "k2", "text").join(wanted.select("k1", "k2", "s1", "s2"), ["k1", "k2"]).select("s1", "s2", "text").mapInArrow(_elements(words), "s1 long, s2 long, elements binary").dropDuplicates(["s1", "s2"])
     whole = wanted.join(elements, ["s1", "s2"]).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
     dealt = whole.withColumn("p", F.pmod(F.xxhash64("s1", "s2"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = dealt.select(
@@ -367,33 +374,49 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         F.when(F.col("p") == F.col("other"), 2).when(F.col("p") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     counted = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_verified(similarity), "s1 long, s2 long, links long, t1 long")
-    counted = shared_checkpoint(counted)
+    counted = shared_table(counted)
     links = counted.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
     label = both_ways(counted.where("s1 != t1").select("s1", "t1").distinct())
-    classes = sets.select("s1", "s2", "weight", "least").join(links, ["s1", "s2"], "left").join(label, "s1", "left").withColumn("c1", F.coalesce("c1", "s1"))
-    heads = classes.groupBy("c1").agg(F.min("least").alias("class_id"))
-    per_set = classes.join(heads, "c1").select("s1", "s2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return ids.select("doc_id", "s1", "s2").join(per_set, ["s1", "s2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = sets.select("s1", "s2", "weight", "head").join(links, ["s1", "s2"], "left").join(label, "s1", "left").withColumn("c1", F.coalesce("c1", "s1"))
+    first = classes.groupBy("c1").agg(F.min("head").alias("first"))
+    per_set = classes.join(first, "c1").select("s1", "s2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "first")
+    return ids.select("doc_id", "k1", "k2", "s1", "s2"), per_set
+
 
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document with its class and its number of links.
 
-def _checked(with_text: DataFrame, words: int) -> DataFrame:
-    """Elements of the wanted sets. Where an id has several texts, only the one whose set has the wanted name counts."""
+    Returns per row of docs: doc_id, class_id (least doc_id of all documents that links connect to it), n_links (other documents of similarity
+    `similarity` or more, copies included). Elements are runs of `words` words (lower-case A-Z; digits, letters and non-ASCII characters); fewer words, but
+    not none, are one element; a text without words that is not empty is one element of its own characters. Null and empty texts have no links and each is a class
+    of its own, as is a document of a null id that has no links. Repeated rows are links of each other. Other columns are ignored.
+    """
+    ids, per_set = _linked(docs, similarity, recall, words, id_col, text_col)
+    found = ids.select("doc_id", "s1", "s2").join(per_set.select("s1", "s2", "n_links", F.col("first.doc_id").alias("class_id")), ["s1", "s2"], "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates: of every class of similar_documents the row of the least doc_id (null last; ties
+    by a hash of the text). Rows are told apart by id and text, so an id that stands on several texts loses none of them to another class; rows that agree in
+    both are one, of which any stays. Null and empty texts are no duplicates of other ids. An empty table gives no rows."""
+    ids, per_set = _linked(docs, similarity, recall, words, id_col, text_col)
+    heads = per_set.select("first.k1", "first.k2").unionByName(ids.where("s1 is null").select("k1", "k2")).distinct()
+    k1, k2 = row_name(F.col(id_col).cast("long"), F.col(text_col))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
+    return rows.dropDuplicates(["k1", "k2"]).join(heads, ["k1", "k2"], "left_semi").select("row.*")
+
+
+def _elements(words: int):
+    """mapInArrow: (s1, s2, text) to (s1, s2, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             h, row = _sets(batch, words)
-            n = len(batch)
-            size = np.bincount(row, minlength=n)
-            have = np.flatnonzero(size)
-            name = np.zeros(n, U)
-            if len(h):
-                name[have] = mix(np.add.reduceat(h, np.searchsorted(row, have)) ^ size[have].astype(U))
-            right = np.flatnonzero((name.view(np.int64) == batch.column("s1").to_numpy(zero_copy_only=False)) & (size > 0))
-            cut = np.searchsorted(row, np.arange(n + 1))
-            at = pa.array(right)
-            yield pa.RecordBatch.from_arrays([batch.column("s1").take(at), batch.column("s2").take(at), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in right], pa.binary())], names=["s1", "s2", "elements"])
+            cut = np.searchsorted(row, np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("s1"), batch.column("s2"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["s1", "s2", "elements"])
 
-    return with_text.mapInArrow(run, "s1 long, s2 long, elements binary").dropDuplicates(["s1", "s2"])
+    return run
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.vectors import BYTE, LOWER, U, chunks, groups, mix, powers, prefix_hash, prefix_sums, ragged, shared_table, short_batches, span_hash, utf8, word_spans
+from strikeline.llm.vectors import BYTE, LOWER, U, chunks, groups, mix, powers, prefix_hash, prefix_sums, ragged, row_name, shared_table, short_batches, span_hash, utf8, word_spans
 
 LENGTH = 400
 #: Tuples of one gram that a task compares in memory.
@@ -318,8 +318,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     short_batches(docs.sparkSession)
     rules = (rule or Rule(length=length),) + ((report,) if report else ())
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
-    name = lambda k: F.xxhash64(F.lit(k), key.isNull(), key, text)
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row"), name(1).alias("k1"), name(2).alias("k2"), text.alias("text"))
+    k1, k2 = row_name(key, text)
+    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     joined = with_repeats(own, rules).select("row", "text", "whole", "induced")
     schema = T.StructType([own.schema["row"], own.schema["text"]])
     added = [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_text", "string"), ("kept_sha256", "string")]

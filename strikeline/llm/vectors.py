@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -163,6 +164,12 @@ def per_group(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch |
     return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+def row_name(key: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that name a row by its id and text; a null id is none of the numbers, a null text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(F.lit(1), key.isNull(), key, text), F.xxhash64(F.lit(2), key.isNull(), key, text)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows at most: a worker holds some MB even where texts are very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
