@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeline.llm import decontaminate, jaccard, langid, pieces, suffixes
+from strikeline.llm.vectors import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text without letters, or of which no language holds this share, is rejected.
@@ -27,17 +27,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the least doc_id; of rows that repeat a doc_id of one class, one.
-    Rows without a doc_id cannot be told apart and are kept."""
-    found = jaccard.similar_documents(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _documents(named.unionByName(docs.where(F.col("doc_id").isNull())))
+    """One document of each class of near duplicates, that of the least doc_id (null last). Rows that agree in doc_id and text are one document."""
+    return _documents(jaccard.one_of_each(docs.select(*COLUMNS)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; a document of which nothing but white space is left goes."""
-    found = suffixes.remove_repeats(docs.select(*COLUMNS))
+    """Texts without the passages of 50 words or more that stand in several documents, whatever stands between the words; what a document repeats only
+    within itself stays. A document of which nothing but white space is left goes."""
+    found = suffixes.remove_repeats(docs.select(*COLUMNS), rule=suffixes.PASSAGES)
     return _documents(found.where((F.col("n_removed") == 0) | (F.trim(F.col("kept_text"), F.lit(" \n\t\r")) != "")).select("row.doc_id", F.col("kept_text").alias("text"), "row.lang", "row.source"))
 
 
@@ -67,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir. Results between stages stand below the shared folder of spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
