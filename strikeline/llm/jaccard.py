@@ -29,7 +29,7 @@ PER_RUN, LEVELS, SMALL = 2.0, 3, 128
 WHOLE, SIZES = 8, 128
 SKETCH, PART = 128, 1024
 #: Members of one side of a block of pairs.
-BLOCK = 1024
+BLOCK = 512
 #: A sketch of SKETCH bytes links a pair whose estimate is this far below the similarity: over four standard deviations.
 SKETCH_SLACK = 0.16
 #: Rows of a partition of a frame of links or labels; smaller frames have fewer partitions, and so fewer files.

@@ -15,7 +15,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: A random 64-bit value for each byte, so that short polynomials do not collide.
 BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that a task hashes at a time; temporary arrays are some ten times as large, and the tables of powers sixteen times.
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i up to n."""
     if len(_powers[0]) <= n:
-        m = max(n + 1, CHUNK_BYTES + 1)
+        m = max(n + 1, CHUNK_BYTES + 1, min(2 * len(_powers[0]), 1 << 22))
         for k, b in enumerate((BASE, INVERSE)):
             p = np.full(m, b, U)
             p[0] = 1
