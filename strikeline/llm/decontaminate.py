@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.vectors import LOWER, WORD, U, chunks, prefix_hash, ragged, span_hash, short_batches, utf8, word_spans
+from strikeline.llm.vectors import LOWER, WORD, U, chunks, prefix_hash, ragged, span_hash, shared_table, short_batches, utf8, word_spans
 
 SAMPLED = 8
+SHARD_BYTES = 4 << 20
 #: Benchmark text that one pass indexes and broadcasts; a larger benchmark takes several passes over blocks of items.
 BLOCK_BYTES = 16 << 20
 
@@ -182,13 +183,17 @@ def _search(windows: Windows, buf: np.ndarray, off: np.ndarray):
     return start, end, row, np.cumsum(hit)[:-1] > 0, pairs
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[list[tuple[str, str]]]:
-    """The items in blocks of BLOCK_BYTES or one item, each collected only after its size is known."""
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about BLOCK_BYTES, or one item, each collected only when it is asked for. Where there are several, the items are first written by
+    block, so that a block reads its own alone."""
     own = benchmark.select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[(r.i, r.t) for r in own.where(part == k).collect() if r.i is not None] for k in range(n)]
+    dealt = own.where(F.col("i").isNotNull()).withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    if n > 1:
+        dealt = shared_table(dealt.repartitionByRange(n, "block").sortWithinPartitions("block"))
+    for k in range(n):
+        yield [(r.i, r.t) for r in dealt.where(F.col("block") == k).collect()]
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -208,10 +213,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     schema = T.StructType([*out.schema.fields]).add("n_words", "long").add("n_hit", "long")
     schema = schema.add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))
     for k, block in enumerate(_blocks(benchmark, item_col, "text")):
+        if k:  # what earlier blocks found is written, so that one block at a time is held by driver and tasks
+            out = shared_table(out)
+            windows.unpersist()
         windows = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], windows=windows, again=k > 0) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_col):
+            for batch in chunks(batches, text_col, SHARD_BYTES):
                 buf, off = utf8(batch.column(text_col))
                 start, end, row, hit, pairs = _search(windows.value, buf, off)
                 n = len(batch)
