@@ -14,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.vectors import SPACE, U, mix, prefix_hash, short_batches, span_hash, utf8, word_spans
+from strikeline.llm.vectors import SPACE, U, chunks, mix, prefix_hash, short_batches, span_hash, utf8, word_spans
 
 SAMPLES = 128
-#: Bytes of text that a task fingerprints at a time, the documents of a run of doc_ids that a bucket holds, and rows of draws and of
-#: least draws that are in the processor's cache.
-BATCH_BYTES, BUCKET_ROWS, DRAW_ROWS, MIN_ROWS = 2 << 20, 4096, 256, 4096
+#: Bytes of text that a task fingerprints at a time, terms whose draws are held at once, and rows of draws that are in the processor's cache.
+BATCH_BYTES, TERMS, DRAW_ROWS, MIN_ROWS = 2 << 20, 1 << 16, 256, 4096
+#: Bytes of text of a run of neighbouring documents, at most and at least; runs that a task should get; documents that are sampled for each run.
+RUN_BYTES, LEAST_BYTES, RUNS_A_TASK, SAMPLED = 256 << 20, 4 << 20, 4, 8
 
 
 def _draws(terms: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
@@ -64,15 +65,19 @@ def signatures(buf: np.ndarray, off: np.ndarray, k: int = SAMPLES) -> np.ndarray
     weight = np.diff(np.append(at, len(h)))
     h, row = h[at], row[at]
     _, one, own = np.unique(mix(h + weight.astype(U) * U(0x632BE59BD9B4E019)), return_index=True, return_inverse=True)
-    table = np.empty((len(one), k), U)
-    for a in range(0, len(one), DRAW_ROWS):
-        i = one[a : a + DRAW_ROWS]
-        table[a : a + DRAW_ROWS] = _draws(h[i], weight[i], k)
     least = np.full((n, k), np.iinfo(np.uint64).max, U)
-    for a in range(0, len(h), MIN_ROWS):
-        rows = row[a : a + MIN_ROWS]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        least[rows[first]] = np.minimum(least[rows[first]], np.minimum.reduceat(table[own[a : a + MIN_ROWS]], first, axis=0))
+    for lo in range(0, len(one), TERMS):  # a part of the terms at a time, each text's least draw over all parts
+        some = one[lo : lo + TERMS]
+        table = np.empty((len(some), k), U)
+        for a in range(0, len(some), DRAW_ROWS):
+            i = some[a : a + DRAW_ROWS]
+            table[a : a + DRAW_ROWS] = _draws(h[i], weight[i], k)
+        mine = np.flatnonzero((own >= lo) & (own < lo + len(some))) if len(one) > TERMS else np.arange(len(own))
+        for a in range(0, len(mine), MIN_ROWS):
+            at = mine[a : a + MIN_ROWS]
+            rows = row[at]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            least[rows[first]] = np.minimum(least[rows[first]], np.minimum.reduceat(table[own[at] - lo], first, axis=0))
     have = np.unique(row)
     out[have] = (least[have] & U(0xFFFF)).astype(np.uint16)
     return out
@@ -92,65 +97,101 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
     own = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != "fingerprint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, text_col, BATCH_BYTES):
             buf, off = utf8(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.tobytes().hex() for s in signatures(buf, off, samples)], pa.string())], names=[*batch.schema.names, "fingerprint"])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields]).add("fingerprint", "string"))
 
 
-def _buckets(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Lower bounds of runs of ids, descending, of about BUCKET_ROWS rows; and for the first id of each run the run before it.
+def _place() -> tuple[Column, ...]:
+    """The columns that place a document; a nullable number would reach pandas as a float."""
+    return F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("name")
+
+
+def _order(ids: np.ndarray, null: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that ascend in the order of documents: descending id, null last, then the hash of the text."""
+    x = np.uint64(1 << 63) - ids.astype(np.int64).view(np.uint64) - np.uint64(1)
+    most = np.iinfo(np.uint64).max
+    return np.where(null.astype(bool), most, np.minimum(x, most - np.uint64(1))), names.astype(np.int64)
 
-    From the id column alone: approximate quantiles and the largest id of each run. The driver holds two numbers per BUCKET_ROWS rows.
-    """
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-    n = ids.count()
-    parts = max(1, n // BUCKET_ROWS)
-    cuts = sorted({int(x) for x in ids.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.1 / parts)}, reverse=True) if parts > 1 and n else []
-    bounds = np.array(cuts, np.int64)
 
-    @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(_bucket_of(bounds, x))
+class Runs:
+    """Where runs of documents begin, as sorted pairs of numbers; a document before the first of them is in run 0."""
 
-    tops = {r.b: r.top for r in ids.groupBy(bucket("doc_id").alias("b")).agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops)
-    return bounds, {tops[b]: order[i - 1] for i, b in enumerate(order)}
+    def __init__(self, ids: np.ndarray, names: np.ndarray) -> None:
+        self.ids, self.names = ids, names
 
+    def of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        run, last = np.searchsorted(self.ids, x, "left"), np.searchsorted(self.ids, x, "right")
+        for k in np.unique(run[run < last]):  # ids at which a run begins
+            own = (run == k) & (last > k)
+            run[own] = k + np.searchsorted(self.names[k : last[own][0]], y[own], "right")
+        return run.astype(np.int32)
 
-def _bucket_of(bounds: np.ndarray, ids: pd.Series) -> np.ndarray:
-    """0 for the largest ids; null ids, which come last, are in the last bucket."""
-    null = ids.isna().to_numpy()
-    x = ids.fillna(0).astype("int64").to_numpy()
-    return np.where(null, len(bounds), np.searchsorted(-bounds, -x, "right")).astype(np.int32)
+
+def _runs(docs: DataFrame) -> tuple[Runs, dict[int, tuple[int, int]]]:
+    """Runs of documents, of at most about RUN_BYTES of text, smaller where tasks would have none; and the first document of each run.
+
+    Cuts are taken from a sample of ids and text hashes, as a sort does; the driver holds some numbers for each run, that is for each RUN_BYTES of
+    text. An id on many rows is cut by the hash of its texts.
+    """
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text")).cast("long")).first()
+    size = size or 0
+    tasks = RUNS_A_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(rows, max(size // RUN_BYTES, min(size // LEAST_BYTES, tasks))))
+    cuts = Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if parts > 1:
+        sample = docs.select(*_place()).sample(min(1.0, SAMPLED * parts / rows), 1).collect()
+        x, y = _order(*(np.array(c) for c in zip(*sample, strict=True))) if sample else (cuts.ids, cuts.names)
+        order = np.lexsort((y, x))
+        at = order[np.linspace(0, len(order), parts, endpoint=False).astype(int)[1:]] if len(order) else order
+        pairs = np.unique(np.stack([x[at].view(np.int64), y[at]], 1), axis=0)
+        x, y = pairs[:, 0].view(np.uint64), pairs[:, 1]
+        order = np.lexsort((y, x))
+        cuts = Runs(x[order], y[order])
+
+    @F.pandas_udf("run int, x long, y long")
+    def placed(ids: pd.Series, null: pd.Series, names: pd.Series) -> pd.DataFrame:
+        x, y = _order(ids.to_numpy(), null.to_numpy(), names.to_numpy())
+        # the order of x as a signed number
+        return pd.DataFrame({"run": cuts.of(x, y), "x": (x ^ np.uint64(1 << 63)).view(np.int64), "y": y})
+
+    firsts = docs.select(placed(*_place()).alias("p")).groupBy("p.run").agg(F.min(F.struct("p.x", "p.y")).alias("first"))
+    return cuts, {r.run: (r.first.x, r.first.y) for r in firsts.select("run", "first").collect()}
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness; and the likeness to the next text.
 
-    The next document follows in descending doc_id (null last, then by text); after the last comes the first. The edited text has its last
-    floor(n/3) of n code points replaced by the first as many (or all) of the next. Null texts count as empty; a single document is its own next; rows that
-    repeat a doc_id are each answered; an empty table gives no rows; other columns are ignored.
+    The next document follows in descending doc_id (null last; documents of one id by a hash of their texts); after the last comes the first. The edited text
+    has its last floor(n/3) of n code points replaced by the first as many (or all) of the next. Null texts count as empty; a single document is its own next;
+    rows that repeat a doc_id are each answered; an empty table gives no rows; other columns are ignored.
 
-    Documents are dealt by runs of ids, and each run also gets the first document of the next run, so every text crosses one shuffle and no
-    task holds more than a batch.
+    Documents are dealt by runs, and each run also gets the first document of the next run, so every text crosses one shuffle and no task holds
+    more than a batch.
     """
     short_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds, before = _buckets(own)
-    last = len(bounds)
-    with_nulls = bool(own.where(F.col("doc_id").isNull()).limit(1).count())
-    if with_nulls and before and last not in before.values():  # the last run may hold null ids only
-        before[max(before)] = last
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("name"))
+    cuts, first = _runs(own)
+    order = sorted(first)
+    before = {first[b]: order[i - 1] for i, b in enumerate(order)}
+    heads = np.array(sorted(x for x, _ in before), np.int64)
 
     @F.pandas_udf("array<struct<run:int,extra:boolean>>")
-    def places(x: pd.Series) -> pd.Series:
-        run = _bucket_of(bounds, x)
-        return pd.Series([[(int(b), False)] + ([(int(before[i]), True)] if i in before else []) for b, i in zip(run, x.where(x.notna(), None).tolist(), strict=True)])
-
-    dealt = own.select("doc_id", "text", F.explode(places("doc_id")).alias("p")).select("p.run", "p.extra", "doc_id", "text")
-    ordered = dealt.repartition("run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    def places(ids: pd.Series, null: pd.Series, names: pd.Series) -> pd.Series:
+        x, y = _order(ids.to_numpy(), null.to_numpy(), names.to_numpy())
+        run = cuts.of(x, y)
+        x = (x ^ np.uint64(1 << 63)).view(np.int64)
+        out = [[(b, False)] for b in run.tolist()]
+        for i in np.flatnonzero(np.isin(x, heads)).tolist():
+            if (own := before.get((int(x[i]), int(y[i])))) is not None:
+                out[i].append((own, True))
+        return pd.Series(out)
+
+    dealt = own.select("doc_id", "text", "name", F.explode(places(*_place())).alias("p")).select("p.run", "p.extra", "doc_id", "name", "text")
+    ordered = dealt.repartition("run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "name", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def flush(ids: list, texts: list[str], closing: str) -> pa.RecordBatch:

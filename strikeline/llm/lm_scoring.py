@@ -8,6 +8,9 @@ every token two losses; a document's score is the mean difference (below 0: more
 
 Neither counts nor model pass through the driver. Documents are dealt to chunks; a chunk sends its distinct words and bigrams, hashed, with their
 counts to buckets; a bucket adds up what all chunks sent and answers each chunk's keys; the chunk then scores its documents.
+
+There are as many buckets as chunks. Where that is more than FAN, sums are made in rounds: a round settles one digit of the bucket among the chunks that
+agree in all other digits, and answers go back the same way. A chunk so sends at most FAN messages a round, and messages grow with the text alone.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 from strikeline.llm.vectors import LOWER, U, mix, prefix_hash, span_hash, utf8, word_spans
 
 MU, NU = 20.0, 1000.0
-CHUNK_TEXT, BUCKET_TEXT = 6 << 20, 6 << 20
+CHUNK_TEXT = 6 << 20
+FAN = 8192
 TOTAL, START = U(1), U(2)
 
 
@@ -48,27 +52,107 @@ def _chunk_keys(texts: pa.Array, target: np.ndarray):
 
 def _split(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     """The documents of a chunk in a fixed order, and whether each is a target."""
-    docs = table.filter(pc.equal(table.column("kind"), 0)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    marks = set(table.filter(pc.equal(table.column("kind"), 1)).column("doc_id").to_pylist())
-    return docs, np.array([i in marks for i in docs.column("doc_id").to_pylist()], bool)
+    docs = table.filter(pc.equal(table.column("kind"), 0)).sort_by([("row", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    marks = table.filter(pc.equal(table.column("kind"), 1)).column("row")
+    return docs, np.asarray(pc.is_in(docs.column("row"), value_set=marks.combine_chunks()).combine_chunks().to_numpy(zero_copy_only=False), bool)
+
+
+class _Net:
+    """Addresses of chunks and buckets as numbers of `rounds` digits of base `fan`. Keys are 64 bits, of which the first say the bucket."""
+
+    def __init__(self, n: int) -> None:
+        self.rounds = 1
+        while FAN**self.rounds < n:
+            self.rounds += 1
+        self.fan = 1
+        while self.fan**self.rounds < n:
+            self.fan += 1
+
+    def digit(self, address: int, r: int) -> int:
+        return address // self.fan**r % self.fan
+
+    def moved(self, address: int, r: int, digit: int) -> int:
+        return address + (digit - self.digit(address, r)) * self.fan**r
+
+    def by_digit(self, keys: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the keys by digit r of their bucket, the digits, and where each begins."""
+        bucket = ((keys >> U(32)) * U(self.fan**self.rounds)) >> U(32)
+        digit = (bucket // U(self.fan**r) % U(self.fan)).astype(np.int64)
+        order = np.argsort(digit, kind="stable")
+        found, begin = np.unique(digit[order], return_index=True)
+        return order, found, begin
+
+    def messages(self, address: int, r: int, keys: np.ndarray, bg: np.ndarray, tg: np.ndarray) -> pa.Table:
+        """What an address sends in a round: to, the digit it comes from, keys and counts."""
+        order, found, begin = self.by_digit(keys, r)
+        ends = np.append(begin[1:], len(order))
+        cut = lambda x, pack: pa.array([pack(x[order[a:b]]) for a, b in zip(begin, ends, strict=True)], pa.binary())
+        to = pa.array([self.moved(address, r, int(d)) for d in found], pa.int64())
+        ks = cut(keys, lambda x: _pack_keys(x, self.width(r)))
+        return pa.table({"to": to, "origin": pa.array([self.digit(address, r)] * len(found), pa.int32()), "ks": ks, "bg": cut(bg, _pack_counts), "tg": cut(tg, _pack_counts)})
+
+    def width(self, r: int) -> int:
+        """Bytes of a key in a round. In the last one the bucket is known, and with it the first byte where there are 256 buckets or more."""
+        return 7 if r == self.rounds - 1 else 8
+
+    def merged(self, table: pa.Table, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of an address's messages of a round, the place of every message's keys among them, and their sums."""
+        keys, at = np.unique(np.concatenate([_unpack_keys(x.as_py(), self.width(r)) for x in table.column("ks")]), return_inverse=True)
+        bg, tg = (np.bincount(at, weights=np.concatenate([_unpack_counts(x.as_py()) for x in table.column(c)]), minlength=len(keys)).astype(np.int64) for c in ("bg", "tg"))
+        return keys, at, bg, tg
+
+    def answered(self, keys: np.ndarray, r: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the keys that an address sent in a round, from the answers to it."""
+        order, found, _ = self.by_digit(keys, r)
+        at = {d: (x, y) for d, x, y in zip(*(answers.column(c).to_pylist() for c in ("digit", "bg", "tg")), strict=True)}
+        out = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        for k, x in enumerate(out):
+            x[order] = np.concatenate([_unpack_counts(at[d][k]) for d in found.tolist()])
+        return out
+
+    def replies(self, table: pa.Table, r: int, at: np.ndarray, bg: np.ndarray, tg: np.ndarray) -> pa.Table:
+        """Answers to the messages of a round: each gets the counts of its keys, in its order. at: the place of each message's keys among those counted."""
+        ends = np.cumsum([len(x.as_py()) // self.width(r) for x in table.column("ks")])[:-1]
+        address = table.column("to")[0].as_py()
+        cut = lambda x: pa.array([_pack_counts(y) for y in np.split(x[at], ends)], pa.binary())
+        to = pa.array([self.moved(address, r, o) for o in table.column("origin").to_pylist()], pa.int64())
+        return pa.table({"to": to, "digit": pa.array([self.digit(address, r)] * len(table), pa.int32()), "bg": cut(bg), "tg": cut(tg)})
+
+
+def _totals(sent: DataFrame, net: _Net, r: int = 0) -> DataFrame:
+    """(to, digit, bg, tg): the answers to all messages of round r."""
+    answer = "to long, digit int, bg binary, tg binary"
+    if r == net.rounds - 1:
+
+        def add(table: pa.Table) -> pa.Table:
+            _, at, bg, tg = net.merged(table, r)
+            return net.replies(table, r, at, bg, tg)
 
+        return sent.groupBy("to").applyInArrow(add, answer)
 
-def _by_bucket(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the keys by bucket, the buckets, and where each begins."""
-    bucket = (mix(keys) % U(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    found, begin = np.unique(bucket[order], return_index=True)
-    return order, found, begin
+    def onward(table: pa.Table) -> pa.Table:
+        keys, _, bg, tg = net.merged(table, r)
+        return net.messages(table.column("to")[0].as_py(), r + 1, keys, bg, tg)
 
+    def back(own: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, at, *_ = net.merged(own, r)
+        return net.replies(own, r, at, *net.answered(keys, r + 1, answers))
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """48 bits of each key. Within a bucket of some million keys two of them agree with a chance below one in ten million."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    answers = _totals(sent.groupBy("to").applyInArrow(onward, MESSAGE), net, r + 1)
+    return sent.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(back, answer)
 
 
-def _unpack_keys(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+MESSAGE = "to long, origin int, ks binary, bg binary, tg binary"
+
+
+def _pack_keys(keys: np.ndarray, width: int) -> bytes:
+    """The last bytes of each key."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack_keys(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
 
 
@@ -94,41 +178,25 @@ def domain_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
     non-ASCII characters, lower-case in A-Z. A document without words (null and empty texts too) has null losses and score; a null id is never a
     target; repeated rows count and are answered each; without target documents both models agree but for their prior; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.lit(0).alias("kind"))
+    text, key = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    own = docs.select(key.alias("doc_id"), text.alias("text"), F.xxhash64(key, text).alias("row"))
     size = own.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
-    n_chunks, n_buckets = int(size // CHUNK_TEXT) + 1, int(size // BUCKET_TEXT) + 1
-    marks = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind"))
-    chunked = own.unionByName(marks).withColumn("chunk", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n_chunks)).cast("int"))
+    n = int(size // CHUNK_TEXT) + 1
+    net = _Net(n)
+    wanted = targets.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    none = F.lit(None)
+    marks = own.select("doc_id", "row").join(wanted, "doc_id", "left_semi").select(none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "row").distinct()
+    chunked = own.withColumn("kind", F.lit(0)).unionByName(marks.withColumn("kind", F.lit(1))).withColumn("chunk", F.pmod("row", F.lit(n)))
 
     def count(table: pa.Table) -> pa.Table:
         rows, target = _split(table)
-        chunk = table.column("chunk")[0].as_py()
         keys, bg, tg, *_ = _chunk_keys(rows.column("text"), target)
-        order, found, begin = _by_bucket(keys, n_buckets)
-        ends = np.append(begin[1:], len(order))
-        cut = lambda x, pack: pa.array([pack(x[order[a:b]]) for a, b in zip(begin, ends, strict=True)], pa.binary())
-        return pa.table(
-            {"chunk": pa.array([chunk] * len(found), pa.int32()), "bucket": pa.array(found.astype(np.int32)), "ks": cut(keys, _pack_keys), "bg": cut(bg, _pack_counts), "tg": cut(tg, _pack_counts)}
-        )
-
-    def add(table: pa.Table) -> pa.Table:
-        ks = [_unpack_keys(x.as_py()) for x in table.column("ks")]
-        _, at = np.unique(np.concatenate(ks), return_inverse=True)
-        out, ends = {}, np.cumsum([len(x) for x in ks])[:-1]
-        for c in ("bg", "tg"):
-            sums = np.bincount(at, weights=np.concatenate([_unpack_counts(x.as_py()) for x in table.column(c)])).astype(np.int64)
-            out[c] = [_pack_counts(x) for x in np.split(sums[at], ends)]
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "bg": pa.array(out["bg"], pa.binary()), "tg": pa.array(out["tg"], pa.binary())})
+        return net.messages(table.column("chunk")[0].as_py(), 0, mix(keys), bg, tg)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, target = _split(left)
         keys, _, _, row, word, previous, pair = _chunk_keys(rows.column("text"), target)
-        order, found, begin = _by_bucket(keys, n_buckets)
-        answers = {b: (x, y) for b, x, y in zip(*(right.column(c).to_pylist() for c in ("bucket", "bg", "tg")), strict=True)}
-        b, t = (np.empty(len(keys)) for _ in range(2))
-        for x, k in ((b, 0), (t, 1)):
-            x[order] = np.concatenate([_unpack_counts(answers[f][k]) for f in found.tolist()])
+        b, t = (x.astype(float) for x in net.answered(mix(keys), 0, right))
         n_b, n_t = b[-1], t[-1]
         p_b = b[word] / max(n_b, 1)
         p_t = (t[word] + NU * p_b) / (n_t + NU)
@@ -142,9 +210,8 @@ def domain_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
             {"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n.astype(np.int64)), "loss_target": pa.array(lt, mask=none), "loss_background": pa.array(lb, mask=none), "score": pa.array(lt - lb, mask=none)}
         )
 
-    sent = chunked.groupBy("chunk").applyInArrow(count, "chunk int, bucket int, ks binary, bg binary, tg binary")
-    answered = sent.groupBy("bucket").applyInArrow(add, "chunk int, bucket int, bg binary, tg binary")
-    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    answers = _totals(chunked.groupBy("chunk").applyInArrow(count, MESSAGE), net)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

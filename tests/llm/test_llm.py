@@ -194,9 +194,11 @@ def test_collision_rate_is_weighted_jaccard():
     assert abs(fingerprint.likeness(sig[0], sig[1]) - exact) < 0.04
 
 
-@pytest.mark.parametrize("rows", [2, 4096])
-def test_edited_texts(spark, monkeypatch, rows):
-    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", rows)
+@pytest.mark.parametrize(("size", "terms"), [(300, 64), (1 << 23, 1 << 16)])
+def test_edited_texts(spark, monkeypatch, size, terms):
+    monkeypatch.setattr(fingerprint, "RUN_BYTES", size)
+    monkeypatch.setattr(fingerprint, "LEAST_BYTES", size)
+    monkeypatch.setattr(fingerprint, "TERMS", terms)
     monkeypatch.setattr(fingerprint, "BATCH_BYTES", 300)
     texts = messy(random.Random(4))
     got = {r.doc_id: r for r in fingerprint.compare_with_edited(docs(spark, texts)).collect()}
@@ -210,6 +212,22 @@ def test_edited_texts(spark, monkeypatch, rows):
     assert fingerprint.compare_with_edited(docs(spark, ["abc def"])).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("size", [60, 1 << 23])
+def test_edited_texts_of_hot_ids(spark, monkeypatch, size):
+    """Many rows of one id, of no id and of ids that a float cannot tell apart."""
+    monkeypatch.setattr(fingerprint, "RUN_BYTES", size)
+    monkeypatch.setattr(fingerprint, "LEAST_BYTES", size)
+    rows = [(7, f"seven {k} x") for k in range(20)] + [(None, f"none {k} y") for k in range(20)] + [((1 << 60) + k, f"large {k} z") for k in range(6)] + [(-(1 << 63), "least w"), (-3, "minus v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.xxhash64("text"))
+    order = [(r.doc_id, r.text) for r in d.orderBy(F.col("doc_id").desc_nulls_last(), "name").collect()]
+    expected = set()
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        expected.add((i, hashlib.sha256((t[: len(t) - len(t) // 3] + following[: len(t) // 3]).encode()).hexdigest()))
+    got = fingerprint.compare_with_edited(d.repartition(3)).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.edited_sha256) for r in got} == expected
+
+
 # --- op7 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -318,9 +336,10 @@ def test_extraction_of_the_table(spark):
 # --- op1 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_scores_equal_direct_computation(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CHUNK_TEXT", 400)
-    monkeypatch.setattr(lm_scoring, "BUCKET_TEXT", 700)
+@pytest.mark.parametrize("fan", [8192, 4, 2])
+def test_scores_equal_direct_computation(spark, monkeypatch, fan):
+    monkeypatch.setattr(lm_scoring, "CHUNK_TEXT", 1500)
+    monkeypatch.setattr(lm_scoring, "FAN", fan)
     texts = messy(random.Random(9))
     marks = {5, 9, 10}
     targets = spark.createDataFrame([(i,) for i in marks] + [(None,), (5,)], "doc_id long")
@@ -349,6 +368,16 @@ def test_scores_equal_direct_computation(spark, monkeypatch):
     assert lm_scoring.domain_scores(docs(spark, []).limit(0), targets).count() == 0
 
 
+def test_targets_of_repeated_ids(spark):
+    """An id that stands on several texts marks them all; equal rows are answered each."""
+    rows = [(1, "a b c"), (1, "c d e f"), (2, "a b d"), (2, "a b d"), (None, "a b c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    one, two = (spark.createDataFrame([(i,) for i in x], "doc_id long") for x in ([1], [0, 1]))
+    got, expected = ([(r.n_tokens, round(r.score, 9)) for r in lm_scoring.domain_scores(x, y).collect()] for x, y in ((d, one), (once, two)))
+    assert sorted(got) == sorted(expected)
+
+
 def test_counts_pack():
     x = np.array([0, 1, 254, 255, 256, 1 << 40])
     assert lm_scoring._unpack_counts(lm_scoring._pack_counts(x)).tolist() == x.tolist()
