@@ -7,6 +7,7 @@ The layers are learned together from document labels alone, on a sample of label
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ RAW, KINDS = 256, 256
 HIDDEN, GATE = 24, 16
 #: Bound of the labelled sample (whole documents, those of the least hash of doc_id) and passes over it.
 SAMPLE, EPOCHS = 3000, 40
+#: Passages of one document that are learned from; all passages are scored.
+TRAINED = 512
 THRESHOLD = 0.3
 
 _KIND = np.arange(256, dtype=np.uint32)
@@ -131,26 +134,37 @@ def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 1, epochs: in
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """A model from at most `sample` labelled documents; None if there is no label of each kind.
 
-    Null labels and ids are skipped; of several labels of one document the least counts; documents that repeat an id count each.
+    Null labels and ids are skipped; of several labels of one document the least counts; documents that repeat an id count each, equal rows once. The sample
+    is the first in the order of a hash of the id. A document of more than TRAINED passages is learned from so many, evenly spaced; one task holds them, and
+    the driver gets the model alone.
     """
     short_batches(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text")).join(F.broadcast(own), "doc_id")  # at most `sample` rows of two numbers
+    rows = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("name"))
+    picked = rows.select("doc_id", "name").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id", "name"])  # at most `sample` rows of two numbers
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "name").limit(sample)
+    chosen = rows.join(F.broadcast(picked), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).select("doc_id", "name", "text", "y")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             x, of = passages(*utf8(batch.column("text")))
-            x = x.astype(np.float16)
             cut = np.searchsorted(of, np.arange(len(batch) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "y", "x"])
-
-    found = rows.mapInArrow(encode, "doc_id long, y int, x binary").limit(sample).collect()
-    found.sort(key=lambda r: (r.doc_id, r.x))
-    if len({r.y for r in found}) < 2:
-        return None
-    x = [np.frombuffer(r.x, np.float16).reshape(-1, RAW + KINDS) for r in found]
-    return fit(np.concatenate(x).astype(np.float32), np.repeat(np.arange(len(x)), [len(a) for a in x]), np.array([float(r.y > 0) for r in found], np.float32))
+            even = [np.unique(np.linspace(a, b - 1, min(b - a, TRAINED)).astype(int)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "name", "y")), pa.array([x[i].astype(np.float16).tobytes() for i in even], pa.binary())], names=["doc_id", "name", "y", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:
+            x += [np.frombuffer(v, np.float16).reshape(-1, RAW + KINDS) for v in batch.column("x").to_pylist()]
+            y += batch.column("y").to_pylist()
+        if len(set(y)) > 1:
+            model = fit(np.concatenate(x).astype(np.float32), np.repeat(np.arange(len(x)), [len(a) for a in x]), np.array([float(v > 0) for v in y], np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    encoded = chosen.mapInArrow(encode, "doc_id long, name long, y int, x binary")
+    found = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "name").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0].model) if found else None
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
