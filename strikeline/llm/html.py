@@ -25,79 +25,121 @@ from strikeline.llm.vectors import chunks, short_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Words in class, id or role that name page furniture.
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer "
-    "header hidden menu nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies reply respond share "
-    "sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary search".split()
-)
+FURNITURE_WORDS = frozenset((
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "cookie", "cookies", "consent", "disclaimer", "disqus",
+    "footer", "header", "hidden", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "pager", "popup", "promo", "promoted", "promotion", "related", "replies",
+    "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "contentinfo", "complementary", "search",
+))
 #: Elements that are never content, elements without an end tag, elements inside a block.
-FURNITURE_TAGS = frozenset("nav footer aside form head header title button menu dialog label input option fieldset legend".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: An open <p> ends where one of these begins.
-ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+FURNITURE_TAGS = frozenset(("nav", "footer", "aside", "form", "head", "header", "title", "button", "menu", "dialog", "label", "input", "option", "fieldset", "legend"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+INLINE = frozenset((
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
+    "time", "tt", "u", "var", "wbr",
+))
+#: An open element of the value ends where the key begins; an open <p> where one of ENDS_P does.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
+ENDS_P = frozenset((
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+))
+#: Elements that have a weight of their own; all others are counted together.
+ELEMENTS = INLINE | VOID | ENDS_P | FURNITURE_TAGS | frozenset((
+    "body", "caption", "center", "colgroup", "dd", "details", "dt", "figcaption", "figure", "hgroup", "html", "li", "optgroup", "output", "picture", "progress", "rp", "rt", "ruby", "summary", "tbody",
+    "td", "tfoot", "th", "thead", "tr", "audio", "video", "canvas", "map", "meter",
+))
+OTHER = "other"
 
 TEXT, TAG = 1, 2
 #: Kinds of a whole element of furniture, which counts once, and of the tags in it, which do not count.
 FURNITURE, NESTED = "furniture", ""
 
 
+def _marks(attrs: str) -> set[str]:
+    """Words in class, id and role."""
+    found = " ".join(x for g in MARK.findall(attrs) for x in g)
+    return set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", found).lower())) if found else set()
+
+
 def tokenize(page: str) -> Iterator[tuple]:
-    """(TEXT, characters) and (TAG, kind, name, closing, furniture); scripts, styles, comments and declarations are one tag each."""
+    """(TEXT, characters) and (TAG, name, closing, furniture words); scripts, styles, comments and declarations are one tag each, of a name that begins
+    with <!. A tag whose quote is never closed ends at its first >."""
     for m in TOKEN.finditer(page):
         s = m.group()
+        name = m.group(3) or m.group(6)
         if s[0] != "<" or s == "<":
             yield TEXT, s
-        elif m.group(3):
-            name, closing, attrs = m.group(3).lower(), bool(m.group(2)), m.group(4)
-            marks = " ".join(x for g in MARK.findall(attrs) for x in g) if attrs and not closing else ""
-            furniture = name in FURNITURE_TAGS or bool(marks and FURNITURE_WORDS.intersection(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks).lower())))
-            yield TAG, ("/" if closing else "") + name + ("!" if furniture else ""), name, closing, furniture
+        elif name:
+            name, closing, attrs = name.lower(), bool(m.group(2) or m.group(5)), m.group(4) or m.group(7)
+            words = FURNITURE_WORDS & _marks(attrs) if attrs and not closing else set()
+            yield TAG, name, closing, words | {name} if name in FURNITURE_TAGS else words
         else:
-            yield TAG, "<!" + (m.group(1) or "").lower(), "", True, False
+            yield TAG, "<!" + (m.group(1) or "").lower(), True, set()
+
+
+class _Open:
+    """The open elements, and how many of each there are."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.count: Counter = Counter()
+        self.depth = 0  # of furniture
+
+    def push(self, name: str) -> None:
+        self.stack.append(name)
+        self.count[name] += 1
+        self.depth += name.endswith("!")
+
+    def pop(self) -> str:
+        top = self.stack.pop()
+        self.count[top] -= 1
+        self.depth -= top.endswith("!")
+        return top
+
+    def close(self, name: str) -> None:
+        """The innermost element of the name ends, and all in it; content before furniture."""
+        for own in (name, name + "!"):
+            if self.count[own]:
+                while self.pop() != own:
+                    pass
+                return
+
+    def end_implied(self, name: str) -> None:
+        """Ends an open <p>, list item or cell that the beginning element cannot stand in."""
+        ends = ("p",) if name in ENDS_P else ENDS.get(name, ())
+        while self.stack and self.stack[-1].rstrip("!") in ends:
+            self.pop()
 
 
 def _tokens(page: str) -> list[tuple]:
-    """Tokens with, for each, whether it lies in furniture, and the innermost content element it lies in."""
-    out, stack, depth = [], [], 0
+    """(TEXT, characters, in furniture, in article, in main) and (TAG, kind, name, in furniture, in article, in main)."""
+    out: list[tuple] = []
+    at = _Open()
     for t in tokenize(page):
+        where = (at.count["article"] > 0, at.count["main"] > 0)
         if t[0] == TEXT:
-            out.append((*t, depth > 0, "article" in stack, "main" in stack))
+            out.append((*t, at.depth > 0, *where))
             continue
-        _, kind, name, closing, furniture = t
+        _, name, closing, words = t
+        kind = name if name[0] == "<" or name in ELEMENTS else OTHER
         if closing:
-            inside = depth > 0
-            if name in stack:
-                while True:
-                    top = stack.pop()
-                    if top.endswith("!"):
-                        depth -= 1
-                    if top == name:
-                        break
-            elif name + "!" in stack:
-                while True:
-                    top = stack.pop()
-                    if top.endswith("!"):
-                        depth -= 1
-                    if top == name + "!":
-                        break
-            out.append((TAG, NESTED if inside else kind, name, inside, "article" in stack, "main" in stack))
+            inside = at.depth > 0
+            at.close(name)
+            out.append((TAG, NESTED if inside else name if name[0] == "<" else "/" + kind, name, inside, at.count["article"] > 0, at.count["main"] > 0))
             continue
-        if name in ENDS_P and "p" in stack and stack[-1] == "p":
-            stack.pop()
-        furniture = furniture and name not in ("article", "main", "body", "html")
-        # headings of the article itself stay: a <header> within <article> is content
-        if name == "header" and "article" in stack and not depth:
-            furniture = False
-        out.append((TAG, NESTED if depth else FURNITURE if furniture else kind, name, depth > 0 or furniture, "article" in stack, "main" in stack))
+        at.end_implied(name)
+        where = (at.count["article"] > 0, at.count["main"] > 0)
+        # headings of the article itself stay, whether a <header> or an element whose class says so
+        if where[0] and not at.depth:
+            words = words - {"header"}
+        furniture = bool(words) and name not in ("article", "main", "body", "html")
+        out.append((TAG, NESTED if at.depth else FURNITURE if furniture else kind, name, at.depth > 0 or furniture, *where))
         if name not in VOID:
-            stack.append(name + "!" if furniture else name)
-            depth += furniture
+            at.push(name + "!" if furniture else name)
     return out
 
 
@@ -111,7 +153,7 @@ def _kinds(token: tuple) -> tuple[str, int]:
 def count_kinds(page: str | None) -> Counter:
     """(kind, inside content) counts of a page that labels itself, else nothing."""
     tokens = _tokens(page or "")
-    opened = Counter(t[1] for t in tokens if t[0] == TAG)
+    opened = Counter(t[1] for t in tokens if t[0] == TAG)  # kinds of end tags begin with /
     at = 4 if opened["article"] == 1 else 5 if not opened["article"] and opened["main"] == 1 else 0
     counts: Counter = Counter()
     if at:
@@ -123,8 +165,8 @@ def count_kinds(page: str | None) -> Counter:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weight of each kind, from all pages that label themselves. The driver gets two numbers per kind; kinds that are not HTML's are few, and
-    rare ones weigh as unknown tags do."""
+    """Weight of each kind, from all pages that label themselves. The driver gets two numbers per kind; there is one for each end of an element of
+    ELEMENTS and one for all others together, so these are some hundred whatever the pages hold."""
     short_batches(pages.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +180,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     found = pages.select(F.col(html_col).alias("html")).mapInArrow(count, "kind string, inside boolean, n long").groupBy("kind").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")
     )
-    rows = found.orderBy(F.desc(F.col("a") + F.col("b")), "kind").limit(1000).collect()
+    rows = found.collect()
     inside, outside = sum(r.a for r in rows if not r.kind.startswith("word")), sum(r.b for r in rows if not r.kind.startswith("word"))
     weights = {}
     for r in rows:
