@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.functions.mathx import holds, number
-from strikeline.operators.positions import match_positions
+from strikeline.operators.positions import with_held
 from strikeline.params import Params
 
 
@@ -25,16 +25,19 @@ def is_tight(params: Params) -> Column:
     return holds(F.col("bid_ask_spread_pct_of_mid") <= params.max_spread_pct_of_mid)
 
 
-def filter_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:
-    """The three filters at once; contracts that a position holds pass all of them."""
+def with_kept(chain: DataFrame, params: Params, positions: DataFrame | None = None, name: str = "_kept") -> DataFrame:
+    """A flag for rows that pass the three filters at once, or that a position holds."""
     if not params.enable_filters:
-        return chain
+        return chain.withColumn(name, F.lit(True))
     passes = in_strike_band(params) & has_bid() & is_tight(params)
     if positions is None:
-        return chain.where(passes)
-    held = match_positions(chain, positions, params, "left_semi")
-    rest = match_positions(chain, positions, params, "left_anti").where(passes)
-    return held.unionByName(rest)
+        return chain.withColumn(name, passes)
+    return with_held(chain, positions, params).withColumn(name, F.col("_held") | passes).drop("_held")
+
+
+def filter_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:
+    """The three filters at once; contracts that a position holds pass all of them."""
+    return with_kept(chain, params, positions).where("_kept").drop("_kept") if params.enable_filters else chain
 
 
 def filter_accounting(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -25,6 +25,25 @@ def attach(chain: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return chain.join(named, on, "left").drop(*(f"_k_{k}" for k in keys))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Quantiles of the values of each group, interpolated between neighbours, and `_n`, the number of values that are not missing.
+
+    Values are counted first, so a hot group comes as its different values and counts; these are summed up in order, which spills.
+    """
+    # a missing value counts 0; it is not filtered, since a filter would be rewritten in terms of all that a derived value is made of
+    counts = rows.select(*keys, F.col(value).alias("_value")).groupBy(*keys, "_value").agg(F.count("_value").alias("_c"))
+    group = Window.partitionBy(*keys)
+    ranked = counts.select(*keys, "_value", F.sum("_c").over(group.orderBy("_value")).alias("_upto"), F.sum("_c").over(group).alias("_n"))
+    place = lambda q: q * (F.col("_n") - 1)
+    out = [F.max("_n").alias("_n")]
+    for name, q in at.items():
+        out += [F.min(F.when(F.col("_upto") > f(place(q)), F.col("_value"))).alias(f"_{k}_{name}") for k, f in (("low", F.floor), ("high", F.ceil))]
+    stats = ranked.groupBy(*keys).agg(*out)
+    low, high = (lambda n: F.col(f"_low_{n}")), (lambda n: F.col(f"_high_{n}"))
+    mixed = lambda n, q: F.when(low(n) == high(n), low(n)).otherwise((F.ceil(place(q)) - place(q)) * low(n) + (place(q) - F.floor(place(q))) * high(n))
+    return stats.select(*keys, "_n", *(mixed(n, q).alias(n) for n, q in at.items()))
+
+
 def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Volatility level of each underlying: its nearest at-the-money volatility against the 30th and 70th percentile of all above 0.
 
@@ -34,9 +53,10 @@ def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> Da
     keys = [*SNAPSHOT, "underlying_symbol"]
     iv = F.when(F.col("implied_volatility") > 0, F.col("implied_volatility"))
     order = F.when(iv.isNotNull() & F.col("strike_distance_pct").isNotNull() & F.col("expiration_date").isNotNull(), F.struct("expiration_date", "strike_distance_pct", "option_type", "strike", "contract_symbol"))
-    stats = (chain if source is None else source).groupBy(*keys).agg(
-        F.count(iv).alias("_n"), F.percentile(iv, F.lit(0.3)).alias("_p30"), F.percentile(iv, F.lit(0.7)).alias("_p70"), F.coalesce(F.min_by(iv, order), F.median(iv)).alias("_iv")
-    )
+    rows = (chain if source is None else source).select(*keys, iv.alias("_iv"), order.alias("_order"))
+    found = quantiles(rows, keys, "_iv", {"_p30": 0.3, "_p70": 0.7, "_p50": 0.5})
+    near = rows.groupBy(*keys).agg(F.min_by("_iv", "_order").alias("_near"))
+    stats = attach(near, found, keys).withColumn("_iv", F.coalesce("_near", "_p50")).withColumn("_n", F.coalesce("_n", F.lit(0)))
     level = F.when(F.col("_n") < 5, "UNKNOWN").when(F.col("_iv") >= F.col("_p70"), "HIGH").when(F.col("_iv") <= F.col("_p30"), "LOW").otherwise("NEUTRAL")
     return attach(chain, stats.select(*keys, level.alias("iv_state_level")), keys)
 
@@ -44,7 +64,8 @@ def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> Da
 def with_iv_state_term(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Term structure: median volatility of the second expiration against the first."""
     keys = [*SNAPSHOT, "underlying_symbol"]
-    per = (chain if source is None else source).where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull()).groupBy(*keys, "expiration_date").agg(F.median("implied_volatility").alias("m"))
+    per = (chain if source is None else source).where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull())
+    per = quantiles(per, [*keys, "expiration_date"], "implied_volatility", {"m": 0.5})
     w = Window.partitionBy(*keys).orderBy("expiration_date")
     first = per.select(*keys, "m", F.lead("m").over(w).alias("next"), F.row_number().over(w).alias("k")).where("k = 1")
     move = F.col("next") / F.col("m")
@@ -64,18 +85,22 @@ def with_strike_increment(chain: DataFrame, source: DataFrame | None = None) ->
 def with_theta_below_p25(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Whether theta efficiency is below the first quartile of its underlying and type."""
     keys = [*SNAPSHOT, "underlying_symbol", "option_type"]
-    stats = (chain if source is None else source).groupBy(*keys).agg(F.percentile("theta_efficiency", F.lit(0.25)).alias("_p25"))
-    return attach(chain, stats, keys).withColumn("theta_efficiency_below_p25", F.col("theta_efficiency") < F.col("_p25")).drop("_p25")
+    stats = quantiles(chain if source is None else source, keys, "theta_efficiency", {"_p25": 0.25})
+    return attach(chain, stats.drop("_n"), keys).withColumn("theta_efficiency_below_p25", F.col("theta_efficiency") < F.col("_p25")).drop("_p25")
 
 
 def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Expected move of each expiration from the mean volatility of the rows closest to the money."""
     keys = [*SNAPSHOT, "underlying_symbol", "expiration_date"]
     valid = (chain if source is None else source).where((F.col("underlying_price") > 0) & (F.col("time_to_expiration_years") > 0) & (F.col("implied_volatility") > 0) & F.col("strike_distance_pct").isNotNull())
-    rows = valid.select(*keys, "underlying_price", "time_to_expiration_years", "implied_volatility", "strike_distance_pct")
-    nearest = attach(rows, rows.groupBy(*keys).agg(F.min("strike_distance_pct").alias("_least")), keys)
-    close = nearest.where(F.abs(F.col("strike_distance_pct") - F.col("_least")) <= 1e-8 + 1e-5 * F.abs("_least"))
-    stats = close.groupBy(*keys).agg(F.avg("implied_volatility").alias("iv"), F.max("underlying_price").alias("s"), F.max("time_to_expiration_years").alias("t"))
+    distance = F.col("strike_distance_pct")
+    # one row for each distance first, so that a hot expiration is no large group
+    by_distance = valid.groupBy(*keys, "strike_distance_pct").agg(
+        F.sum("implied_volatility").alias("iv"), F.count("*").alias("n"), F.max("underlying_price").alias("s"), F.max("time_to_expiration_years").alias("t")
+    )
+    nearest = by_distance.withColumn("_least", F.min("strike_distance_pct").over(Window.partitionBy(*keys)))
+    close = nearest.where(F.abs(distance - F.col("_least")) <= 1e-8 + 1e-5 * F.abs("_least"))
+    stats = close.groupBy(*keys).agg((F.sum("iv") / F.sum("n")).alias("iv"), F.max("s").alias("s"), F.max("t").alias("t"))
     move = F.col("s") * F.col("iv") * F.sqrt("t")
     out = stats.select(
         *keys, move.alias("expected_move"), (move / F.col("s")).alias("expected_move_pct"), (F.col("s") - move).alias("expected_move_lower_bound"), (F.col("s") + move).alias("expected_move_upper_bound")

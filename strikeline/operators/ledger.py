@@ -55,6 +55,8 @@ def check_snapshot(df: DataFrame, ledger_row: Row, schema_version: int) -> DataF
 
 
 def positions_fingerprint(positions: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted position keys."""
+    """A SHA-256 of the set of position keys, whatever their order: of their number and of the sums of the parts of their own SHA-256."""
     key = F.concat_ws("|", "kind", "ticker", F.coalesce(F.col("expiration_date").cast("string"), F.lit("")), F.coalesce("option_type", F.lit("")), F.coalesce(F.col("strike").cast("string"), F.lit("")))
-    return positions.agg(F.sha2(F.array_join(F.array_sort(F.collect_set(key)), "\n"), 256).alias("fingerprint"))
+    hashed = positions.select(F.sha2(key, 256).alias("h")).distinct()
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (1, 16, 31, 46)]
+    return hashed.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("fingerprint"))

@@ -65,6 +65,14 @@ def match_positions(chain: DataFrame, positions: DataFrame, params: Params, how:
     return chain.join(options, _same_contract(chain, options, params), how)
 
 
+def with_held(chain: DataFrame, positions: DataFrame, params: Params, name: str = "_held") -> DataFrame:
+    """A flag for rows that a held option matches, in one join: the strikes of equal ticker, expiration and type come as an array."""
+    options = _keys(positions).groupBy("_ticker", "_expiration", "_type").agg(F.collect_set("_strike").alias("_strikes"))
+    on = (chain["underlying_symbol"] == options["_ticker"]) & (chain["expiration_date"] == options["_expiration"]) & (chain["option_type"] == options["_type"])
+    near = F.exists("_strikes", lambda x: F.abs(F.col("strike") - x) < params.strike_tolerance)
+    return chain.join(options, on, "left").withColumn(name, F.coalesce(near, F.lit(False))).drop("_ticker", "_expiration", "_type", "_strikes")
+
+
 def position_coverage(positions: DataFrame, chain: DataFrame, params: Params) -> DataFrame:
     """Each held option with the first contract that matches it, by strike and symbol, or none."""
     options = _keys(positions)

@@ -70,9 +70,9 @@ def with_quality_score(chain: DataFrame) -> DataFrame:
 
 
 SCORED = (
-    "premium_per_day bid ask open_interest volume delta_abs probability_itm days_to_expiration strike underlying_price iv_adjusted_premium_per_day spread_score "
-    "dte_score theta_efficiency"
-).split()
+    "premium_per_day", "bid", "ask", "open_interest", "volume", "delta_abs", "probability_itm", "days_to_expiration", "strike", "underlying_price",
+    "iv_adjusted_premium_per_day", "spread_score", "dte_score", "theta_efficiency",
+)
 
 
 def with_option_score(chain: DataFrame, params: Params) -> DataFrame:

@@ -36,18 +36,25 @@ def opportunity(chain: DataFrame) -> DataFrame:
 
 
 def _first(df: DataFrame, order: list[Column], keys: tuple[str, ...] = ("underlying_symbol",)) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order, *TIES)
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """The row of each group that comes first in an ascending order; tasks keep one row of a group each, so a hot group is never sorted."""
+    rest = F.struct(*(c for c in df.columns if c not in keys))
+    return df.groupBy(*keys).agg(F.min_by(rest, F.struct(*(x.alias(f"_{k}") for k, x in enumerate(order)), *TIES)).alias("_first")).select(*keys, "_first.*")
 
 
-def _down(c: str) -> Column:
-    return F.desc_nulls_last(c)
+def _up(x: str) -> list[Column]:
+    """Least first, missing last."""
+    return [F.col(x).isNull(), F.col(x)]
+
+
+def _down(x: str) -> list[Column]:
+    """Greatest first, missing last."""
+    return [F.col(x).isNull(), -F.col(x)]
 
 
 def top_profitable(chain: DataFrame) -> DataFrame:
     """Per underlying, the candidate of the highest annualised return on margin."""
     c = primary_candidates(chain).withColumns({"_final": F.coalesce("final_score", "option_score", F.lit(0.0)), "_quality": F.coalesce("quote_quality_score", F.lit(0))})
-    return opportunity(_first(c, [_down("return_on_margin_annualized"), F.desc("_final"), F.desc("_quality")]))
+    return opportunity(_first(c, [*_down("return_on_margin_annualized"), *_down("_final"), *_down("_quality")]))
 
 
 def top_moderate(chain: DataFrame, params: Params) -> DataFrame:
@@ -56,7 +63,7 @@ def top_moderate(chain: DataFrame, params: Params) -> DataFrame:
     tier = F.when((F.col("delta_abs") <= 0.40) & (F.col("bid_ask_spread_pct_of_mid") <= params.max_spread_pct_of_mid), 1).when(F.col("delta_abs") <= 0.45, 2)
     # the first tier wins whole, so ranking by tier first is the fallback
     ranked = c.withColumn("_tier", tier).where("_tier is not null")
-    return opportunity(_first(ranked, [F.asc("_tier"), F.desc("_final"), _down("return_on_margin_annualized"), F.asc_nulls_last("delta_abs")]))
+    return opportunity(_first(ranked, [*_up("_tier"), *_down("_final"), *_down("return_on_margin_annualized"), *_up("delta_abs")]))
 
 
 def top_conviction(chain: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def top_conviction(chain: DataFrame) -> DataFrame:
     )
     c = primary_candidates(chain).where(F.col("option_type").isin("call", "put"))
     c = c.withColumns({"_score": F.round(score, 9), "_final": final, "_quality": zero("quote_quality_score"), "_spread": zero("spread_score")})
-    order = [F.desc("_score"), F.desc("_final"), F.desc("_quality"), F.desc("_spread"), F.asc_nulls_last("strike_distance_pct")]
+    order = [*_down("_score"), *_down("_final"), *_down("_quality"), *_down("_spread"), *_up("strike_distance_pct")]
     best = _first(c, order, ("underlying_symbol", "option_type"))
     return opportunity(best).join(best.select("underlying_symbol", "option_type", F.col("_score").alias("conviction_score")), ["underlying_symbol", "option_type"])
 
@@ -93,6 +100,7 @@ def ticker_summary(chain: DataFrame) -> DataFrame:
 
 def with_status(summary: DataFrame) -> DataFrame:
     """latest_status and market_context of ticker_summary's rows."""
+    # The labels and sentences below.
     move, iv, hv = F.col("_change") * 100.0, F.col("median_implied_volatility_pct"), F.col("historical_volatility_pct")
     one = lambda x: F.format_string("%.1f", x)
     moved = F.when(move > 0.2, F.concat(F.lit("Up "), one(move), F.lit("%"))).when(move < -0.2, F.concat(F.lit("Down "), one(-move), F.lit("%"))).when(move.isNotNull(), "Flat")
@@ -110,7 +118,7 @@ def with_status(summary: DataFrame) -> DataFrame:
 
 def highlights(profitable: DataFrame, moderate: DataFrame) -> DataFrame:
     """The underlying whose pick has the highest return, of each kind; a return of 0 beats a missing one, ties go to the first symbol."""
-    one = lambda df, kind: df.orderBy(_down("return_on_margin_annualized_pct"), "underlying_symbol").limit(1).select(F.lit(kind).alias("highlight"), "underlying_symbol", "contract_symbol", "return_on_margin_annualized_pct")
+    one = lambda df, kind: df.orderBy(F.desc_nulls_last("return_on_margin_annualized_pct"), "underlying_symbol").limit(1).select(F.lit(kind).alias("highlight"), "underlying_symbol", "contract_symbol", "return_on_margin_annualized_pct")
     return one(profitable, "most_profitable").unionByName(one(moderate, "moderate_risk"))
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
 
 
-GREEKS = "delta probability_itm gamma vega theta delta_abs delta_safety_pct delta_itm_proxy has_valid_greeks".split()
-SCORES = "quote_quality_score option_score score_validation score_adjustment final_score".split()
+GREEKS = (
+    "delta", "probability_itm", "gamma", "vega", "theta", "delta_abs", "delta_safety_pct", "delta_itm_proxy", "has_valid_greeks",
+)
+SCORES = ("quote_quality_score", "option_score", "score_validation", "score_adjustment", "final_score")
 
 
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,11 +37,38 @@ def enrich_rows(chain: DataFrame, params: Params, settled: bool = True) -> DataF
     return mark(screens.with_option_score(screens.with_event_risk(out), params), SCORES)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; one of this machine only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, read from a Parquet table in the shared folder."""
+    out = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+#: What group statistics read.
+STATISTICS = (
+    "snapshot_date", "underlying_symbol", "option_type", "expiration_date", "strike", "contract_symbol", "underlying_price", "time_to_expiration_years",
+    "implied_volatility", "strike_distance_pct", "theta_efficiency",
+)
+
+
 def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:
-    """Row columns, then statistics of the unfiltered chain, then filters, then statistics of what they leave."""
-    rows, light = enrich_rows(chain, params), pricing.with_moneyness(quotes.with_quote_quality(chain))
-    out = groups.with_iv_state_level(rows, light)
-    out = groups.with_strike_increment(groups.with_iv_state_term(out, light), light)
-    left = filters.filter_chain(light, params, positions)
-    out = groups.with_theta_below_p25(filters.filter_chain(out, params, positions), filters.filter_chain(rows, params, positions))
-    return groups.with_expected_move(out, left)
+    """Row columns, then statistics of the unfiltered chain, then filters, then statistics of what they leave.
+
+    The columns that statistics need are computed once and stored; every statistic reads that narrow table, and the chain is read once more for its rows.
+    """
+    every = stored(filters.with_kept(enrich_rows(chain, params, settled=False), params, positions).select(*STATISTICS, "_kept"))
+    kept = every.where("_kept")
+    out = filters.filter_chain(enrich_rows(chain, params), params, positions)
+    out = groups.with_iv_state_term(groups.with_iv_state_level(out, every), every)
+    return groups.with_expected_move(groups.with_theta_below_p25(groups.with_strike_increment(out, every), kept), kept)

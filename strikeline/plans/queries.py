@@ -190,16 +190,18 @@ def greeks_merge(spark, sf):
 
 
 def _quote_arrays(spark, sf):
-    """Arrays of quotes, an underlying's in many rows by a hash of the contract. The SQL takes the same part of the chain."""
-    c = tables.chain(spark, sf).where("_order % 50 = 0")
-    value = F.struct(F.col("contract_symbol").alias("k"), F.when(F.col("_line") != 1, F.col("last_trade_price")).alias("last"), F.when(F.col("_line") != 2, F.unix_seconds("option_quote_time")).alias("updated"), F.col("underlying_day_change_pct").alias("changepct"))
-    rows = c.where("_n <= 20").groupBy("underlying_symbol", F.pmod(F.xxhash64("contract_symbol"), F.lit(1 << 20)).alias("part")).agg(F.array_sort(F.collect_list(value)).alias("q"))
+    """Arrays of quotes, an underlying's in many rows by a hash of the contract; the last underlyings have no price in them."""
+    value = F.struct(
+        F.col("contract_symbol").alias("k"), F.when((F.col("_line") != 1) & (F.col("_n") <= 20), F.col("last_trade_price")).alias("last"), F.when(F.col("_line") != 2, F.unix_seconds("option_quote_time")).alias("updated"),
+        F.col("underlying_day_change_pct").alias("changepct"),
+    )
+    rows = tables.chain(spark, sf).groupBy("underlying_symbol", F.pmod(F.xxhash64("contract_symbol"), F.lit(1 << 20)).alias("part")).agg(F.array_sort(F.collect_list(value)).alias("q"))
     return rows.select("underlying_symbol", F.col("q.k").alias("key"), *(F.col(f"q.{k}").alias(k) for k in ("last", "updated", "changepct")))
 
 
 _BEST = """, qa AS (
-  SELECT underlying_symbol, underlying_day_change_pct AS ch, CASE WHEN line <> 1 THEN last_trade_price END AS last, CASE WHEN line <> 2 THEN CAST(floor(epoch(option_quote_time)) AS BIGINT) END AS upd,
-    row_number() OVER (PARTITION BY underlying_symbol ORDER BY contract_symbol) AS pos FROM chain WHERE o % 50 = 0 AND n <= 20
+  SELECT underlying_symbol, underlying_day_change_pct AS ch, CASE WHEN line <> 1 AND n <= 20 THEN last_trade_price END AS last, CASE WHEN line <> 2 THEN CAST(floor(epoch(option_quote_time)) AS BIGINT) END AS upd,
+    row_number() OVER (PARTITION BY underlying_symbol ORDER BY contract_symbol) AS pos FROM chain
 ), qb AS (
   SELECT *, row_number() OVER (PARTITION BY underlying_symbol ORDER BY upd DESC NULLS LAST, pos) AS k FROM qa WHERE last IS NOT NULL
 )"""
@@ -346,8 +348,9 @@ def expiration_window(spark, sf):
 # --- group statistics --------------------------------------------------------------------------------------------------------
 
 
-def _rows(spark, sf):
-    return enrich.enrich_rows(tables.chain(spark, sf), PARAMS)
+def _rows(spark, sf, settled: bool = False):
+    """Settled where a filter or an order reads Greeks or scores; without, what a query does not read is not computed."""
+    return enrich.enrich_rows(tables.chain(spark, sf), PARAMS, settled)
 
 
 def _group_query(name: str, fn, columns: str, sql: str) -> None:
@@ -403,7 +406,7 @@ def filter_accounting(spark, sf):
 
 @query("table_value_filter", "WITH " + oracle.ROWS + " SELECT contract_symbol, coalesce(score_validation, '—') AS label FROM enriched WHERE coalesce(score_validation, '—') IN ('—', 'DISCREPANCY')")
 def table_value_filter(spark, sf):
-    return filters.value_filter(_rows(spark, sf), "score_validation", ["—", "DISCREPANCY"]).select("contract_symbol", filters.label("score_validation").alias("label"))
+    return filters.value_filter(_rows(spark, sf, settled=True), "score_validation", ["—", "DISCREPANCY"]).select("contract_symbol", filters.label("score_validation").alias("label"))
 
 
 @query("facet_values", "WITH " + oracle.ROWS + " SELECT DISTINCT coalesce(score_validation, '—') AS label FROM enriched")
@@ -445,7 +448,7 @@ def validation_summary(spark, sf):
     return validation.summarize(validation.row_findings(_raw_text(spark, sf)))
 
 
-@query("validate_sources", "SELECT 'error' AS severity, 'mixed_data_sources' AS code, 'data_source' AS field, 'Export frame contains rows from multiple data sources.' AS message FROM lineitem HAVING count(DISTINCT l_returnflag) > 1")
+@query("validate_sources", "SELECT 'error' AS severity, 'mixed_data_sources' AS code, 'data_source' AS field, 'rows of more than one source' AS message FROM lineitem HAVING count(DISTINCT l_returnflag) > 1")
 def validate_sources(spark, sf):
     return validation.mixed_sources(tables.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("data_source")))
 
@@ -481,7 +484,7 @@ _TIES = "option_type, strike, contract_symbol"
 
 
 def _top(name: str, fn, inner: str, extra: str = "") -> None:
-    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf)), _TOP + (" conviction_score" if extra else "") + " return_on_margin_annualized_pct")
+    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf, settled=True)), _TOP + (" conviction_score" if extra else "") + " return_on_margin_annualized_pct")
     ORACLE[name] = (
         "WITH " + oracle.ROWS + f", ranked AS ({inner}) SELECT {', '.join(oracle.shown(c) for c in _TOP.split())}{extra}, round(round(return_on_margin_annualized * 100e0, 1), 6) AS return_on_margin_annualized_pct FROM ranked WHERE k = 1"
     )
@@ -536,7 +539,7 @@ _PROFITABLE = f"SELECT *, row_number() OVER (PARTITION BY underlying_symbol ORDE
 ) SELECT highlight, underlying_symbol, contract_symbol, r AS return_on_margin_annualized_pct FROM u QUALIFY row_number() OVER (PARTITION BY highlight ORDER BY r DESC NULLS LAST, underlying_symbol) = 1""",
 )
 def highlights(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _rows(spark, sf, settled=True)
     return shown(summaries.highlights(summaries.top_profitable(rows), summaries.top_moderate(rows, PARAMS)))
 
 
@@ -608,7 +611,7 @@ def liquidity_topk(spark, sf):
 
 @query("table_sort_page", oracle.pick("contract_symbol final_score", "(SELECT * FROM enriched ORDER BY final_score DESC NULLS LAST, contract_symbol LIMIT 100 OFFSET 100)"))
 def table_sort_page(spark, sf):
-    return shown(summaries.sort_page(_rows(spark, sf), "final_score", 2, 100, descending=True), "contract_symbol final_score")
+    return shown(summaries.sort_page(_rows(spark, sf, settled=True), "final_score", 2, 100, descending=True), "contract_symbol final_score")
 
 
 @query(
@@ -651,4 +654,7 @@ def retention_candidates(spark, sf):
     return shown(ledger.retention_candidates(tables.ledger(spark, sf), 100))
 
 
+from strikeline.plans import contracts  # noqa: E402
+
+contracts.register(query, shown)
 ORACLE.update({name: oracle.nudged(sql) for name, sql in ORACLE.items()})

@@ -58,7 +58,10 @@ def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def underlyings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per underlying: its snapshot and events."""
-    fields = "underlying_price underlying_price_time underlying_day_change_pct historical_volatility next_earnings_date next_earnings_date_is_estimated next_ex_div_date dividend_amount".split()
+    fields = (
+    "underlying_price", "underlying_price_time", "underlying_day_change_pct", "historical_volatility", "next_earnings_date",
+    "next_earnings_date_is_estimated", "next_ex_div_date", "dividend_amount",
+)
     return chain(spark, sf_dir).groupBy("underlying_symbol").agg(*(F.max(c).alias(c) for c in fields))
 
 

@@ -19,7 +19,9 @@ ARRAY_NAMES = {
     "optionSymbol": "contract_symbol", "underlying": "underlying_symbol", "side": "option_type", "updated": "option_quote_time", "last": "last_trade_price",
     "openInterest": "open_interest", "iv": "implied_volatility",
 }
-NUMBERS = "strike last_trade_price bid ask change percent_change volume open_interest implied_volatility".split()
+NUMBERS = (
+    "strike", "last_trade_price", "bid", "ask", "change", "percent_change", "volume", "open_interest", "implied_volatility",
+)
 
 NESTED = (
     "details struct<ticker:string,contract_type:string,expiration_date:string,strike_price:double,shares_per_contract:string>, "
@@ -138,16 +140,40 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def csv_cells(line: Column) -> Column:
+    """Trimmed cells of a line; a quoted cell may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit('(\\s*"(?:[^"]|"")*"\\s*|[^,]*),'), F.lit(1))
+    plain = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.transform(raw, lambda x: F.trim(x)), lambda x: F.trim(plain(x)))
+
+
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a positions export up to the first blank line after its data, as (line, cells). Leading blank lines are skipped, the first other
-    line is the header, cells are trimmed."""
-    blank = lambda lines: F.transform(lines, lambda x: F.trim(x) == "")
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n").alias("lines"))
-    start = F.array_position(blank(F.col("lines")), False)
-    rows = lines.where(start > 0).select(F.slice("lines", start.cast("int"), F.size("lines")).alias("lines"))
-    end = F.array_position(blank(F.col("lines")), True)
-    body = rows.select(F.posexplode(F.when(end > 0, F.slice("lines", F.lit(1), (end - 1).cast("int"))).otherwise(F.col("lines"))).alias("line", "text"))
-    return body.select("line", F.transform(F.split("text", ","), lambda x: F.trim(x)).alias("cells"))
+    """The rows of positions exports, the header first, up to the first blank line after the data, as (line, cells). Blank lines before the header and
+    before the data are skipped, cells are trimmed, short rows are padded to the header's cells and longer ones cut."""
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n").alias("lines"))
+    rows = files.select(F.transform("lines", csv_cells).alias("rows"))
+    filled = lambda r: F.exists(r, lambda x: x != "")
+    first = F.array_position(F.transform("rows", filled), True).cast("int")
+    rows = rows.where(first > 0).select(F.get("rows", first - 1).alias("header"), F.slice("rows", first + 1, F.size("rows")).alias("rows"))
+    data = F.array_position(F.transform("rows", filled), True).cast("int")
+    rows = rows.select("header", F.when(data > 0, F.slice("rows", data, F.size("rows"))).otherwise(F.slice("rows", 1, 0)).alias("rows"))
+    end = F.array_position(F.transform("rows", filled), False).cast("int")
+    rows = rows.select("header", F.concat(F.array("header"), F.when(end > 0, F.slice("rows", F.lit(1), end - 1)).otherwise(F.col("rows"))).alias("rows"))
+    padded = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.size("header"))), F.lit(1), F.size("header"))
+    return rows.select(F.posexplode(F.transform("rows", padded)).alias("line", "cells"))
+
+
+def flatten_calendar(payloads: DataFrame, params: Params) -> DataFrame:
+    """Landed calendars as events of next_events. payloads: underlying_symbol, earnings (nested arrays of dates or epochs), ex_date and amount
+    (parallel arrays, of which the shorter counts). Values that are no dates go; amounts that are no numbers are missing."""
+    dated = lambda x: event_date(x, params.market_zone)
+    none = F.lit(None)
+    earnings = payloads.select("underlying_symbol", F.posexplode(F.flatten("earnings")).alias("seq", "raw"))
+    earnings = earnings.select("underlying_symbol", F.lit("earnings_calendar").alias("kind"), dated(F.col("raw")).alias("event"), none.cast("boolean").alias("is_estimated"), none.cast("double").alias("amount"), "seq")
+    n = F.least(F.size("ex_date"), F.size("amount"))
+    dividends = payloads.where(n > 0).select("underlying_symbol", F.posexplode(F.slice(F.arrays_zip("ex_date", "amount"), F.lit(1), n)).alias("seq", "d"))
+    dividends = dividends.select("underlying_symbol", F.lit("dividend").alias("kind"), dated(F.col("d.ex_date")).alias("event"), none.cast("boolean").alias("is_estimated"), number(F.col("d.amount").cast("string")).alias("amount"), "seq")
+    return earnings.unionByName(dividends).where("event is not null")
 
 
 def best_quote_row(quotes: DataFrame) -> DataFrame:

@@ -169,9 +169,34 @@ def test_expiration_window_and_snapshot(spark):
 
 
 def test_positions_table_stops_at_footer(spark, tmp_path):
-    (tmp_path / "p.csv").write_text("﻿\n\nSymbol, Qty\nTSLA , 1\n -X260618C82.5,2,\n\nfooter text\n")
+    (tmp_path / "p.csv").write_text('\ufeff\n,,\nSymbol, Qty,Name\n\nTSLA , 1\n -X260618C82.5,2, "a, ""b"" ",9\n,,,\nfooter text\n')
+    (tmp_path / "empty.csv").write_text("\n\n")
     got = rows(vendors.read_positions(spark, str(tmp_path / "p.csv")).orderBy("line"), "cells")
-    assert [r[0] for r in got] == [["Symbol", "Qty"], ["TSLA", "1"], ["-X260618C82.5", "2", ""]]
+    assert [r[0] for r in got] == [["Symbol", "Qty", "Name"], ["TSLA", "1", ""], ["-X260618C82.5", "2", 'a, "b"']]
+    assert vendors.read_positions(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def test_calendars_become_events(spark):
+    p = Params()
+    raw = spark.createDataFrame(
+        [("A", [["2002-01-01", "soon"], ["2002-02-03", None]], ["2002-01-20", "2002-01-05", "2002-01-09"], ["1", "x"]), ("B", None, None, None), ("C", [[]], ["1011916800"], ["0.5"])],
+        "underlying_symbol string, earnings array<array<string>>, ex_date array<string>, amount array<string>",
+    )
+    events = vendors.flatten_calendar(raw, p)
+    assert sorted((r.underlying_symbol, r.kind, str(r.event), r.amount) for r in events.collect()) == [
+        ("A", "dividend", "2002-01-05", None), ("A", "dividend", "2002-01-20", 1.0), ("A", "earnings_calendar", "2002-01-01", None), ("A", "earnings_calendar", "2002-02-03", None),
+        ("C", "dividend", "2002-01-24", 0.5),
+    ]
+    assert {r.underlying_symbol: (str(r.next_earnings_date), str(r.next_ex_div_date), r.dividend_amount) for r in vendors.next_events(events, p).collect()} == {
+        "A": ("2002-02-03", "2002-01-05", None), "C": ("None", "2002-01-24", 0.5)
+    }
+
+
+def test_quantiles_equal_percentile(spark):
+    df = spark.createDataFrame([("a", float(k % 7)) for k in range(40)] + [("a", None), ("b", None), ("c", 3.0), (None, 1.5), (None, 2.5)], "g string, _n double")
+    got = {r.g: (r.m, r.q) for r in groups.quantiles(df, ["g"], "_n", {"m": 0.5, "q": 0.3}).collect()}
+    assert got == {r.g: (r.m, r.q) for r in df.groupBy("g").agg(F.median("_n").alias("m"), F.percentile("_n", F.lit(0.3)).alias("q")).collect()}
+
 
 
 def test_landed_payloads(spark, tmp_path):

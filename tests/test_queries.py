@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "part", "orders", "events"):
+    for t in ("lineitem", "part", "orders", "events", "supplier"):
         c.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     return c
 
