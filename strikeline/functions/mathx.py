@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of a published rational approximation of the normal tail (West, 2005), highest power first.
 P = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 Q = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 ROOT_TWO_PI = 2.5066282746310002
+# Its continued fraction for the far tail, z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65)))), as one quotient of polynomials, upside down.
+FAR_P = (1.0, 0.65, 9.0, 5 * 0.65, 8.0)
+FAR_Q = tuple(2.506628274631 * c for c in (1.0, 0.65, 10.0, 6 * 0.65, 15.0, 3 * 0.65))
 
 
 def horner(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -21,12 +24,15 @@ def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2.0) / F.lit(ROOT_TWO_PI)
 
 
-def norm_cdf(x: Column) -> Column:
-    """Standard normal distribution, to 1e-15; missing in, missing out."""
-    z = F.abs(x)
-    e = F.exp(-z * z / 2.0)
-    fraction = z + 1.0 / (z + 2.0 / (z + 3.0 / (z + 4.0 / (z + 0.65))))
-    tail = F.when(z > 37, 0.0).when(z < 7.07106781186547, e * horner(z, P) / horner(z, Q)).otherwise(e / (fraction * 2.506628274631))
+def tail_size(x: Column) -> Column:
+    """How far x is from 0, for norm_cdf: never missing, and at most 40, beyond which the tail is 0."""
+    return F.least(F.abs(F.coalesce(x, F.lit(0.0))), F.lit(40.0))
+
+
+def norm_cdf(x: Column, z: Column) -> Column:
+    """Standard normal distribution, to 1e-15; missing in, missing out. z is tail_size(x) as a column of its own, since it is used some twenty times."""
+    near = z < 7.07106781186547
+    tail = F.exp(-z * z / 2.0) * F.when(near, horner(z, P) / horner(z, Q)).otherwise(horner(z, FAR_P) / horner(z, FAR_Q))
     return F.when(x.isNotNull(), F.when(x > 0, 1.0 - tail).otherwise(tail))
 
 
@@ -53,3 +59,12 @@ def number(x: Column) -> Column:
     """Text as a double; bad text and NaN are missing."""
     d = x.try_cast("double")
     return F.when(~F.isnan(d), d)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """The same rows; expressions above and below are compiled apart.
+
+    Spark makes one method of a chain of projections, and the JVM never compiles a method of more than 8,000 bytecodes: it is interpreted, at a
+    fraction of the speed. Coalescing to more partitions than there are moves nothing, but ends the generated method. Filters and column pruning pass it.
+    """
+    return df.coalesce(1 << 30)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.functions.mathx import holds, norm_cdf, norm_pdf
+from strikeline.functions.mathx import apart, holds, norm_cdf, norm_pdf, tail_size
 from strikeline.params import Params
 
 DERIVED = ("delta", "gamma", "theta", "vega", "probability_itm")
@@ -25,7 +25,9 @@ def with_greeks(chain: DataFrame, params: Params) -> DataFrame:
     scale = F.col("_sigma") * F.sqrt(years)
     out = out.withColumn("_d1", F.when(F.col("_valid"), (F.ln(spot / strike) + (params.risk_free_rate + F.col("_sigma") * F.col("_sigma") / 2.0) * years) / scale))
     out = out.withColumn("_d2", F.col("_d1") - scale)
-    out = out.withColumns({"_n1": norm_cdf(F.col("_d1")), "_n2": norm_cdf(F.col("_d2")), "_p1": norm_pdf(F.col("_d1")), "_discount": F.exp(-params.risk_free_rate * years)})
+    out = apart(out.withColumns({"_z1": tail_size(F.col("_d1")), "_z2": tail_size(F.col("_d2")), "_p1": norm_pdf(F.col("_d1")), "_discount": F.exp(-params.risk_free_rate * years)}))
+    out = apart(out.withColumn("_n1", norm_cdf(F.col("_d1"), F.col("_z1"))))
+    out = apart(out.withColumn("_n2", norm_cdf(F.col("_d2"), F.col("_z2"))))
     decay = -(spot * F.col("_p1") * F.col("_sigma")) / (2.0 * F.sqrt(years))
     carry = params.risk_free_rate * strike * F.col("_discount")
     made = {
@@ -45,4 +47,4 @@ def with_greeks(chain: DataFrame, params: Params) -> DataFrame:
             "has_valid_greeks": F.col("_valid") | F.col("delta").isNotNull(),
         }
     )
-    return out.drop("_sigma", "_valid", "_d1", "_d2", "_n1", "_n2", "_p1", "_discount", *(f"_vendor_{c}" for c in vendor))
+    return out.drop("_sigma", "_valid", "_d1", "_d2", "_z1", "_z2", "_n1", "_n2", "_p1", "_discount", *(f"_vendor_{c}" for c in vendor))

@@ -56,7 +56,8 @@ def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> Da
     rows = (chain if source is None else source).select(*keys, iv.alias("_iv"), order.alias("_order"))
     found = quantiles(rows, keys, "_iv", {"_p30": 0.3, "_p70": 0.7, "_p50": 0.5})
     near = rows.groupBy(*keys).agg(F.min_by("_iv", "_order").alias("_near"))
-    stats = attach(near, found, keys).withColumn("_iv", F.coalesce("_near", "_p50")).withColumn("_n", F.coalesce("_n", F.lit(0)))
+    both = found.unionByName(near, allowMissingColumns=True).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("_n", "_p30", "_p70", "_p50", "_near")))
+    stats = both.withColumn("_iv", F.coalesce("_near", "_p50"))
     level = F.when(F.col("_n") < 5, "UNKNOWN").when(F.col("_iv") >= F.col("_p70"), "HIGH").when(F.col("_iv") <= F.col("_p30"), "LOW").otherwise("NEUTRAL")
     return attach(chain, stats.select(*keys, level.alias("iv_state_level")), keys)
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeline.functions.mathx import apart
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
 
@@ -30,11 +31,11 @@ def settle(df: DataFrame, columns: list[str]) -> DataFrame:
 def enrich_rows(chain: DataFrame, params: Params, settled: bool = True) -> DataFrame:
     """All columns that depend on their own row alone; no shuffle. Without settling, columns that nobody reads are not computed."""
     mark = settle if settled else (lambda df, _: df)
-    out = pricing.with_premium(pricing.with_moneyness(quotes.with_quote_quality(chain)))
-    out = mark(greeks.with_greeks(pricing.with_margin(out), params), GREEKS)
-    out = screens.with_tiers(screens.with_freshness(pricing.with_theta_capital(out), params))
-    out = screens.with_quality_score(screens.with_screen(screens.with_risk(out), params))
-    return mark(screens.with_option_score(screens.with_event_risk(out), params), SCORES)
+    out = apart(pricing.with_premium(apart(pricing.with_moneyness(quotes.with_quote_quality(chain)))))
+    out = mark(greeks.with_greeks(apart(pricing.with_margin(out)), params), GREEKS)
+    out = screens.with_tiers(screens.with_freshness(apart(pricing.with_theta_capital(out)), params))
+    out = apart(screens.with_quality_score(screens.with_screen(screens.with_risk(out), params)))
+    return mark(screens.with_option_score(apart(screens.with_event_risk(out)), params), SCORES)
 
 
 def shared_folder(spark: SparkSession) -> str:
