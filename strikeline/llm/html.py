@@ -197,19 +197,27 @@ DEFAULT_WEIGHTS = {"word": 1.0, FURNITURE: -4.0}
 UNKNOWN = -3.0
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """Text of the best run: blocks in page order, white space within them as one space, joined by one space."""
-    tokens = _tokens(page or "")
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Begin and end of the contiguous run of the largest sum, in one scan; of runs of one sum the one that ends first, and no run where no sum is above 0."""
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, t in enumerate(tokens):
+    for i, x in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
-        kind, n = _kinds(t)
-        total += weights.get(kind, UNKNOWN) * n
+        total += x
         if total > best:
             best, best_at = total, (begin, i + 1)
+    return best_at
+
+
+def scored(tokens: list[tuple], weights: dict[str, float]) -> list[float]:
+    return [weights.get(kind, UNKNOWN) * n for kind, n in map(_kinds, tokens)]
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """Text of the best run: blocks in page order, white space within them as one space, joined by one space."""
+    tokens = _tokens(page or "")
     parts: list[str] = []
-    for t in tokens[slice(*best_at)]:
+    for t in tokens[slice(*best_run(scored(tokens, weights)))]:
         if t[0] == TEXT:
             if not t[2]:
                 parts.append(entities.unescape(t[1]))
