@@ -116,7 +116,7 @@ W = {**html.DEFAULT_WEIGHTS, "p": -0.2, "/p": -0.2, "a": -0.2, "/a": -0.2, "div"
     ("body", "text"),
     [
         ('<article><p>Hello <a href="x>world</a> again</p></article>', "Hello world again"),
-        ("<article><p>One more text of words<p class=notice>Cookies<p>Two and more words</article>", "One more text of words Two and more words"),
+        ("<article><p>One more text of words<p class=notice>Cookies<p>Two and more words of the same text</article>", "One more text of words Two and more words of the same text"),
         ('<article><div class="post-header"><h1>A title</h1></div><header>By me</header><p>Text of it</p></article>', "A title By me Text of it"),
         ('<div class="header">Site name</div><article><p>Text of it all</p></article>', "Text of it all"),
         ("<article><ul><li class=share>Share<li>Point one<li>Point two</ul></article>", "Point one Point two"),
