@@ -127,6 +127,6 @@ SELECT coalesce(e.underlying_symbol, d.underlying_symbol) AS underlying_symbol,
     _key = "concat_ws('|', kind, ticker, coalesce(strftime(expiration_date, '%Y-%m-%d'), ''), coalesce(option_type, ''), coalesce(CAST(strike AS VARCHAR), ''))"
     _sums = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {k}, 15) AS BIGINT)), 0) AS VARCHAR)" for k in (1, 16, 31, 46))
 
-    @query("positions_fingerprint", "WITH " + oracle.CHAIN + oracle.POSITIONS + f", hashed AS (SELECT DISTINCT sha256({_key}) AS h FROM positions) SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_sums})) AS fingerprint FROM hashed")
+    @query("positions_fingerprint", "WITH " + oracle.CHAIN + oracle.ALL_POSITIONS + f", hashed AS (SELECT DISTINCT sha256({_key}) AS h FROM positions) SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_sums})) AS fingerprint FROM hashed")
     def positions_fingerprint(spark, sf):
-        return ledger.positions_fingerprint(positions.parse_positions(tables.raw_positions(spark, sf)))
+        return ledger.positions_fingerprint(positions.parse_positions(tables.raw_positions(spark, sf, every=True)))

@@ -180,6 +180,8 @@ POSITIONS = """, symbols AS (
     CASE WHEN sym LIKE ' -%' THEN CAST(regexp_extract(sym, '[CP]([0-9.]+)$', 1) AS DOUBLE) END AS strike
   FROM symbols WHERE sym NOT IN ('SPAXX**', 'Pending activity')
 )"""
+#: Positions of every contract, where POSITIONS has those of a portfolio.
+ALL_POSITIONS = POSITIONS.replace(" FROM chain WHERE o % 97 = 0", " FROM chain")
 HELD = "EXISTS (SELECT 1 FROM positions p WHERE p.kind = 'option' AND p.ticker = c.underlying_symbol AND p.expiration_date = c.expiration_date AND p.option_type = c.option_type AND abs(p.strike - c.strike) < 0.01e0)"
 BAND = "c.strike BETWEEN c.underlying_price * (1e0 - 0.35e0) AND c.underlying_price * (1e0 + 0.35e0)"
 FILTERED = ROWS + POSITIONS + f", kept AS (SELECT * FROM enriched c WHERE {HELD} OR ({BAND} AND (bid IS NULL OR bid <> 0) AND coalesce(bid_ask_spread_pct_of_mid <= 0.25e0, false)))"

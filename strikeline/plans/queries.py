@@ -275,18 +275,20 @@ def _positions(spark, sf):
     return positions.parse_positions(tables.raw_positions(spark, sf))
 
 
-@query("positions_parse", "WITH " + oracle.CHAIN + oracle.POSITIONS + " SELECT kind, ticker, strftime(expiration_date, '%Y-%m-%d') AS expiration_date, option_type, round(strike, 6) AS strike FROM positions")
+@query("positions_parse", "WITH " + oracle.CHAIN + oracle.ALL_POSITIONS + " SELECT kind, ticker, strftime(expiration_date, '%Y-%m-%d') AS expiration_date, option_type, round(strike, 6) AS strike FROM positions")
 def positions_parse(spark, sf):
-    return shown(_positions(spark, sf))
+    """Every contract of the chain as a position's symbol."""
+    return shown(positions.parse_positions(tables.raw_positions(spark, sf, every=True)))
 
 
 @query(
     "ticker_universe",
-    "WITH " + oracle.CHAIN + oracle.POSITIONS + """, configured AS (SELECT DISTINCT underlying_symbol AS ticker FROM chain WHERE n <= 10)
+    "WITH " + oracle.CHAIN + oracle.ALL_POSITIONS + """, configured AS (SELECT DISTINCT underlying_symbol AS ticker FROM chain WHERE n <= 10)
 SELECT ticker, false AS is_added FROM configured UNION ALL SELECT DISTINCT ticker, true FROM positions WHERE kind = 'stock' AND ticker NOT IN (SELECT ticker FROM configured)""",
 )
 def ticker_universe(spark, sf):
-    return positions.ticker_universe(tables.chain(spark, sf).where("_n <= 10").select(F.col("underlying_symbol").alias("ticker")), _positions(spark, sf))
+    every = positions.parse_positions(tables.raw_positions(spark, sf, every=True))
+    return positions.ticker_universe(tables.chain(spark, sf).where("_n <= 10").select(F.col("underlying_symbol").alias("ticker")), every)
 
 
 @query("positions_match", "WITH " + oracle.CHAIN + oracle.POSITIONS + f" SELECT contract_symbol, round(strike, 6) AS strike FROM chain c WHERE {oracle.HELD}")

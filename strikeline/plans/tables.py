@@ -43,9 +43,12 @@ def chain(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFr
     )
 
 
-def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Symbol column: held options at strikes within and beyond the tolerance, held stocks, cash and pending rows."""
-    c = chain(spark, sf_dir).where("_order % 97 = 0")
+def raw_positions(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """A Symbol column: held options at strikes within and beyond the tolerance, held stocks, cash and pending rows; of a portfolio that holds
+    some of the contracts, or of all of them."""
+    c = chain(spark, sf_dir)
+    if not every:
+        c = c.where("_order % 97 = 0")
     strike = F.format_string("%.3f", F.col("strike") + F.when(F.col("_line") % 2 == 0, 0.005).otherwise(0.02))
     option = F.concat(F.lit(" -"), "underlying_symbol", F.date_format("expiration_date", "yyMMdd"), F.when(F.col("option_type") == "call", "C").otherwise("P"), strike)
     stock = F.when(F.col("_n") % 3 == 0, F.col("underlying_symbol")).when(F.col("_n") % 3 == 1, "SPAXX**").otherwise("Pending activity")
