@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -212,5 +213,30 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 def shared_table(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, which is smaller than a checkpoint."""
     out = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    for folders in _watched:
+        folders.append(out)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+#: Lists of the folders of tables that were written while each was watched.
+_watched: list[list[str]] = []
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder by the file system that it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared tables that are written within, once nothing within needs them any more."""
+    folders: list[str] = []
+    _watched.append(folders)
+    try:
+        yield
+    finally:
+        _watched.remove(folders)
+        for folder in folders:
+            drop_folder(spark, folder)

@@ -1,9 +1,10 @@
 """Stages of the pipeline on ids that repeat, missing ids and empty tables."""
 
+import os
 import random
 
 import corpus_pipeline as pipeline
-from strikeline.llm import jaccard
+from strikeline.llm import jaccard, vectors
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,3 +43,18 @@ def test_passages_go_and_clean_documents_stay(spark):
     got = {r.doc_id: r.text for r in pipeline.repeated_passages(spark, docs, "").collect()}
     assert all(planted not in got[k] and got[k].split()[:40] == rows[k][1].split()[:40] for k in range(4))
     assert all(got[i] == t for i, t in rows if 10 <= i <= 20) and 21 not in got
+
+
+def test_only_the_last_result_stays(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    os.makedirs(f"{tmp_path}/shared")
+    base = words(rng, 60, 300)
+    rows = [(k, f"{words(rng, 80, 300)} the and of to in", "en", "s", 1) for k in range(20)] + [(30, base, "en", "s", 1), (31, base, "en", "s", 1)]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", words(rng, 12))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for module in (pipeline, vectors):
+        monkeypatch.setattr(module, "shared_folder", lambda _: f"{tmp_path}/shared")
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.select("doc_id").distinct().count() == 21
+    left = os.listdir(f"{tmp_path}/shared")
+    assert len(left) == 1 and left[0].startswith("pipeline-") and os.listdir(f"{tmp_path}/shared/{left[0]}") == ["4-sentence_pieces"]
