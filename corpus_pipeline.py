@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strikeline.llm import decontaminate, jaccard, langid, pieces, suffixes
-from strikeline.llm.vectors import shared_folder
+from strikeline.llm.vectors import drop_folder, passing_tables, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text without letters, or of which no language holds this share, is rejected.
@@ -63,11 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir. Results between stages stand below the shared folder of spark.checkpoint.dir."""
+    """All stages over the documents of sf_dir. Results between stages stand below the shared folder of spark.checkpoint.dir; a stage's input and
+    its own tables are deleted once its result is written, so the folder of the last result is what stays."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        with passing_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
