@@ -52,7 +52,8 @@ def _has_letter(text: str | None) -> bool:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the log-probability of each trigram bucket in each, from all rows that have a language.
 
-    Counts are summed in the tasks and then by language in two steps; the driver gets one vector of fixed length per language.
+    Counts are summed in the tasks and then by language in two steps; the driver gets one vector of fixed length per language. The model takes 256 KB
+    for each different label, and training twice that: a column of thousands of labels that are no languages is to be cleaned first.
     """
     short_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
