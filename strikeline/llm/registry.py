@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeline.llm import chat, decontaminate, fingerprint, html, jaccard, langid, lm_scoring, pieces, quality, suffixes
+from strikeline.llm import align, chat, decontaminate, fingerprint, html, jaccard, langid, lm_scoring, negatives, pieces, quality, suffixes, urls
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_sentencepiece_sampling": pieces.op9_sentencepiece_sampling,
     "op10_html_extraction": html.op10_html_extraction,
+    "op11_url_filters": urls.op11_url_filters,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_tokenizer_alignment": align.op13_tokenizer_alignment,
 }
 
-ORACLE_SQL = {"op1_lm_scoring": lm_scoring.OP1_SQL, "op7_chat_formatting": chat.OP7_SQL}
+ORACLE_SQL = {"op1_lm_scoring": lm_scoring.OP1_SQL, "op7_chat_formatting": chat.OP7_SQL, "op12_hard_negatives": negatives.OP12_SQL}
