@@ -2,53 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Coefficients of a published rational approximation of the normal tail (West, 2005), highest power first.
-P = (3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
-Q = (8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
-ROOT_TWO_PI = 2.5066282746310002
-# Its continued fraction for the far tail, z + 1 / (z + 2 / (z + 3 / (z + 4 / (z + 0.65)))), as one quotient of polynomials, upside down.
-FAR_P = (1.0, 0.65, 9.0, 5 * 0.65, 8.0)
-FAR_Q = tuple(2.506628274631 * c for c in (1.0, 0.65, 10.0, 6 * 0.65, 15.0, 3 * 0.65))
-
-
-def horner(x: Column, coefficients: tuple[float, ...]) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
-
-
-def norm_pdf(x: Column) -> Column:
-    return F.exp(-x * x / 2.0) / F.lit(ROOT_TWO_PI)
-
-
-def tail_size(x: Column) -> Column:
-    """How far x is from 0, for norm_cdf: never missing, and at most 40, beyond which the tail is 0."""
-    return F.least(F.abs(F.coalesce(x, F.lit(0.0))), F.lit(40.0))
-
-
-def norm_cdf(x: Column, z: Column) -> Column:
-    """Standard normal distribution, to 1e-15; missing in, missing out. z is tail_size(x) as a column of its own, since it is used some twenty times."""
-    near = z < 7.07106781186547
-    tail = F.exp(-z * z / 2.0) * F.when(near, horner(z, P) / horner(z, Q)).otherwise(horner(z, FAR_P) / horner(z, FAR_Q))
-    return F.when(x.isNotNull(), F.when(x > 0, 1.0 - tail).otherwise(tail))
-
-
-def at_least(x: Column, low: float) -> Column:
-    """Missing stays missing, which greatest() alone does not do."""
-    return F.when(x.isNotNull(), F.greatest(x, F.lit(low)))
-
-
-def clip(x: Column, low: float, high: float) -> Column:
-    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """a / b where b is above 0, else missing."""
-    return F.when(b > 0, a / b)
-
 
 def holds(condition: Column) -> Column:
     """A comparison with a missing value is false."""

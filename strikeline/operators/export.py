@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.schema import COLUMNS, TIMESTAMPS, type_of
@@ -10,13 +10,13 @@ from strikeline.schema import COLUMNS, TIMESTAMPS, type_of
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
-def canonical(df: DataFrame, c: str) -> Column:
-    return (df[c].cast(type_of(c)) if c in df.columns else F.lit(None).cast(type_of(c))).alias(c)
+def canonical(df: DataFrame, c: str) -> str:
+    return f"CAST({f'`{c}`' if c in df.columns else 'NULL'} AS {type_of(c).simpleString()}) AS `{c}`"
 
 
 def conform(df: DataFrame) -> DataFrame:
     """Exactly the canonical columns in order and of canonical types; extra columns go, absent ones are missing values."""
-    return df.select(*(canonical(df, c) for c in COLUMNS))
+    return df.selectExpr(*(canonical(df, c) for c in COLUMNS))
 
 
 def format_timestamps(df: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_parquet(df: DataFrame, path: str) -> None:
     """A snapshot, typed, one folder per snapshot date; a rerun of a date replaces that date only."""
-    rows = df.select(*(canonical(df, c) for c in COLUMNS), "snapshot_date")
+    rows = df.selectExpr(*(canonical(df, c) for c in COLUMNS), "snapshot_date")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 

@@ -7,12 +7,18 @@ rows from before other statistics were joined, so that a chain of these function
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeline.functions import ranks
 from strikeline.params import Params
 
 SNAPSHOT = ("snapshot_date",)
+UNDERLYING = [*SNAPSHOT, "underlying_symbol"]
+SIDE = [*UNDERLYING, "option_type"]
+EXPIRATION = [*UNDERLYING, "expiration_date"]
 
 
 def attach(chain: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,12 +34,14 @@ def attach(chain: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """Quantiles of the values of each group, interpolated between neighbours, and `_n`, the number of values that are not missing.
 
-    Values are counted first, so a hot group comes as its different values and counts; these are summed up in order, which spills.
+    Values are counted first, so a hot group comes as its different values and counts; these are summed up by buckets (ranks), so that a group of many
+    different values is not one task.
     """
     # a missing value counts 0; it is not filtered, since a filter would be rewritten in terms of all that a derived value is made of
     counts = rows.select(*keys, F.col(value).alias("_value")).groupBy(*keys, "_value").agg(F.count("_value").alias("_c"))
-    group = Window.partitionBy(*keys)
-    ranked = counts.select(*keys, "_value", F.sum("_c").over(group.orderBy("_value")).alias("_upto"), F.sum("_c").over(group).alias("_n"))
+    parts = ranks.with_before(counts, keys, ranks.bucket(F.col("_value")), F.col("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bucket").orderBy("_value"))
+    ranked = parts.select(*keys, "_value", upto.alias("_upto"), F.col("_total").alias("_n"))
     place = lambda q: q * (F.col("_n") - 1)
     out = [F.max("_n").alias("_n")]
     for name, q in at.items():
@@ -44,8 +52,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]
     return stats.select(*keys, "_n", *(mixed(n, q).alias(n) for n, q in at.items()))
 
 
-def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Volatility level of each underlying: its nearest at-the-money volatility against the 30th and 70th percentile of all above 0.
+def iv_levels(source: DataFrame) -> DataFrame:
+    """snapshot_date, underlying_symbol, iv_state_level: volatility level of each underlying: its nearest at-the-money volatility against the 30th and 70th percentile of all above 0.
 
     UNKNOWN with fewer than five volatilities. The representative is that of the least strike distance at the nearest expiration that has
     both; without one, the median. Ties: call before put, then strike, then symbol.
@@ -53,47 +61,63 @@ def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> Da
     keys = [*SNAPSHOT, "underlying_symbol"]
     iv = F.when(F.col("implied_volatility") > 0, F.col("implied_volatility"))
     order = F.when(iv.isNotNull() & F.col("strike_distance_pct").isNotNull() & F.col("expiration_date").isNotNull(), F.struct("expiration_date", "strike_distance_pct", "option_type", "strike", "contract_symbol"))
-    rows = (chain if source is None else source).select(*keys, iv.alias("_iv"), order.alias("_order"))
+    rows = source.select(*keys, iv.alias("_iv"), order.alias("_order"))
     found = quantiles(rows, keys, "_iv", {"_p30": 0.3, "_p70": 0.7, "_p50": 0.5})
     near = rows.groupBy(*keys).agg(F.min_by("_iv", "_order").alias("_near"))
     both = found.unionByName(near, allowMissingColumns=True).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("_n", "_p30", "_p70", "_p50", "_near")))
     stats = both.withColumn("_iv", F.coalesce("_near", "_p50"))
     level = F.when(F.col("_n") < 5, "UNKNOWN").when(F.col("_iv") >= F.col("_p70"), "HIGH").when(F.col("_iv") <= F.col("_p30"), "LOW").otherwise("NEUTRAL")
-    return attach(chain, stats.select(*keys, level.alias("iv_state_level")), keys)
+    return stats.select(*keys, level.alias("iv_state_level"))
 
 
-def with_iv_state_term(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Term structure: median volatility of the second expiration against the first."""
-    keys = [*SNAPSHOT, "underlying_symbol"]
-    per = (chain if source is None else source).where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull())
+def with_iv_state_level(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return attach(chain, iv_levels(chain if source is None else source), UNDERLYING)
+
+
+def iv_terms(source: DataFrame) -> DataFrame:
+    """snapshot_date, underlying_symbol, iv_state_term: term structure, the median volatility of the second expiration against the first."""
+    keys = UNDERLYING
+    per = source.where((F.col("implied_volatility") > 0) & F.col("expiration_date").isNotNull())
     per = quantiles(per, [*keys, "expiration_date"], "implied_volatility", {"m": 0.5})
     w = Window.partitionBy(*keys).orderBy("expiration_date")
     first = per.select(*keys, "m", F.lead("m").over(w).alias("next"), F.row_number().over(w).alias("k")).where("k = 1")
     move = F.col("next") / F.col("m")
     state = F.when(F.col("next").isNull(), "UNKNOWN").when(move >= 1.05, "RISING").when(move <= 0.95, "FALLING").otherwise("FLAT")
-    return attach(chain, first.select(*keys, state.alias("iv_state_term")), keys).withColumn("iv_state_term", F.coalesce("iv_state_term", F.lit("UNKNOWN")))
+    return first.select(*keys, state.alias("iv_state_term"))
 
 
-def with_strike_increment(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Least step between listed strikes at the nearest expiration of three different strikes or more, by underlying and type."""
-    keys = [*SNAPSHOT, "underlying_symbol", "option_type"]
-    strikes = (chain if source is None else source).where((F.col("strike") > 0) & F.col("expiration_date").isNotNull()).select(*keys, "expiration_date", "strike").distinct()
+def with_iv_state_term(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return attach(chain, iv_terms(chain if source is None else source), UNDERLYING).withColumn("iv_state_term", F.coalesce("iv_state_term", F.lit("UNKNOWN")))
+
+
+def strike_increments(source: DataFrame) -> DataFrame:
+    """snapshot_date, underlying_symbol, option_type, listed_strike_increment: least step between listed strikes at the nearest expiration of three different strikes or more, by underlying and type."""
+    keys = SIDE
+    strikes = source.where((F.col("strike") > 0) & F.col("expiration_date").isNotNull()).select(*keys, "expiration_date", "strike").distinct()
     step = F.col("strike") - F.lag("strike").over(Window.partitionBy(*keys, "expiration_date").orderBy("strike"))
     per = strikes.withColumn("step", step).groupBy(*keys, "expiration_date").agg(F.count("*").alias("n"), F.min("step").alias("step")).where("n >= 3")
-    return attach(chain, per.groupBy(*keys).agg(F.min_by("step", "expiration_date").alias("listed_strike_increment")), keys)
+    return per.groupBy(*keys).agg(F.min_by("step", "expiration_date").alias("listed_strike_increment"))
+
+
+def with_strike_increment(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return attach(chain, strike_increments(chain if source is None else source), SIDE)
+
+
+def theta_quartiles(source: DataFrame) -> DataFrame:
+    """snapshot_date, underlying_symbol, option_type, _p25: first quartile of theta efficiency."""
+    return quantiles(source, SIDE, "theta_efficiency", {"_p25": 0.25}).drop("_n")
 
 
 def with_theta_below_p25(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Whether theta efficiency is below the first quartile of its underlying and type."""
-    keys = [*SNAPSHOT, "underlying_symbol", "option_type"]
-    stats = quantiles(chain if source is None else source, keys, "theta_efficiency", {"_p25": 0.25})
-    return attach(chain, stats.drop("_n"), keys).withColumn("theta_efficiency_below_p25", F.col("theta_efficiency") < F.col("_p25")).drop("_p25")
+    stats = theta_quartiles(chain if source is None else source)
+    return attach(chain, stats, SIDE).withColumn("theta_efficiency_below_p25", F.col("theta_efficiency") < F.col("_p25")).drop("_p25")
 
 
-def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """Expected move of each expiration from the mean volatility of the rows closest to the money."""
-    keys = [*SNAPSHOT, "underlying_symbol", "expiration_date"]
-    valid = (chain if source is None else source).where((F.col("underlying_price") > 0) & (F.col("time_to_expiration_years") > 0) & (F.col("implied_volatility") > 0) & F.col("strike_distance_pct").isNotNull())
+def expected_moves(source: DataFrame) -> DataFrame:
+    """snapshot_date, underlying_symbol, expiration_date and MOVES: expected move of each expiration from the mean volatility of the rows closest to the money."""
+    keys = EXPIRATION
+    valid = source.where((F.col("underlying_price") > 0) & (F.col("time_to_expiration_years") > 0) & (F.col("implied_volatility") > 0) & F.col("strike_distance_pct").isNotNull())
     distance = F.col("strike_distance_pct")
     # one row for each distance first, so that a hot expiration is no large group
     by_distance = valid.groupBy(*keys, "strike_distance_pct").agg(
@@ -103,10 +127,31 @@ def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> Dat
     close = nearest.where(F.abs(distance - F.col("_least")) <= 1e-8 + 1e-5 * F.abs("_least"))
     stats = close.groupBy(*keys).agg((F.sum("iv") / F.sum("n")).alias("iv"), F.max("s").alias("s"), F.max("t").alias("t"))
     move = F.col("s") * F.col("iv") * F.sqrt("t")
-    out = stats.select(
+    return stats.select(
         *keys, move.alias("expected_move"), (move / F.col("s")).alias("expected_move_pct"), (F.col("s") - move).alias("expected_move_lower_bound"), (F.col("s") + move).alias("expected_move_upper_bound")
     )
-    return attach(chain, out, keys)
+
+
+def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    return attach(chain, expected_moves(chain if source is None else source), EXPIRATION)
+
+
+def with_all(chain: DataFrame, source: DataFrame, kept: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Levels, terms and increments of `source`, quartiles and moves of `kept`, attached with one join for each set of keys.
+
+    All statistics are one table, which `store` writes and reads again: only then does Spark know their size, and sends them to the rows where they are small instead
+    of shuffling the rows.
+    """
+    found = [iv_levels(source), iv_terms(source), strike_increments(source), theta_quartiles(kept), expected_moves(kept)]
+    first, *rest = (x.withColumn("_kind", F.lit(k)) for k, x in enumerate(found))
+    for x in rest:
+        first = first.unionByName(x, allowMissingColumns=True)
+    table = store(first)
+    for keys, kinds in ((UNDERLYING, (0, 1)), (SIDE, (2, 3)), (EXPIRATION, (4,))):
+        values = [c for k in kinds for c in found[k].columns if c not in keys]
+        chain = attach(chain, table.where(F.col("_kind").isin(*kinds)).groupBy(*keys).agg(*(F.max(c).alias(c) for c in values)), keys)
+    below = F.col("theta_efficiency") < F.col("_p25")
+    return chain.withColumns({"theta_efficiency_below_p25": below, "iv_state_term": F.coalesce("iv_state_term", F.lit("UNKNOWN"))}).drop("_p25")
 
 
 def with_roll_yield(chain: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeline.params import Params
@@ -31,27 +31,38 @@ def runs_today(ledger: DataFrame, params: Params) -> DataFrame:
 
 
 def retention_candidates(ledger: DataFrame, keep: int) -> DataFrame:
-    """Snapshots beyond the newest `keep` of each provider; 0 keeps all."""
+    """Snapshots beyond the newest `keep` of each provider; 0 keeps all.
+
+    Spark takes the newest `keep` of each provider before the shuffle too; the oldest of them is what rows are then held against, so no task has all rows of one.
+    """
     if not keep:
         return ledger.limit(0)
     w = Window.partitionBy("provider").orderBy(*(F.desc(c) for c in NEWEST))
-    return ledger.withColumn("k", F.row_number().over(w)).where(F.col("k") > keep).drop("k")
+    age = F.struct(*NEWEST)
+    newest = ledger.select("provider", *NEWEST).withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep)
+    last = newest.groupBy(F.col("provider").alias("_provider")).agg(F.min(age).alias("_last"), F.count("*").alias("_n")).where(F.col("_n") == keep)
+    return ledger.join(last, ledger["provider"].eqNullSafe(last["_provider"]) & (age < last["_last"])).drop("_provider", "_last", "_n")
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Row count and a hash that does not depend on the order of rows or partitions."""
-    return df.agg(F.count("*").alias("row_count"), F.bit_xor(F.xxhash64(*df.columns)).alias("content_hash"))
-
-
-def check_snapshot(df: DataFrame, ledger_row: Row, schema_version: int) -> DataFrame:
-    """Problems of a stored snapshot against its ledger row: schema_version, row_count, content_hash."""
-    row = ledger_row.asDict()
+    """Row count and a hash of the multiset of rows: sums of two 60-bit parts of each row's SHA-256. It does not depend on the order of rows or partitions, and rows that
+    stand twice do not cancel. A row's text has the length of each value before it, and - for a missing one."""
+    text = [F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
+    hashed = df.select(F.sha2(F.concat(*text), 256).alias("h"))
+    sums = [F.coalesce(F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (1, 16)]
+    return hashed.agg(F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("content_hash"))
+
+
+def check_snapshot(df: DataFrame, entry: DataFrame, schema_version: int) -> DataFrame:
+    """Problems (schema_version, row_count, content_hash) of a stored snapshot against its ledger row, a frame of one row, with the row's count as ledger_rows."""
+    named = entry.select(F.col("schema_version").alias("_version"), F.col("row_count").alias("ledger_rows"), F.col("content_hash").alias("_hash"))
+    both = content_hash(df).join(named, F.lit(True), "left")  # one row each
     tests = [
-        F.lit("schema_version") if row.get("schema_version") != schema_version else F.lit(None).cast("string"),
-        F.when((F.col("row_count") == 0) | ~F.col("row_count").eqNullSafe(F.lit(row.get("row_count"))), "row_count"),
-        F.when(~F.col("content_hash").eqNullSafe(F.lit(row.get("content_hash"))), "content_hash"),
+        F.when(~F.col("_version").eqNullSafe(F.lit(schema_version)), "schema_version"),
+        F.when((F.col("row_count") == 0) | ~F.col("row_count").eqNullSafe(F.col("ledger_rows")), "row_count"),
+        F.when(~F.col("content_hash").eqNullSafe(F.col("_hash")), "content_hash"),
     ]
-    return content_hash(df).select(F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("problem"))
+    return both.select(F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("problem"), "ledger_rows")
 
 
 def positions_fingerprint(positions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.params import Params
@@ -47,40 +47,61 @@ def ticker_universe(configured: DataFrame, positions: DataFrame) -> DataFrame:
     return own.withColumn("is_added", F.lit(False)).unionByName(held.join(own, "ticker", "left_anti").withColumn("is_added", F.lit(True)))
 
 
-def _same_contract(chain: DataFrame, options: DataFrame, params: Params):
+#: Strikes meet by bins of half the tolerance, in their own bin and two to either side.
+NEAR_BINS = (-2, -1, 0, 1, 2)
+
+
+def _bin(strike: Column, params: Params) -> Column:
+    return F.floor(strike / (params.strike_tolerance / 2.0))
+
+
+def _near(positions: DataFrame, params: Params) -> DataFrame:
+    """Held options, each in every bin whose strikes it can be close to: _ticker, _expiration, _type, _bin, _offset (its own bin less that one), _strike."""
+    options = positions.where("kind = 'option' AND strike IS NOT NULL").select(F.col("ticker").alias("_ticker"), F.col("expiration_date").alias("_expiration"), F.col("option_type").alias("_type"), F.col("strike").alias("_strike")).distinct()
+    offsets = F.explode(F.array(*map(F.lit, NEAR_BINS)))
+    return options.select("*", offsets.alias("_offset")).withColumn("_bin", _bin(F.col("_strike"), params) - F.col("_offset"))
+
+
+def _meets(chain: DataFrame, options: DataFrame, params: Params) -> Column:
     return (
         (chain["underlying_symbol"] == options["_ticker"]) & (chain["expiration_date"] == options["_expiration"]) & (chain["option_type"] == options["_type"])
-        & (F.abs(chain["strike"] - options["_strike"]) < params.strike_tolerance)
+        & (_bin(chain["strike"], params) == options["_bin"])
     )
 
 
-def _keys(positions: DataFrame) -> DataFrame:
-    return positions.where("kind = 'option'").select(F.col("ticker").alias("_ticker"), F.col("expiration_date").alias("_expiration"), F.col("option_type").alias("_type"), F.col("strike").alias("_strike")).distinct()
+def with_held(chain: DataFrame, positions: DataFrame, params: Params, name: str = "_held") -> DataFrame:
+    """A flag for rows that a held option matches: equal ticker, expiration and type, strikes closer than the tolerance.
+
+    One join on equal keys, with at most one partner for each row: of the strikes in its own bin it needs to know that there are any (all are close), of those
+    below only the greatest, of those above only the least.
+    """
+    strike = F.col("_strike")
+    edges = _near(positions, params).groupBy("_ticker", "_expiration", "_type", "_bin").agg(
+        F.max(F.col("_offset") == 0).alias("_same"), F.max(F.when(F.col("_offset") < 0, strike)).alias("_below"), F.min(F.when(F.col("_offset") > 0, strike)).alias("_above")
+    )
+    tolerance = F.lit(params.strike_tolerance)
+    near = F.col("_same") | F.coalesce(F.col("strike") - F.col("_below") < tolerance, F.lit(False)) | F.coalesce(F.col("_above") - F.col("strike") < tolerance, F.lit(False))
+    return chain.join(edges, _meets(chain, edges, params), "left").withColumn(name, F.coalesce(near, F.lit(False))).drop(*edges.columns)
 
 
 def match_positions(chain: DataFrame, positions: DataFrame, params: Params, how: str = "left_semi") -> DataFrame:
-    """Chain rows that a held option matches (left_semi) or that none does (left_anti): equal ticker, expiration and type, strikes closer
-    than the tolerance. A row that two positions match stands once."""
-    options = _keys(positions)
-    return chain.join(options, _same_contract(chain, options, params), how)
-
-
-def with_held(chain: DataFrame, positions: DataFrame, params: Params, name: str = "_held") -> DataFrame:
-    """A flag for rows that a held option matches, in one join: the strikes of equal ticker, expiration and type come as an array."""
-    options = _keys(positions).groupBy("_ticker", "_expiration", "_type").agg(F.collect_set("_strike").alias("_strikes"))
-    on = (chain["underlying_symbol"] == options["_ticker"]) & (chain["expiration_date"] == options["_expiration"]) & (chain["option_type"] == options["_type"])
-    near = F.exists("_strikes", lambda x: F.abs(F.col("strike") - x) < params.strike_tolerance)
-    return chain.join(options, on, "left").withColumn(name, F.coalesce(near, F.lit(False))).drop("_ticker", "_expiration", "_type", "_strikes")
+    """Chain rows that a held option matches (left_semi) or that none does (left_anti). A row that two positions match stands once."""
+    if how not in ("left_semi", "left_anti"):
+        raise ValueError(how)
+    held = with_held(chain, positions, params)
+    return held.where(F.col("_held") if how == "left_semi" else ~F.col("_held")).drop("_held")
 
 
 def position_coverage(positions: DataFrame, chain: DataFrame, params: Params) -> DataFrame:
     """Each held option with the first contract that matches it, by strike and symbol, or none."""
-    options = _keys(positions)
-    found = options.join(chain.select("underlying_symbol", "expiration_date", "option_type", "strike", "contract_symbol"), _same_contract(chain, options, params), "left")
-    w = Window.partitionBy("_ticker", "_expiration", "_type", "_strike").orderBy("strike", "contract_symbol")
-    return found.withColumn("k", F.row_number().over(w)).where("k = 1").select(
+    options = _near(positions, params)
+    rows = chain.select("underlying_symbol", "expiration_date", "option_type", "strike", "contract_symbol")
+    close = F.abs(F.col("_strike") - F.col("strike")) < params.strike_tolerance
+    found = options.join(rows, _meets(rows, options, params), "left").withColumn("_first", F.when(close, F.struct("strike", "contract_symbol")))
+    first = found.groupBy("_ticker", "_expiration", "_type", "_strike").agg(F.min("_first").alias("_first"))
+    return first.select(
         F.col("_ticker").alias("ticker"), F.col("_expiration").alias("expiration_date"), F.col("_type").alias("option_type"), F.col("_strike").alias("strike"),
-        F.col("contract_symbol").isNotNull().alias("is_found"), "contract_symbol",
+        F.col("_first").isNotNull().alias("is_found"), "_first.contract_symbol",
     )
 
 

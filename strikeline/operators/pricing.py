@@ -3,84 +3,94 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strikeline.functions.mathx import at_least, holds, ratio
+from strikeline.functions.graph import Definitions, Reader, build
+from strikeline.functions.sqlx import at_least, d, holds, ratio, when
+from strikeline.params import Params
 
 
-def _call():
-    return holds(F.col("option_type") == "call")
+def _call(c: Reader) -> str:
+    return holds(f"{c.option_type} = 'call'")
+
+
+def _gap(c: Reader) -> str:
+    return f"({c.strike} - {c.underlying_price})"
+
+
+def _inside(c: Reader) -> str:
+    return at_least(f"IF({_call(c)}, -{_gap(c)}, {_gap(c)})", 0.0)
+
+
+def _outside(c: Reader) -> str:
+    return at_least(f"IF({_call(c)}, {_gap(c)}, -{_gap(c)})", 0.0)
+
+
+def _margin(c: Reader) -> str:
+    """Premium and the greater of a fifth of the spot, less what is out of the money, and a tenth of spot or strike; missing where either is."""
+    base, floor = f"(0.2D * {c.underlying_price} - {_outside(c)})", f"0.1D * IF({_call(c)}, {c.underlying_price}, {c.strike})"
+    return f"IF({base} IS NOT NULL AND {floor} IS NOT NULL, {c.premium_reference_price} + greatest({base}, {floor}), NULL)"
+
+
+def _method(c: Reader) -> str:
+    return when((f"{c.mark_price_mid} IS NOT NULL", "'mid'"), (f"{c.bid} IS NOT NULL", "'bid'"), (f"{c.last_trade_price} IS NOT NULL", "'last_trade_price'"), other="'unavailable'")
+
+
+MONEYNESS: Definitions = {
+    "strike_minus_spot": lambda c, p: _gap(c),
+    "strike_vs_spot_pct": lambda c, p: ratio(_gap(c), c.underlying_price),
+    "strike_distance_pct": lambda c, p: f"abs({ratio(_gap(c), c.underlying_price)})",
+    "itm_amount": lambda c, p: _inside(c),
+    "otm_pct": lambda c, p: ratio(_outside(c), c.underlying_price),
+    "intrinsic_value": lambda c, p: _inside(c),
+}
+
+PREMIUM: Definitions = {
+    "extrinsic_value_bid": lambda c, p: f"{c.bid} - {c.intrinsic_value}",
+    "extrinsic_value_mid": lambda c, p: f"{c.mark_price_mid} - {c.intrinsic_value}",
+    "extrinsic_value_ask": lambda c, p: f"{c.ask} - {c.intrinsic_value}",
+    "premium_reference_price": lambda c, p: f"coalesce({c.mark_price_mid}, {c.bid}, {c.last_trade_price})",
+    "premium_reference_method": lambda c, p: _method(c),
+    "expected_fill_price": lambda c, p: f"IF({c.bid_ask_spread_pct_of_mid} <= 0.1D, {c.mark_price_mid}, {c.bid} + 0.25D * {c.bid_ask_spread})",
+    "extrinsic_pct_mid": lambda c, p: ratio(c.extrinsic_value_mid, c.mark_price_mid),
+    "has_negative_extrinsic_mid": lambda c, p: holds(f"{c.extrinsic_value_mid} < 0"),
+    "premium_to_strike": lambda c, p: ratio(c.premium_reference_price, c.strike),
+    "premium_to_strike_bid": lambda c, p: ratio(c.bid, c.strike),
+    "premium_per_day": lambda c, p: f"{c.expected_fill_price} / {at_least(f'double({c.days_to_expiration})', 1.0)}",
+    "premium_to_strike_annualized": lambda c, p: ratio(c.premium_to_strike, c.time_to_expiration_years),
+    "iv_adjusted_premium_per_day": lambda c, p: when((f"{c.implied_volatility} > 0", f"{c.premium_per_day} * {c.implied_volatility} / {d(0.30)}")),
+}
+
+MARGIN: Definitions = {
+    "estimated_margin_requirement": lambda c, p: _margin(c),
+    "return_on_margin": lambda c, p: ratio(c.premium_reference_price, c.estimated_margin_requirement),
+    "return_on_margin_annualized": lambda c, p: ratio(c.return_on_margin, c.time_to_expiration_years),
+}
+
+THETA_CAPITAL: Definitions = {
+    "theta_to_premium_ratio": lambda c, p: ratio(f"abs({c.theta})", c.premium_reference_price),
+    "theta_dollars_per_day": lambda c, p: f"abs({c.theta}) * 100D",
+    "capital_required": lambda c, p: f"IF({_call(c)}, coalesce({c.last_trade_price}, {c.expected_fill_price}, {c.mark_price_mid}), {c.strike}) * 100D",
+    "vega_per_day": lambda c, p: ratio(c.vega, f"double({c.days_to_expiration})"),
+    "break_even_if_short": lambda c, p: f"IF({_call(c)}, {c.strike} + {c.premium_reference_price}, {c.strike} - {c.premium_reference_price})",
+    "theta_efficiency": lambda c, p: when((f"{c.capital_required} > 0", f"abs({c.theta}) * 100D / ({c.capital_required} / 1000D)")),
+}
 
 
 def with_moneyness(chain: DataFrame) -> DataFrame:
     """Distance of strike and spot; whatever is not a call counts as a put."""
-    spot, strike = F.col("underlying_price"), F.col("strike")
-    gap = strike - spot
-    inside = at_least(F.when(_call(), -gap).otherwise(gap), 0.0)
-    outside = at_least(F.when(_call(), gap).otherwise(-gap), 0.0)
-    return chain.withColumns(
-        {
-            "strike_minus_spot": gap,
-            "strike_vs_spot_pct": ratio(gap, spot),
-            "strike_distance_pct": F.abs(ratio(gap, spot)),
-            "itm_amount": inside,
-            "otm_pct": ratio(outside, spot),
-            "intrinsic_value": inside,
-        }
-    )
+    return build(chain, MONEYNESS, Params())
 
 
 def with_premium(chain: DataFrame) -> DataFrame:
     """Extrinsic values, the reference premium and its yields. Needs quote quality and moneyness."""
-    mid, bid, ask, last = (F.col(c) for c in ("mark_price_mid", "bid", "ask", "last_trade_price"))
-    inner, strike, years = F.col("intrinsic_value"), F.col("strike"), F.col("time_to_expiration_years")
-    first = {
-        "extrinsic_value_bid": bid - inner,
-        "extrinsic_value_mid": mid - inner,
-        "extrinsic_value_ask": ask - inner,
-        "premium_reference_price": F.coalesce(mid, bid, last),
-        "premium_reference_method": F.when(mid.isNotNull(), "mid").when(bid.isNotNull(), "bid").when(last.isNotNull(), "last_trade_price").otherwise("unavailable"),
-        "expected_fill_price": F.when(F.col("bid_ask_spread_pct_of_mid") <= 0.10, mid).otherwise(bid + 0.25 * F.col("bid_ask_spread")),
-    }
-    premium, fill = F.col("premium_reference_price"), F.col("expected_fill_price")
-    second = {
-        "extrinsic_pct_mid": ratio(F.col("extrinsic_value_mid"), mid),
-        "has_negative_extrinsic_mid": holds(F.col("extrinsic_value_mid") < 0),
-        "premium_to_strike": ratio(premium, strike),
-        "premium_to_strike_bid": ratio(bid, strike),
-        "premium_per_day": fill / at_least(F.col("days_to_expiration").cast("double"), 1.0),
-    }
-    third = {
-        "premium_to_strike_annualized": ratio(F.col("premium_to_strike"), years),
-        "iv_adjusted_premium_per_day": F.when(F.col("implied_volatility") > 0, F.col("premium_per_day") * F.col("implied_volatility") / 0.30),
-    }
-    return chain.withColumns(first).withColumns(second).withColumns(third)
+    return build(chain, PREMIUM, Params())
 
 
 def with_margin(chain: DataFrame) -> DataFrame:
     """Margin estimate and return on it. Needs premium."""
-    spot, premium = F.col("underlying_price"), F.col("premium_reference_price")
-    out = F.when(_call(), F.col("strike") - spot).otherwise(spot - F.col("strike"))
-    base = 0.20 * spot - at_least(out, 0.0)
-    floor = F.when(_call(), 0.10 * spot).otherwise(0.10 * F.col("strike"))
-    margin = F.col("estimated_margin_requirement")
-    return (
-        chain.withColumn("estimated_margin_requirement", F.when(base.isNotNull() & floor.isNotNull(), premium + F.greatest(base, floor)))
-        .withColumn("return_on_margin", ratio(premium, margin))
-        .withColumn("return_on_margin_annualized", ratio(F.col("return_on_margin"), F.col("time_to_expiration_years")))
-    )
+    return build(chain, MARGIN, Params())
 
 
 def with_theta_capital(chain: DataFrame) -> DataFrame:
     """Theta against premium and capital, vega per day, break-even. Needs premium and Greeks."""
-    theta, premium = F.col("theta"), F.col("premium_reference_price")
-    unit = F.when(_call(), F.coalesce("last_trade_price", "expected_fill_price", "mark_price_mid")).otherwise(F.col("strike"))
-    return chain.withColumns(
-        {
-            "theta_to_premium_ratio": ratio(F.abs(theta), premium),
-            "theta_dollars_per_day": F.abs(theta) * 100.0,
-            "capital_required": unit * 100.0,
-            "vega_per_day": ratio(F.col("vega"), F.col("days_to_expiration").cast("double")),
-            "break_even_if_short": F.when(_call(), F.col("strike") + premium).otherwise(F.col("strike") - premium),
-        }
-    ).withColumn("theta_efficiency", F.when(F.col("capital_required") > 0, F.col("theta_dollars_per_day") / (F.col("capital_required") / 1000.0)))
+    return build(chain, THETA_CAPITAL, Params())

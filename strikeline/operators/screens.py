@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.functions.mathx import clip, holds
+from strikeline.functions.graph import Definition, Definitions, Reader, build
+from strikeline.functions.sqlx import clip, d, holds, ladder, time, when
 from strikeline.params import Params
 
 
@@ -13,105 +14,154 @@ def seconds_before(as_of: Column, ts: Column) -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(ts)) / F.lit(1e6)
 
 
-def ladder(x: Column, steps: list[tuple[float, object]], default: object, inclusive: bool = True) -> Column:
-    """The value of the first step that x does not exceed; a missing x gets the default."""
-    out = None
-    for limit, value in steps:
-        test = x <= limit if inclusive else x < limit
-        out = F.when(test, F.lit(value)) if out is None else out.when(test, F.lit(value))
-    return out.otherwise(F.lit(default))
+FRESHNESS: Definitions = {
+    "quote_age_seconds": lambda c, p: f"(unix_micros({time(p.as_of)}) - unix_micros({c.option_quote_time})) / 1e6D",
+    "is_stale_quote": lambda c, p: f"{c.quote_age_seconds} > {p.stale_quote_seconds}",
+}
+
+
+def _spread_score(x: str) -> str:
+    falling = f"greatest(0D, 85D * (1D - ({x} - 0.15D) / 0.1D))"
+    return when((f"{x} < 0.1D", "100D"), (f"{x} <= 0.15D", "85D"), (f"{x} <= 0.25D", falling), other="0D")
+
+
+def _dte_score(x: str) -> str:
+    return when((f"{x} < 5", "25D"), (f"{x} < 7", "75D"), (f"{x} <= 21", "100D"), (f"{x} <= 35", "85D"), (f"{x} <= 45", "65D"), other="30D")
+
+
+TIERS: Definitions = {
+    "days_bucket": lambda c, p: ladder(c.days_to_expiration, [(10, "'Week_1'"), (18, "'Week_2'"), (26, "'Week_3'")], "'Week_4'"),
+    "near_expiry_near_money_flag": lambda c, p: holds(f"{c.days_to_expiration} <= 14 AND {c.strike_distance_pct} <= 0.03D"),
+    "spread_score": lambda c, p: _spread_score(c.bid_ask_spread_pct_of_mid),
+    "dte_score": lambda c, p: _dte_score(c.days_to_expiration),
+}
+
+
+def _risk_level(x: str, y: str) -> str:
+    moderate = f"({x} >= 0.3D AND {x} <= 0.4D) OR ({y} >= 0.25D AND {y} <= 0.35D)"
+    return when((f"{x} < 0.3D AND {y} < 0.25D", "'LOW'"), (moderate, "'MODERATE'"), (f"{x} > 0.4D OR {y} > 0.35D", "'HIGH'"), other="'UNKNOWN'")
+
+
+RISK: Definitions = {
+    "risk_level": lambda c, p: _risk_level(c.delta_abs, c.probability_itm),
+    "risk_model_inconsistent": lambda c, p: f"abs({c.delta_abs} - {c.probability_itm}) > 0.15D",
+}
+
+
+def _passes(c: Reader, p: Params) -> str:
+    tests = [f"{c.bid_ask_spread_pct_of_mid} <= {d(p.max_spread_pct_of_mid)}", f"{c.open_interest} >= {p.min_open_interest}", f"{c.volume} >= {p.min_volume}"]
+    if p.min_bid is not None:
+        tests.append(f"{c.bid} >= {d(p.min_bid)}")
+    return " AND ".join(map(holds, tests))
+
+
+SCREEN: Definitions = {
+    "is_wide_market": lambda c, p: holds(f"{c.bid_ask_spread_pct_of_mid} > {d(p.max_spread_pct_of_mid)}"),
+    "passes_primary_screen": _passes,
+}
+
+
+def _signs(c: Reader) -> str:
+    good = [c.has_valid_quote, c.has_nonzero_bid, c.has_nonzero_ask, c.has_valid_iv, c.has_valid_greeks]
+    return " + ".join(f"int({x})" for x in [*good, f"NOT {c.has_crossed_or_locked_market}", f"NOT coalesce({c.is_stale_quote}, false)"])
+
+
+QUALITY_SCORE: Definitions = {"quote_quality_score": lambda c, p: _signs(c)}
+
+SCORED = (
+    "premium_per_day", "bid", "ask", "open_interest", "volume", "delta_abs", "probability_itm", "days_to_expiration", "strike", "underlying_price",
+    "iv_adjusted_premium_per_day", "spread_score", "dte_score", "theta_efficiency",
+)
+
+
+def _weights(p: Params) -> tuple[float, ...]:
+    return p.income_weight, p.liquidity_weight, p.risk_weight, p.efficiency_weight
+
+
+def _scored(made: Definition, kind: str) -> Definition:
+    """Missing where no component has any weight."""
+    return lambda c, p: made(c, p) if sum(_weights(p)) > 0 else f"CAST(NULL AS {kind})"
+
+
+def _option_score(c: Reader, p: Params) -> str:
+    """A weighted mean of income, spread, risk and efficiency, each from 0 to 1, where all that it reads is there."""
+    efficiency = f"(0.5D * {clip(f'{c.dte_score} / 100D', 0.0, 1.0)} + 0.5D * {clip(f'{c.theta_efficiency} / 15D', 0.0, 1.0)})"
+    risk = when((f"{c.delta_abs} < 0.3D", "1D"), (f"{c.delta_abs} <= 0.4D", "0.75D"), other="0.35D")
+    parts = zip((c._income, clip(f"{c.spread_score} / 100D", 0.0, 1.0), risk, efficiency), _weights(p), strict=True)
+    mean = f"least(greatest(({' + '.join(f'{x} * {d(w)}' for x, w in parts)}) / {d(sum(_weights(p)))}, 0D), 1D)"
+    there = " AND ".join(f"{c[name]} IS NOT NULL" for name in SCORED)
+    return when((f"{c.option_type} IN ('call', 'put') AND {there}", f"{mean} * 100D"))
+
+
+def _validation(c: Reader, p: Params) -> str:
+    score = c.option_score
+    return when(
+        (f"{score} IS NULL", "CAST(NULL AS string)"), (f"{score} >= 70 AND ({c._income} < 0.35D OR {c.spread_score} < 50)", "'DISCREPANCY'"),
+        (f"{score} < 50 AND {c._income} >= 0.6D AND {c.spread_score} >= 70", "'UNDERVALUED'"), other="'ALIGNED'",
+    )
+
+
+def _adjustment(c: Reader, p: Params) -> str:
+    return when((f"{c.score_validation} = 'DISCREPANCY'", "-10D"), (f"{c.score_validation} = 'UNDERVALUED'", "5D"), other="0D")
+
+
+OPTION_SCORE: Definitions = {
+    "_income": lambda c, p: clip(f"({c.iv_adjusted_premium_per_day} - 0.01D) / 0.04D", 0.0, 1.0),
+    "option_score": _scored(_option_score, "double"),
+    "score_validation": _scored(_validation, "string"),
+    "score_adjustment": _scored(_adjustment, "double"),
+    "final_score": _scored(lambda c, p: clip(f"({c.option_score} + {c.score_adjustment})", 0.0, 100.0), "double"),
+}
+
+
+def _spans(c: Reader, days: str) -> str:
+    """The event comes before expiration."""
+    return f"({days} IS NOT NULL AND ({c.days_to_expiration} IS NULL OR ({days} >= 0 AND {days} <= {c.days_to_expiration})))"
+
+
+def _points(c: Reader) -> str:
+    first = f"IF({c._spans_earnings}, {ladder(c.days_to_earnings, [(5, '60D'), (10, '30D')], '0D')}, 0D)"
+    second = f"IF({c._spans_dividend}, {ladder(c.days_to_ex_div, [(3, '40D'), (7, '20D')], '0D')}, 0D)"
+    return when((f"{c._spans_earnings} OR {c._spans_dividend}", f"least({first} + {second}, 100D)"))
+
+
+EVENT_RISK: Definitions = {
+    "_spans_earnings": lambda c, p: _spans(c, c.days_to_earnings),
+    "_spans_dividend": lambda c, p: _spans(c, c.days_to_ex_div),
+    "earnings_within_5d": lambda c, p: when((c._spans_earnings, f"{c.days_to_earnings} <= 5")),
+    "earnings_within_10d": lambda c, p: when((c._spans_earnings, f"{c.days_to_earnings} <= 10")),
+    "ex_div_within_3d": lambda c, p: when((c._spans_dividend, f"{c.days_to_ex_div} <= 3")),
+    "event_risk_score": lambda c, p: _points(c),
+}
 
 
 def with_freshness(chain: DataFrame, params: Params) -> DataFrame:
-    age = seconds_before(F.lit(params.as_of), F.col("option_quote_time"))
-    return chain.withColumns({"quote_age_seconds": age, "is_stale_quote": age > params.stale_quote_seconds})
+    return build(chain, FRESHNESS, params)
 
 
 def with_tiers(chain: DataFrame) -> DataFrame:
     """Buckets and scores by tenor and spread; a missing tenor is in the last bucket, a missing spread scores 0."""
-    dte, spread = F.col("days_to_expiration"), F.col("bid_ask_spread_pct_of_mid")
-    falling = F.greatest(F.lit(0.0), 85.0 * (1.0 - (spread - 0.15) / 0.10))
-    return chain.withColumns(
-        {
-            "days_bucket": ladder(dte, [(10, "Week_1"), (18, "Week_2"), (26, "Week_3")], "Week_4"),
-            "near_expiry_near_money_flag": holds((dte <= 14) & (F.col("strike_distance_pct") <= 0.03)),
-            "spread_score": F.when(spread < 0.10, 100.0).when(spread <= 0.15, 85.0).when(spread <= 0.25, falling).otherwise(0.0),
-            "dte_score": F.when(dte < 5, 25.0).when(dte < 7, 75.0).when(dte <= 21, 100.0).when(dte <= 35, 85.0).when(dte <= 45, 65.0).otherwise(30.0),
-        }
-    )
+    return build(chain, TIERS, Params())
 
 
 def with_risk(chain: DataFrame) -> DataFrame:
-    d, p = F.col("delta_abs"), F.col("probability_itm")
-    level = (
-        F.when((d < 0.30) & (p < 0.25), "LOW")
-        .when(((d >= 0.30) & (d <= 0.40)) | ((p >= 0.25) & (p <= 0.35)), "MODERATE")
-        .when((d > 0.40) | (p > 0.35), "HIGH")
-        .otherwise("UNKNOWN")
-    )
-    return chain.withColumns({"risk_level": level, "risk_model_inconsistent": F.abs(d - p) > 0.15})
+    return build(chain, RISK, Params())
 
 
 def with_screen(chain: DataFrame, params: Params) -> DataFrame:
-    spread = F.col("bid_ask_spread_pct_of_mid")
-    passes = holds(spread <= params.max_spread_pct_of_mid) & holds(F.col("open_interest") >= params.min_open_interest) & holds(F.col("volume") >= params.min_volume)
-    if params.min_bid is not None:
-        passes = passes & holds(F.col("bid") >= params.min_bid)
-    return chain.withColumns({"is_wide_market": holds(spread > params.max_spread_pct_of_mid), "passes_primary_screen": passes})
+    return build(chain, SCREEN, params)
 
 
 def with_quality_score(chain: DataFrame) -> DataFrame:
     """Number of good signs, 0 to 7; an unknown age counts as fresh."""
-    signs = [
-        F.col("has_valid_quote"), F.col("has_nonzero_bid"), F.col("has_nonzero_ask"), F.col("has_valid_iv"), F.col("has_valid_greeks"),
-        ~F.col("has_crossed_or_locked_market"), ~F.coalesce(F.col("is_stale_quote"), F.lit(False)),
-    ]
-    return chain.withColumn("quote_quality_score", sum((s.cast("int") for s in signs[1:]), signs[0].cast("int")))
-
-
-SCORED = (
-    "premium_per_day", "bid", "ask", "open_interest", "volume", "delta_abs", "probability_itm", "days_to_expiration", "strike", "underlying_price",
-    "iv_adjusted_premium_per_day", "spread_score", "dte_score", "theta_efficiency",
-)
+    return build(chain, QUALITY_SCORE, Params())
 
 
 def with_option_score(chain: DataFrame, params: Params) -> DataFrame:
     """option_score, score_validation, score_adjustment and final_score, on 0 to 100; missing where an input is."""
-    weights = (params.income_weight, params.liquidity_weight, params.risk_weight, params.efficiency_weight)
-    if sum(weights) <= 0:
-        none = F.lit(None)
-        return chain.withColumns({"option_score": none.cast("double"), "score_validation": none.cast("string"), "score_adjustment": none.cast("double"), "final_score": none.cast("double")})
-    income = clip((F.col("iv_adjusted_premium_per_day") - 0.01) / 0.04, 0.0, 1.0)
-    spread = clip(F.col("spread_score") / 100.0, 0.0, 1.0)
-    risk = F.when(F.col("delta_abs") < 0.30, 1.0).when(F.col("delta_abs") <= 0.40, 0.75).otherwise(0.35)
-    efficiency = 0.5 * clip(F.col("dte_score") / 100.0, 0.0, 1.0) + 0.5 * clip(F.col("theta_efficiency") / 15.0, 0.0, 1.0)
-    complete = F.col("option_type").isin("call", "put")
-    for c in SCORED:
-        complete = complete & F.col(c).isNotNull()
-    mean = (income * weights[0] + spread * weights[1] + risk * weights[2] + efficiency * weights[3]) / sum(weights)
-    out = chain.withColumns({"_income": income, "option_score": F.when(complete, clip(mean, 0.0, 1.0) * 100.0)})
-    score = F.col("option_score")
-    verdict = (
-        F.when(score.isNull(), F.lit(None).cast("string"))
-        .when((score >= 70) & ((F.col("_income") < 0.35) | (F.col("spread_score") < 50)), "DISCREPANCY")
-        .when((score < 50) & (F.col("_income") >= 0.60) & (F.col("spread_score") >= 70), "UNDERVALUED")
-        .otherwise("ALIGNED")
-    )
-    out = out.withColumn("score_validation", verdict)
-    out = out.withColumn("score_adjustment", F.when(F.col("score_validation") == "DISCREPANCY", -10.0).when(F.col("score_validation") == "UNDERVALUED", 5.0).otherwise(0.0))
-    return out.withColumn("final_score", clip(score + F.col("score_adjustment"), 0.0, 100.0)).drop("_income")
+    return build(chain, OPTION_SCORE, params)
 
 
 def with_event_risk(chain: DataFrame) -> DataFrame:
     """Flags and points of the next earnings and ex-dividend dates that fall before expiration; missing where none does."""
-    dte, earnings, dividend = F.col("days_to_expiration"), F.col("days_to_earnings"), F.col("days_to_ex_div")
-    spans = lambda days: days.isNotNull() & (dte.isNull() | ((days >= 0) & (days <= dte)))
-    points = F.when(spans(earnings), ladder(earnings, [(5, 60.0), (10, 30.0)], 0.0)).otherwise(0.0) + F.when(spans(dividend), ladder(dividend, [(3, 40.0), (7, 20.0)], 0.0)).otherwise(0.0)
-    return chain.withColumns(
-        {
-            "earnings_within_5d": F.when(spans(earnings), earnings <= 5),
-            "earnings_within_10d": F.when(spans(earnings), earnings <= 10),
-            "ex_div_within_3d": F.when(spans(dividend), dividend <= 3),
-            "event_risk_score": F.when(spans(earnings) | spans(dividend), F.least(points, F.lit(100.0))),
-        }
-    )
+    return build(chain, EVENT_RISK, Params())

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strikeline.functions import ranks
 from strikeline.functions.mathx import holds
+from strikeline.operators import groups
 from strikeline.operators.screens import seconds_before
 from strikeline.params import Params
 
@@ -87,12 +89,14 @@ def top_conviction(chain: DataFrame) -> DataFrame:
 def ticker_summary(chain: DataFrame) -> DataFrame:
     """One row per underlying: counts, price, volatility context and events. The first of several values is the least symbol's."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("contract_symbol")))
-    agg = chain.where(F.col("underlying_symbol").isNotNull()).groupBy("underlying_symbol").agg(
+    named = chain.where(F.col("underlying_symbol").isNotNull())
+    agg = named.groupBy("underlying_symbol").agg(
         F.count("*").alias("row_count"), F.count_if(F.col("option_type") == "call").alias("call_count"), F.count_if(F.col("option_type") == "put").alias("put_count"),
         F.countDistinct("expiration_date").alias("expiration_count"), first("underlying_price").alias("underlying_price"), first("underlying_day_change_pct").alias("_change"),
-        F.median("implied_volatility").alias("_iv"), first("historical_volatility").alias("_hv"), first("next_earnings_date").alias("next_earnings_date"),
+        first("historical_volatility").alias("_hv"), first("next_earnings_date").alias("next_earnings_date"),
         first("next_earnings_date_is_estimated").alias("next_earnings_date_is_estimated"), first("event_risk_score").alias("event_risk_score"),
     )
+    agg = agg.join(groups.quantiles(named, ["underlying_symbol"], "implied_volatility", {"_iv": 0.5}).drop("_n"), "underlying_symbol", "left")
     out = agg.withColumns({"underlying_day_change_pct": percent(F.col("_change")), "median_implied_volatility_pct": percent(F.col("_iv")), "historical_volatility_pct": percent(F.col("_hv"))})
     hv = F.nullif(F.col("historical_volatility_pct"), F.lit(0.0))
     return out.withColumn("iv_hv_ratio", F.round(F.col("median_implied_volatility_pct") / hv, 2)).drop("_iv", "_hv")
@@ -123,8 +127,13 @@ def highlights(profitable: DataFrame, moderate: DataFrame) -> DataFrame:
 
 
 def freshness_summary(chain: DataFrame) -> DataFrame:
+    """Median and greatest age of quotes and underlying prices; missing where there are none."""
     ages = {"option_quote_age": "quote_age_seconds", "underlying_quote_age": "underlying_price_age_seconds"}
-    return chain.agg(*(f(c).alias(f"{name}_{kind}_seconds") for name, c in ages.items() for kind, f in (("median", F.median), ("max", F.max))))
+    # both kinds of ages are groups of one frame, so that it is read once
+    rows = chain.select(F.explode(F.array(*(F.struct(F.lit(name).alias("kind"), F.col(c).cast("double").alias("age")) for name, c in ages.items()))).alias("x")).select("x.*")
+    medians = groups.quantiles(rows, ["kind"], "age", {"value": 0.5}).select("kind", F.lit("median").alias("of"), "value")
+    found = medians.unionByName(rows.groupBy("kind").agg(F.max("age").alias("value")).select("kind", F.lit("max").alias("of"), "value"))
+    return found.agg(*(F.max(F.when((F.col("kind") == name) & (F.col("of") == of), F.col("value"))).alias(f"{name}_{of}_seconds") for name in ages for of in ("median", "max")))
 
 
 def freshness_now(chain: DataFrame, params: Params) -> DataFrame:
@@ -190,22 +199,32 @@ def risk_mix(chain: DataFrame) -> DataFrame:
 
 
 def liquidity_topk(chain: DataFrame, k: int = 6) -> DataFrame:
-    """The k most liquid contracts of each slice."""
+    """The k most liquid contracts of each slice; Spark keeps k of each before the shuffle too, so a hot slice is not one task."""
     liquid = F.coalesce("open_interest", F.lit(0)) + F.coalesce("volume", F.lit(0))
     w = Window.partitionBy(*SLICE).orderBy(F.desc("liquidity"), "strike", "contract_symbol")
     return chain.where("strike is not null").withColumn("liquidity", liquid).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sort_page(df: DataFrame, column: str, page: int, size: int, descending: bool = False, ties: tuple[str, ...] = ("contract_symbol",)) -> DataFrame:
-    """One page of a table sorted by a column: numbers as numbers, text without regard to case. Pages count from 1."""
-    key = F.lower(column) if dict(df.dtypes)[column] == "string" else F.col(column)
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *ties).offset((max(page, 1) - 1) * size).limit(size)
+    """One page of a table sorted by a column: numbers as numbers, text without regard to case, missing values last. Pages count from 1.
+
+    Buckets of the column are counted, and only the rows of those that the page touches are sorted, each bucket by itself; so a deep page costs what the first one does.
+    """
+    kind = dict(df.dtypes)[column]
+    key = F.lower(column) if kind == "string" else F.col(column)
+    plain = F.unix_micros(key.cast("timestamp")) if kind in ("date", "timestamp") else key.cast("int") if kind == "boolean" else key
+    by = ranks.text_bucket(key) if kind == "string" else ranks.bucket(plain)
+    first = (max(page, 1) - 1) * size
+    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), *map(F.col, ties)]
+    cut = ranks.with_before(df, [], by, F.lit(1), descending, missing_last=True)
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    near = cut.where(F.col("_before") < first + size).withColumn("_rank", F.col("_before") + own - 1)
+    return near.where(F.col("_rank").between(first, first + size - 1)).orderBy("_rank").drop("_bucket", "_before", "_total", "_rank")
 
 
 def even_sample(chain: DataFrame, points: int) -> DataFrame:
     """At most `points` rows of each slice at evenly spaced ranks by strike."""
-    w = Window.partitionBy(*SLICE)
-    ranked = chain.withColumns({"rank": F.row_number().over(w.orderBy("strike", "contract_symbol")) - 1, "_n": F.count("*").over(w)})
+    ranked = ranks.with_rank(chain, SLICE, ranks.bucket(F.col("strike")), [F.col("strike"), F.col("contract_symbol")]).withColumnRenamed("_total", "_n")
     at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i / max(points - 1, 1) * (F.col("_n") - 1) + 0.5))
     return ranked.where((F.col("_n") <= points) | F.array_contains(at, F.col("rank").cast("long"))).drop("_n")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strikeline.operators import export, ledger, positions, summaries, validation
@@ -115,14 +114,27 @@ SELECT coalesce(e.underlying_symbol, d.underlying_symbol) AS underlying_symbol,
         found = validation.row_findings(raw).where("code = 'invalid_bid'")
         return validation.ranked_findings(found, 3).select("contract_symbol", "field")
 
-    @query("snapshot_contract", "SELECT unnest(['schema_version', 'row_count']) AS problem FROM (SELECT count(*) FROM lineitem)")
-    def snapshot_contract(spark, sf):
-        """A stored snapshot against a ledger row of another version and a row count that is one too high; its hash agrees."""
+    _hashed = "contract_symbol underlying_symbol option_type expiration_date strike"
+    _row_text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in _hashed.split())
+    _hash_sql = "WITH " + oracle.CHAIN + f", h AS (SELECT sha256({_row_text}) AS h FROM chain) SELECT count(*) AS row_count, " + " || '-' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {k}, 15) AS BIGINT)), 0) AS VARCHAR)" for k in (1, 16)) + " AS content_hash FROM h"
+
+    @query("snapshot_hash", _hash_sql)
+    def snapshot_hash(spark, sf):
+        """Row count and content hash of a stored snapshot, as they stand in its ledger row."""
         path = _folder(spark)
         export.write_parquet(tables.chain(spark, sf), path)
+        return ledger.content_hash(vendors.read_snapshot(spark, path).select(*_hashed.split()))
+
+    @query("snapshot_contract", "SELECT 'schema_version' AS problem, count(*) AS rows FROM lineitem UNION ALL SELECT 'row_count', count(*) FROM lineitem")
+    def snapshot_contract(spark, sf):
+        """A stored snapshot against a ledger row of another version and a row count that is one too high; the hash is that of the rows before they were stored."""
+        path = _folder(spark)
+        chain = tables.chain(spark, sf)
+        export.write_parquet(chain, path)
         stored = vendors.read_snapshot(spark, path)
-        own = ledger.content_hash(stored).first()
-        return ledger.check_snapshot(stored, Row(schema_version=1, row_count=own.row_count + 1, content_hash=own.content_hash), 2)
+        entry = ledger.content_hash(export.conform(chain).select(*_hashed.split())).select(F.lit(1).alias("schema_version"), (F.col("row_count") + 1).alias("row_count"), "content_hash")
+        problems = ledger.check_snapshot(stored.select(*_hashed.split()), entry, 2)
+        return problems.select("problem", (F.col("ledger_rows") - 1).alias("rows"))
 
     _key = "concat_ws('|', kind, ticker, coalesce(strftime(expiration_date, '%Y-%m-%d'), ''), coalesce(option_type, ''), coalesce(CAST(strike AS VARCHAR), ''))"
     _sums = ", ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {k}, 15) AS BIGINT)), 0) AS VARCHAR)" for k in (1, 16, 31, 46))

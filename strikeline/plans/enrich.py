@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.functions.mathx import apart
+from strikeline.functions import graph
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
 
@@ -28,14 +29,19 @@ def settle(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), F.inline(F.array(F.struct(*columns))))
 
 
-def enrich_rows(chain: DataFrame, params: Params, settled: bool = True) -> DataFrame:
-    """All columns that depend on their own row alone; no shuffle. Without settling, columns that nobody reads are not computed."""
-    mark = settle if settled else (lambda df, _: df)
-    out = apart(pricing.with_premium(apart(pricing.with_moneyness(quotes.with_quote_quality(chain)))))
-    out = mark(greeks.with_greeks(apart(pricing.with_margin(out)), params), GREEKS)
-    out = screens.with_tiers(screens.with_freshness(apart(pricing.with_theta_capital(out)), params))
-    out = apart(screens.with_quality_score(screens.with_screen(screens.with_risk(out), params)))
-    return mark(screens.with_option_score(apart(screens.with_event_risk(out)), params), SCORES)
+#: Every column that depends on its own row alone.
+ROW_COLUMNS = {
+    **quotes.QUOTE_QUALITY, **pricing.MONEYNESS, **pricing.PREMIUM, **pricing.MARGIN, **greeks.GREEKS, **pricing.THETA_CAPITAL, **screens.FRESHNESS, **screens.TIERS,
+    **screens.RISK, **screens.SCREEN, **screens.QUALITY_SCORE, **screens.EVENT_RISK, **screens.OPTION_SCORE,
+}
+
+
+def enrich_rows(chain: DataFrame, params: Params, settled: bool = True, columns: Iterable[str] | None = None, top: Iterable[str] | None = None) -> DataFrame:
+    """All columns that depend on their own row alone, or just the given ones; no shuffle. Settled Greeks and scores can be filtered by. With `top`, all other columns stand
+    in one struct (graph.unpacked takes them out)."""
+    out = graph.build(chain, ROW_COLUMNS, params, columns, only=columns is not None, top=top)
+    held = [c for c in (*GREEKS, *SCORES) if c in out.columns]
+    return settle(out, held) if settled and held else out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,13 +69,25 @@ STATISTICS = (
 )
 
 
+#: What filters and joins of statistics read; all else is copied as one value.
+TOP = ("snapshot_date", "underlying_symbol", "option_type", "expiration_date", "theta_efficiency")
+
+
+def with_flag(chain: DataFrame, params: Params, positions: DataFrame | None, columns: Iterable[str]) -> DataFrame:
+    """The given columns and `_kept`, whether a row passes the filters or is held."""
+    read = dict.fromkeys((*columns, "bid", "strike", "underlying_symbol", "option_type", "expiration_date", "underlying_price", "bid_ask_spread_pct_of_mid"))
+    return filters.with_kept(enrich_rows(chain, params, settled=False, columns=read), params, positions).select(*columns, "_kept")
+
+
 def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = None) -> DataFrame:
     """Row columns, then statistics of the unfiltered chain, then filters, then statistics of what they leave.
 
-    The columns that statistics need are computed once and stored; every statistic reads that narrow table, and the chain is read once more for its rows.
+    The columns that statistics need are computed once and stored; every statistic reads that narrow table. The chain is read once more for its rows, which are filtered
+    before all their columns are computed.
     """
-    every = stored(filters.with_kept(enrich_rows(chain, params, settled=False), params, positions).select(*STATISTICS, "_kept"))
-    kept = every.where("_kept")
-    out = filters.filter_chain(enrich_rows(chain, params), params, positions)
-    out = groups.with_iv_state_term(groups.with_iv_state_level(out, every), every)
-    return groups.with_expected_move(groups.with_theta_below_p25(groups.with_strike_increment(out, every), kept), kept)
+    if positions is not None:
+        positions = stored(positions)  # of a known size, and parsed once
+    every = stored(with_flag(chain, params, positions, STATISTICS))
+    rows = with_flag(chain, params, positions, chain.columns).where("_kept").drop("_kept")
+    out = enrich_rows(rows, params, settled=False, top=TOP)
+    return graph.unpacked(groups.with_all(out, every, every.where("_kept"), stored))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strikeline.functions.mathx import P, Q, ROOT_TWO_PI
+from strikeline.functions.sqlx import P, Q, ROOT_TWO_PI
 from strikeline.schema import BOOLEANS, COLUMNS, DATES, INTEGERS, STRINGS, TIMESTAMPS
 
 #: Added before rounding to six places: decimal fractions that end in 5 then round alike in both engines.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strikeline.operators import attach, export, filters, greeks, groups, ledger, positions, pricing, quotes, screens, summaries, validation
+from strikeline.functions.sqlx import d
 from strikeline.params import Params
 from strikeline.plans import enrich, oracle, tables
 from strikeline.sources import vendors
@@ -25,21 +26,19 @@ ORACLE: dict[str, str] = {}
 
 def shown(df: DataFrame, columns: str | None = None) -> DataFrame:
     """Doubles of six places, dates and times as text, whole numbers as bigint."""
-    names = columns.split() if columns else df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    out = []
-    for c in names:
-        kind, x = kinds[c], F.col(c)
+
+    def text(c: str) -> str:
+        kind = kinds[c]
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            x = F.round(x + oracle.NUDGE, 6)
-        elif isinstance(kind, T.DateType):
-            x = F.date_format(x, "yyyy-MM-dd")
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            x = F.date_format(x, "yyyy-MM-dd HH:mm:ss")
-        elif isinstance(kind, (T.IntegerType, T.ShortType)):
-            x = x.cast("bigint")
-        out.append(x.alias(c))
-    return df.select(*out)
+            return f"round(`{c}` + {d(oracle.NUDGE)}, 6)"
+        if isinstance(kind, T.DateType):
+            return f"date_format(`{c}`, 'yyyy-MM-dd')"
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return f"date_format(`{c}`, 'yyyy-MM-dd HH:mm:ss')"
+        return f"bigint(`{c}`)" if isinstance(kind, (T.IntegerType, T.ShortType)) else f"`{c}`"
+
+    return df.selectExpr(*(f"{text(c)} AS `{c}`" for c in (columns.split() if columns else df.columns)))
 
 
 def query(name: str, sql: str | None):
@@ -55,7 +54,7 @@ def query(name: str, sql: str | None):
 def row_query(name: str, columns: str) -> None:
     """A query of some columns of the enriched chain; Catalyst prunes the rest."""
     columns = f"contract_symbol {columns}"
-    QUERIES[name] = lambda spark, sf: shown(enrich.enrich_rows(tables.chain(spark, sf), PARAMS, settled=False), columns)
+    QUERIES[name] = lambda spark, sf: shown(enrich.enrich_rows(tables.chain(spark, sf), PARAMS, settled=False, columns=columns.split()), columns)
     ORACLE[name] = oracle.pick(columns, "enriched")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeline.functions.sqlx import d, time
 from strikeline.params import Params
 
 
@@ -12,34 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table that is read in fewer parts than there are cores, as a file of one row group is, dealt out by keys; larger ones are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def _before(as_of: str, seconds: str) -> str:
+    return f"timestamp_micros(unix_micros({as_of}) - 1000000L * {seconds})"
+
+
 def chain(spark: SparkSession, sf_dir: str, params: Params = Params()) -> DataFrame:
     """One contract per line item; brand gives the underlying, part the tenor, supplier the strike."""
-    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 4).cast("int").alias("n")), F.col("l_partkey") == F.col("p_partkey"))
-    c, n = F.col, F.col("n")
-    price = F.floor(c("l_extendedprice") / 100.0)
-    number, flag = c("l_linenumber"), c("l_returnflag")
-    as_of = F.lit(params.as_of)
-    dte = (7 * (c("l_partkey") % 13)).cast("int")
-    age = ((c("l_orderkey") * 37 + c("l_suppkey") * 11) % 30000).cast("int")
-    bid = F.when((number == 7) & (flag == "N"), None).when(c("l_discount") == 0, 0.0).otherwise(price / 100.0)
-    ask = F.when((number == 6) & (flag == "R") & (c("l_quantity") < 5), (price - 1.0) / 100.0).otherwise(F.floor(price * (1.0 + 4.0 * c("l_discount"))) / 100.0)
-    today = F.lit(params.today)
-    return line.select(
-        F.lit(params.today).alias("snapshot_date"),
-        F.concat(F.lit("TK"), F.chr((64 + n).cast("bigint"))).alias("underlying_symbol"),
-        F.concat_ws("-", *(c(k).cast("string") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("contract_symbol"),
-        F.when(c("l_linestatus") == "O", "call").otherwise("put").alias("option_type"),
-        F.date_add(today, dte).alias("expiration_date"), dte.alias("days_to_expiration"), (dte / F.lit(365.0)).alias("time_to_expiration_years"),
-        ((2.5 + 0.5 * n) * (10 + c("l_suppkey") % 21)).alias("strike"), (50.0 + 10.0 * n).alias("underlying_price"), ((n - 13) / 500.0).alias("underlying_day_change_pct"),
-        (0.2 + n / 100.0).alias("historical_volatility"), (as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n * 900).cast("decimal(18,6)"))).alias("underlying_price_time"),
-        (n * 900).cast("double").alias("underlying_price_age_seconds"), (n * 900 > params.stale_quote_seconds).alias("is_stale_underlying_price"),
-        F.date_add(today, 3 * n).alias("next_earnings_date"), (n % 2 == 0).alias("next_earnings_date_is_estimated"), (3 * n).alias("days_to_earnings"),
-        F.when(n % 5 != 0, F.date_add(today, 2 * n)).alias("next_ex_div_date"), F.when(n % 5 != 0, 2 * n).alias("days_to_ex_div"), F.when(n % 5 != 0, n / 10.0).alias("dividend_amount"),
-        bid.alias("bid"), ask.alias("ask"), F.when((flag == "R") & (number == 1), None).otherwise((price + number) / 100.0).alias("last_trade_price"),
-        c("l_quantity").cast("bigint").alias("volume"), (c("l_quantity") * number * 4).cast("bigint").alias("open_interest"),
-        F.when(c("l_tax") == 0, None).otherwise(0.1 + 5.0 * c("l_tax") + 0.02 * number).alias("implied_volatility"),
-        (as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), age.cast("decimal(18,6)"))).alias("option_quote_time"), F.lit("tpch").alias("data_source"), F.lit(params.risk_free_rate).alias("risk_free_rate_used"),
-        c("l_orderkey").alias("_order"), number.alias("_line"), n.alias("_n"),
+    columns = "l_orderkey l_linenumber l_partkey l_suppkey l_extendedprice l_returnflag l_discount l_quantity l_linestatus l_tax".split()
+    line = spread(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey")
+    line = line.join(table(spark, sf_dir, "part").selectExpr("p_partkey", "int(substring(p_brand, 7, 4)) AS n"), F.col("l_partkey") == F.col("p_partkey"))
+    as_of, today = time(params.as_of), f"DATE'{params.today.isoformat()}'"
+    price, dte, age = "floor(l_extendedprice / 100D)", "int(7 * (l_partkey % 13))", "((l_orderkey * 37 + l_suppkey * 11) % 30000)"
+    return line.selectExpr(
+        f"{today} AS snapshot_date", "concat('TK', chr(64 + n)) AS underlying_symbol", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS contract_symbol",
+        "IF(l_linestatus = 'O', 'call', 'put') AS option_type", f"date_add({today}, {dte}) AS expiration_date", f"{dte} AS days_to_expiration", f"{dte} / 365D AS time_to_expiration_years",
+        "(2.5D + 0.5D * n) * (10 + l_suppkey % 21) AS strike", "50D + 10D * n AS underlying_price", "(n - 13) / 500D AS underlying_day_change_pct",
+        "0.2D + n / 100D AS historical_volatility", f"{_before(as_of, '(n * 900)')} AS underlying_price_time",
+        "double(n * 900) AS underlying_price_age_seconds", f"n * 900 > {params.stale_quote_seconds} AS is_stale_underlying_price",
+        f"date_add({today}, 3 * n) AS next_earnings_date", "n % 2 = 0 AS next_earnings_date_is_estimated", "3 * n AS days_to_earnings",
+        f"IF(n % 5 <> 0, date_add({today}, 2 * n), NULL) AS next_ex_div_date", "IF(n % 5 <> 0, 2 * n, NULL) AS days_to_ex_div", "IF(n % 5 <> 0, n / 10D, NULL) AS dividend_amount",
+        f"CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN NULL WHEN l_discount = 0 THEN 0D ELSE {price} / 100D END AS bid",
+        f"IF(l_linenumber = 6 AND l_returnflag = 'R' AND l_quantity < 5, ({price} - 1D) / 100D, floor({price} * (1D + 4D * l_discount)) / 100D) AS ask",
+        f"IF(l_returnflag = 'R' AND l_linenumber = 1, NULL, ({price} + l_linenumber) / 100D) AS last_trade_price",
+        "bigint(l_quantity) AS volume", "bigint(l_quantity * l_linenumber * 4) AS open_interest", "IF(l_tax = 0, NULL, 0.1D + 5D * l_tax + 0.02D * l_linenumber) AS implied_volatility",
+        f"{_before(as_of, age)} AS option_quote_time", "'tpch' AS data_source", f"{d(params.risk_free_rate)} AS risk_free_rate_used",
+        "l_orderkey AS _order", "l_linenumber AS _line", "n AS _n",
     )
 
 

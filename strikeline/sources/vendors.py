@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from strikeline.functions.mathx import number
 from strikeline.params import Params
-from strikeline.schema import CHAIN
+from strikeline.schema import BOOLEANS, CHAIN
 
 # Vendor names of canonical columns.
 FLAT_NAMES = {
@@ -134,10 +134,30 @@ def read_landed(spark: SparkSession, path: str, label: str, payload: str) -> Dat
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A stored snapshot: Parquet by its ending or as a folder of a snapshot, else CSV with the canonical schema."""
-    if path.rstrip("/").endswith(".csv"):
-        return spark.read.schema(CHAIN).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(path)
-    return spark.read.parquet(path)
+    """A stored snapshot: Parquet where the path, or else the first file of the folder, ends in .parquet; anything else is CSV with the canonical schema, whose flags
+    may be written in any of the ways of `truthy`."""
+    if path.rstrip("/").endswith(".parquet") or (_first_file(spark, path) or "").endswith(".parquet"):
+        return spark.read.parquet(path)
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in BOOLEANS else f.dataType) for f in CHAIN.fields])
+    rows = spark.read.schema(schema).option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(path)
+    return rows.withColumns({c: truthy(F.col(c)) for c in BOOLEANS if c in CHAIN.names})
+
+
+def _first_file(spark: SparkSession, path: str) -> str | None:
+    """The name of a data file below a folder, or of the file itself; by the file system that the path is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    while files.hasNext():
+        name = files.next().getPath().getName()
+        if not name.startswith(("_", ".")):
+            return name
+    return None
+
+
+def truthy(x: Column) -> Column:
+    """Whether a text flag says true, 1 or yes, in any case and with spaces around; missing and blank stay missing, anything else is false."""
+    text = F.lower(F.trim(x.cast("string")))
+    return F.when(F.coalesce(text, F.lit("")) != "", text.isin("true", "1", "yes"))
 
 
 def csv_cells(line: Column) -> Column:

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from strikeline.functions import ranks
 from strikeline.operators import attach, export, filters, greeks, groups, ledger, positions, pricing, quotes, screens, summaries, validation
 from strikeline.params import Params
 from strikeline.schema import CHAIN, COLUMNS, SCHEMA_VERSION
@@ -154,7 +157,7 @@ def test_export_round_trip(spark, tmp_path):
 
 def test_ledger_contract(spark):
     df = spark.range(10)
-    row = ledger.content_hash(df.repartition(3)).withColumn("schema_version", F.lit(SCHEMA_VERSION)).first()
+    row = ledger.content_hash(df.repartition(3)).withColumn("schema_version", F.lit(SCHEMA_VERSION))
     assert ledger.check_snapshot(df, row, SCHEMA_VERSION).count() == 0
     assert {r[0] for r in rows(ledger.check_snapshot(spark.range(11), row, SCHEMA_VERSION + 1), "problem")} == {"schema_version", "row_count", "content_hash"}
     assert P.fingerprint() != Params().fingerprint()
@@ -255,3 +258,121 @@ def test_best_quote_over_several_rows_of_arrays(spark):
     assert rows(vendors.best_quote_row(df), "underlying_symbol", "underlying_price") == [("A", 2.0)]
     packed = queries._quote_arrays(spark, "/root/testdata/sf0.001")
     assert packed.count() > packed.select("underlying_symbol").distinct().count()
+
+
+def test_buckets_keep_the_order_of_values(spark):
+    values = [float("-inf"), -1e300, -2.5, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 0.1, 0.2, 0.3, 1 - 2**-53, 1.0, 1 + 2**-52, 1.9999999, 2.0, 3.0, 1e15, 1.7e308, float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(ranks.bucket(F.col("v"))).collect()]
+    assert got[0] is None and got[1:] == sorted(got[1:]) and len(set(got)) > 15
+
+
+def test_quantiles_of_a_hot_group_of_different_values(spark):
+    """Most rows are of one group and no two values agree: its windows are over parts of it."""
+    rng = random.Random(1)
+    df = spark.createDataFrame([("hot" if i % 10 else f"g{i % 7}", rng.lognormvariate(0, 1) * (-1 if i % 5 == 0 else 1)) for i in range(4000)], "g string, v double")
+    got = groups.quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.3})
+    assert {r.g: (r.m, r.q) for r in got.collect()} == {r.g: (r.m, r.q) for r in df.groupBy("g").agg(F.median("v").alias("m"), F.percentile("v", F.lit(0.3)).alias("q")).collect()}
+    cut = ranks.with_before(df, ["g"], ranks.bucket(F.col("v")), F.lit(1))
+    assert cut.where("g = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 50
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("_value" in w and "_bucket" in w for w in windows) and not any("_value" in w and "_bucket" not in w for w in windows)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("column", ["x", "name", "day"])
+def test_pages_equal_a_sort(spark, column, descending):
+    rng = random.Random(2)
+    data = [(f"k{i:04d}", rng.choice([None, rng.randrange(-30, 30) / 4, rng.random()]), rng.choice([None, "", "Beta", "beta", "alpha", "gammaray", "Gamma"]), D(2026, 1, 1 + rng.randrange(20)) if i % 9 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "contract_symbol string, x double, name string, day date")
+    key = F.lower(column) if column == "name" else F.col(column)
+    want = [r.contract_symbol for r in df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "contract_symbol").collect()]
+    for page in (1, 3, 10, 11, 30):
+        assert [r.contract_symbol for r in summaries.sort_page(df, column, page, 37, descending).collect()] == want[(page - 1) * 37 : page * 37]
+
+
+def test_samples_and_retention_of_one_slice(spark):
+    rng = random.Random(3)
+    df = spark.createDataFrame([("A", D(2026, 5, 1), "call", rng.choice([None, float(rng.randrange(80))]), f"c{i:03d}") for i in range(300)], "underlying_symbol string, expiration_date date, option_type string, strike double, contract_symbol string")
+    ordered = [r.contract_symbol for r in df.orderBy("strike", "contract_symbol").collect()]
+    got = sorted((r["rank"], r.contract_symbol) for r in summaries.even_sample(df, 20).collect())
+    assert got == [(k, ordered[k]) for k in sorted({math.floor(i / 19 * 299 + 0.5) for i in range(20)})]
+    runs = spark.createDataFrame([(i, rng.choice(["p", "q", None]), rng.randrange(50)) for i in range(200)] + [(500, "few", 1)], "dataset_id long, provider string, created_at int")
+    want = set()
+    for p in ("p", "q", None, "few"):
+        own = sorted((r.created_at, r.dataset_id) for r in runs.collect() if r.provider == p)
+        want |= {i for _, i in own[: max(0, len(own) - 10)]}
+    assert {r.dataset_id for r in ledger.retention_candidates(runs, 10).collect()} == want and ledger.retention_candidates(runs, 0).count() == 0
+
+
+def test_content_hash_counts_rows_that_stand_twice(spark):
+    one = lambda *x: ledger.content_hash(spark.createDataFrame([(v, w) for v, w in x], "a string, b string")).first()
+    a, b = ("x", "y"), ("z", None)
+    assert one(a, a)[1] != one(b, b)[1] and one(a, b) == one(b, a) and one(("ab", "c"))[1] != one(("a", "bc"))[1] and one((None, "-"))[1] != one(("-", None))[1]
+
+
+def test_snapshots_are_told_by_their_files(spark, tmp_path):
+    chain = spark.createDataFrame([(1.5, D(2026, 1, 2), True)], "strike double, snapshot_date date, is_stale_quote boolean")
+    export.write_parquet(chain, str(tmp_path / "plain"))
+    assert rows(vendors.read_snapshot(spark, str(tmp_path / "plain")), "strike", "is_stale_quote") == [(1.5, True)]
+    header = ",".join(COLUMNS)
+    at = COLUMNS.index("is_stale_quote")
+    (tmp_path / "table.dat").write_text("\n".join([header] + [",".join(flag if k == at else "" for k in range(len(COLUMNS))) for flag in ("1", " YES ", "true", "0", "no", "", "maybe")]))
+    got = [r[0] for r in rows(vendors.read_snapshot(spark, str(tmp_path / "table.dat")), "is_stale_quote")]
+    assert got == [True, True, True, False, False, None, False]
+
+
+def test_positions_match_by_bins(spark):
+    rng = random.Random(4)
+    strike = lambda: rng.choice([rng.randrange(2000) / 1000, rng.randrange(200) / 100, 0.29, 0.28, 0.3])
+    held = [("option", rng.choice("AB"), D(2026, 1, 2), "call", strike()) for _ in range(60)] + [("option", "A", D(2026, 1, 2), "put", None), ("stock", "A", None, None, None)]
+    chain = [(rng.choice("AB"), D(2026, 1, 2), rng.choice(["call", "put"]), strike(), f"c{i}") for i in range(300)] + [("A", D(2026, 1, 2), "call", None, "none")]
+    positions_df = spark.createDataFrame(held, "kind string, ticker string, expiration_date date, option_type string, strike double")
+    chain_df = spark.createDataFrame(chain, "underlying_symbol string, expiration_date date, option_type string, strike double, contract_symbol string")
+    close = lambda c, h: h[4] is not None and c[3] is not None and h[0] == "option" and c[:3] == h[1:4] and abs(c[3] - h[4]) < P.strike_tolerance
+    want = {c[4] for c in chain if any(close(c, h) for h in held)}
+    assert {r.contract_symbol for r in positions.match_positions(chain_df, positions_df, P).collect()} == want and 0 < len(want) < 300
+    assert {r.contract_symbol for r in positions.match_positions(chain_df, positions_df, P, "left_anti").collect()} == {c[4] for c in chain} - want
+    first = {h[1:]: min(((c[3], c[4]) for c in chain if close(c, h)), default=(None, None))[1] for h in held if h[4] is not None}
+    assert {(r.ticker, r.expiration_date, r.option_type, r.strike): r.contract_symbol for r in positions.position_coverage(positions_df, chain_df, P).collect()} == first
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    from strikeline.plans import tables
+    from strikeline.streaming import enrichment
+
+    for part in range(2):
+        tables.chain(spark, "/root/testdata/sf0.001").where(f"_order % 40 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, book = str(tmp_path / "out"), str(tmp_path / "ledger")
+    stream = enrichment.read_quotes(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    enrichment.enrich_with_ledger(stream, Params(), out, book, str(tmp_path / "cp")).awaitTermination()
+    seen = lambda: (spark.read.parquet(out).count(), sorted(map(tuple, spark.read.parquet(book).select("batch_id", "row_count", "content_hash").collect())))
+    before = seen()
+    assert before[0] == spark.read.parquet(str(tmp_path / "in")).count() == sum(r[1] for r in before[1]) and len(before[1]) == 2
+    again = spark.read.parquet(out).where("batch_id = 1").select(*stream.columns)
+    again.write.parquet(str(tmp_path / "again"))
+    enrichment.write_batch(spark.read.parquet(str(tmp_path / "again")), 1, Params(), out, book)
+    assert seen() == before
+
+
+def test_latest_quotes_across_days_and_a_restart(spark, tmp_path):
+    from strikeline.streaming import enrichment
+
+    schema = "contract_symbol string, option_quote_time timestamp, bid double, ask double"
+    at = lambda day, hour: dt.datetime(2026, 3, day, hour, tzinfo=dt.timezone.utc)
+    days = [
+        [("A", at(2, 10), 1.0, 2.0), ("A", at(2, 11), None, 2.5), ("B", at(2, 9), 3.0, 4.0), ("D", at(2, 9), 1.0, 1.0)],
+        [("A", at(3, 10), 1.5, 2.0), ("A", at(3, 10), 1.5, 2.5), ("C", at(3, 9), 5.0, None), ("B", at(2, 8), 9.0, 9.0), ("A", None, 7.0, 7.0)],
+        [("B", at(4, 9), 6.0, 7.0), ("A", at(4, 8), 1.0, 1.0), ("A", at(3, 11), 8.0, 8.0), ("C", at(3, 8), 0.0, 0.0)],
+    ]
+    got = {}
+
+    def merge(df, _):
+        got.update({r.contract_symbol: (r.option_quote_time, r.bid, r.ask) for r in df.collect()})
+
+    for data in days:  # each day is a run of its own, from the same checkpoint
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = enrichment.read_quotes(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+        enrichment.latest_quotes_across_days(stream).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = spark.read.parquet(str(tmp_path / "in")).where("option_quote_time IS NOT NULL").groupBy("contract_symbol").agg(F.max(F.struct("option_quote_time", "bid", "ask")).alias("q")).select("contract_symbol", "q.*")
+    assert got == {r.contract_symbol: (r.option_quote_time, r.bid, r.ask) for r in batch.collect()}
