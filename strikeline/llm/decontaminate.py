@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.vectors import LOWER, WORD, U, chunks, prefix_hash, ragged, span_hash, shared_table, short_batches, utf8, word_spans
+from strikeline.llm.vectors import LOWER, U, WORD, chunks, prefix_hash, ragged, row_name, shared_table, short_batches, span_hash, utf8, word_spans
 
 SAMPLED = 8
 SHARD_BYTES = 4 << 20
@@ -208,45 +210,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     unchanged (those of the four names are replaced).
     """
     short_batches(docs.sparkSession)
-    added = ("n_words", "n_hit", "items", "spans")
-    out = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in added])
-    schema = T.StructType([*out.schema.fields]).add("n_words", "long").add("n_hit", "long")
+    spark = docs.sparkSession
+    rows = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in ADDED])
+    earlier, held = [], None
+    for block in _blocks(benchmark, item_col, "text"):
+        if held is not None:
+            earlier.append(_hits_of_texts(rows, text_col, Windows(held, window)))
+        held = block
+    windows = spark.sparkContext.broadcast(Windows(held or [], window))
+    merged = bool(earlier)
+    if merged:  # hits depend on the text alone
+        one, two = row_name(F.lit(0), F.col(f"`{text_col}`"))
+        hits = reduce(DataFrame.unionByName, earlier).groupBy("_t1", "_t2").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))  # one row for each block
+        rows = rows.withColumns({"_t1": one, "_t2": two}).join(hits, ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in ADDED]).add("n_words", "long").add("n_hit", "long")
     schema = schema.add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])))
-    for k, block in enumerate(_blocks(benchmark, item_col, "text")):
-        if k:  # what earlier blocks found is written, so that one block at a time is held by driver and tasks
-            out = shared_table(out)
-            windows.unpersist()
-        windows = docs.sparkSession.sparkContext.broadcast(Windows(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], windows=windows, again=k > 0) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, text_col, SHARD_BYTES):
-                buf, off = utf8(batch.column(text_col))
-                start, end, row, hit, pairs = _search(windows.value, buf, off)
-                n = len(batch)
-                items: list[set[str]] = [set(x) for x in batch.column("items").to_pylist()] if again else [set() for _ in range(n)]
-                for r, i in pairs:
-                    items[r].add(windows.value.names[i])
-                if again:
-                    for r, found in enumerate(batch.column("spans").to_pylist()):
-                        for x in found:
-                            hit[np.searchsorted(start, off[r] + x["first"]) : np.searchsorted(start, off[r] + x["last"])] = True
-                begins, ends = hit.copy(), hit.copy()
-                if len(hit):
-                    begins[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
-                    ends[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
-                spans: list[list[dict]] = [[] for _ in range(n)]
-                for a, b in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
-                    spans[row[a]].append({"first": int(start[a] - off[row[a]]), "last": int(end[b] - off[row[a]])})
-                kept = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c not in added]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(x for _, x in kept), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row[hit], minlength=n).astype(np.int64)),
-                        pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, SPANS),
-                    ],
-                    names=[*(c for c, _ in kept), *added],
-                )
-
-        out = out.mapInArrow(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col, SHARD_BYTES):
+            kept = [(c, x) for c, x in zip(batch.schema.names, batch.columns, strict=True) if c not in ADDED]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in kept), *_hits(batch, text_col, windows.value, merged)], names=[*(c for c, _ in kept), *ADDED])
+
+    return rows.mapInArrow(run, schema)
+
+
+ADDED = ("n_words", "n_hit", "items", "spans")
+
+
+def _hits(batch: pa.RecordBatch, text_col: str, windows: Windows, merged: bool = False) -> list[pa.Array]:
+    """ADDED of each row; merged: the batch has items and spans of other blocks."""
+    buf, off = utf8(batch.column(text_col))
+    start, end, row, hit, pairs = _search(windows, buf, off)
+    n = len(batch)
+    items: list[set[str]] = [set(x or ()) for x in batch.column("items").to_pylist()] if merged else [set() for _ in range(n)]
+    for r, i in pairs:
+        items[r].add(windows.names[i])
+    for r, found in enumerate(batch.column("spans").to_pylist() if merged else ()):
+        for x in found or ():
+            hit[np.searchsorted(start, off[r] + x["first"]) : np.searchsorted(start, off[r] + x["last"])] = True
+    begins, ends = hit.copy(), hit.copy()
+    if len(hit):
+        begins[1:] &= ~hit[:-1] | (row[1:] != row[:-1])
+        ends[:-1] &= ~hit[1:] | (row[1:] != row[:-1])
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    for a, b in zip(np.flatnonzero(begins), np.flatnonzero(ends), strict=True):
+        spans[row[a]].append({"first": int(start[a] - off[row[a]]), "last": int(end[b] - off[row[a]])})
+    return [pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(np.bincount(row[hit], minlength=n).astype(np.int64)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, SPANS)]
+
+
+def _hits_of_texts(rows: DataFrame, text_col: str, block: Windows) -> DataFrame:
+    """_t1, _t2 (128 bits of a text), items and spans of each text that one block hits, as a stored table."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", SHARD_BYTES):
+            _, n_hit, items, spans = _hits(batch, "text", shared.value)
+            some = pc.greater(n_hit, 0)
+            yield pa.RecordBatch.from_arrays([x.filter(some) for x in (batch.column("_t1"), batch.column("_t2"), items, spans)], names=["_t1", "_t2", "items", "spans"])
+
+    text = F.col(f"`{text_col}`")
+    one, two = row_name(F.lit(0), text)
+    found = rows.select(text.alias("text"), one.alias("_t1"), two.alias("_t2")).mapInArrow(run, "_t1 long, _t2 long, items array<string>, spans array<struct<first: long, last: long>>")
+    out = shared_table(found.groupBy("_t1", "_t2").agg(F.first("items").alias("items"), F.first("spans").alias("spans")))
+    shared.unpersist()
     return out
 
 
