@@ -5,7 +5,9 @@ negative; every kind's weight is its log-odds of standing inside rather than out
 contiguous run of the largest sum. An element of furniture (forms, navigation, asides, comment lists, ...) counts once, as one negative token, and
 is left out of the text of a run that spans it.
 
-A page labels itself where it has exactly one <article> (or, lacking that, one <main>) element; the weights are counted over all such pages.
+A page labels itself where it has exactly one <article> (or, lacking that, one <main>) element; the weights are counted over all such pages. In such a page
+the mark bounds the run: tags inside it cost nothing, and what is outside counts against the run. Kinds that no labelled page has get the mean weight of
+the seen ones of their class (elements inside a block, and blocks).
 """
 
 from __future__ import annotations
@@ -193,8 +195,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 
 
 DEFAULT_WEIGHTS = {"word": 1.0, FURNITURE: -4.0}
-#: Weight of a kind that no labelled page has.
-UNKNOWN = -3.0
+#: Weight of a kind where no page labels itself; and of everything outside of the mark of a page that does.
+UNKNOWN, OUTSIDE = -0.3, -30.0
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -209,8 +211,40 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+def _is_inline(kind: str) -> bool:
+    return kind.strip("/") in INLINE
+
+
+def smoothed(weights: dict[str, float]) -> dict[str, float]:
+    """Weights of all kinds: one that was not seen gets the mean of the seen ones of its class that are no page frame (those weigh far below all others)."""
+    seen = {k: w for k, w in weights.items() if k not in ("word", FURNITURE, NESTED) and k[0] != "<" and w > -UNSEEN_FRAME}
+    out = dict(weights)
+    for inline in (True, False):
+        own = [w for k, w in seen.items() if _is_inline(k) == inline] or list(seen.values()) or [UNKNOWN]
+        mean = sum(own) / len(own)
+        for name in (*ELEMENTS, OTHER):
+            for kind in (name, "/" + name):
+                if _is_inline(kind) == inline:
+                    out.setdefault(kind, mean)
+    return out
+
+
+#: A tag that weighs less stands around content, not in it.
+UNSEEN_FRAME = 3.0
+
+
 def scored(tokens: list[tuple], weights: dict[str, float]) -> list[float]:
-    return [weights.get(kind, UNKNOWN) * n for kind, n in map(_kinds, tokens)]
+    """The score of each token; in a page that labels itself, by its own mark."""
+    opened = Counter(t[1] for t in tokens if t[0] == TAG)
+    at = 4 if opened["article"] == 1 else 5 if not opened["article"] and opened["main"] == 1 else 0
+    if not at:
+        return [weights.get(kind, UNKNOWN) * n for kind, n in map(_kinds, tokens)]
+    out = []
+    for t in tokens:
+        kind, n = _kinds(t)
+        inside = t[at - 1] if t[0] == TEXT else t[at]
+        out.append((weights["word"] * n if kind == "word" else 0.0) if inside else OUTSIDE * n)
+    return out
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
@@ -234,7 +268,8 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None, html_co
     """
     short_batches(pages.sparkSession)
     own = pages.select(*[pages[f"`{c}`"] for c in pages.columns if c not in ("text", "n_chars")])
-    found = {**DEFAULT_WEIGHTS, **(learn_weights(pages, html_col) if weights is None else weights)}
+    found = smoothed({**DEFAULT_WEIGHTS, **(learn_weights(pages, html_col) if weights is None else weights)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, html_col):
             texts = [extract(x, found) for x in batch.column(html_col).to_pylist()]

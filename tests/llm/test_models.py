@@ -153,3 +153,30 @@ def test_pages_without_an_article(spark):
     pages = [(k, f"<html><body><nav>menu</nav><main><p>some words of the text {k}</p></main><div>x</div></body></html>") for k in range(20)] + [(99, "<html><body><nav>menu</nav><p>plain words of a page</p></body></html>")]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, html string")).collect()}
     assert got[3] == "some words of the text 3" and got[99] == "plain words of a page"
+
+
+LONG = " ".join(f"word{k}" for k in range(30))
+LEARNED = html.smoothed({"word": 3.0, "body": -28.0, "/body": -28.0, "html": -28.0, "/html": -28.0, "article": -28.0, "/article": -28.0, "p": -0.05, "/p": -0.05, "h1": -0.05, "/h1": -0.05, "b": -0.05, "br": -0.05, html.FURNITURE: -4.0})
+
+
+@pytest.mark.parametrize("frame", ["<html><body><article>{}</article></body></html>", "<html><body><nav>Home</nav>{}<footer>About</footer></body></html>"])
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<ul>" + "".join(f"<li>item{k}</li>" for k in range(40)) + "</ul>", " ".join(f"item{k}" for k in range(40))),
+        ("<div></div><div></div><p>end</p>", "end"),
+        ("<table><tr><td>1</td><td>2</td></tr></table>", "1 2"),
+        ("<dl><dt>a</dt><dd>b</dd></dl><blockquote>c</blockquote>", "a b c"),
+        ("<p>x <em>y</em> <custom-tag>z</custom-tag></p>", "x y z"),
+        ("<figure><img src=a><figcaption>f</figcaption></figure>", "f"),
+    ],
+)
+def test_no_loss_on_elements_that_labelled_pages_lack(frame, inner, text):
+    page = frame.format(f"<p>{LONG}</p>{inner}<p>{LONG}</p>")
+    assert html.extract(page, LEARNED) == f"{LONG} {text} {LONG}"
+
+
+def test_what_follows_a_control_inside_the_article_stays():
+    page = f"<article><p>{LONG}</p><p>L <label>x</label> <button>b</button> t</p></article>"
+    assert html.extract(page, LEARNED) == f"{LONG} L t"
+    assert html.extract(f"<p>outside {LONG}</p><article><p>in</p></article><p>{LONG}</p>", LEARNED) == "in"
