@@ -2,8 +2,8 @@
 
 A definition is a SQL expression: a select of a hundred of them is one call to the JVM, where the same as Column objects is some thousand calls. It gets the columns it
 reads as attributes of its first argument, which is how its dependencies are known. Only what is wanted, directly or not, is
-built. Columns of one depth share a select, or a few where that would be too much for one generated method. With `top`, a column that no later select reads is put into
-a struct right away, which later selects and joins copy as one value.
+built. Columns of one depth share a select, or a few where that would be too much for one generated method. Packed, a column that no later select reads is put into
+a struct right away, which later selects copy as one value.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ Definition = Callable[[Reader, Params], str]
 Definitions = dict[str, Definition]
 GIVEN = "_given_"
 #: How much code one generated method may get, in characters of expressions, and how much the rows that come in are taken to have.
-METHOD, BELOW = 4600, 1800
+METHOD, BELOW = 5000, 1800
+#: Spark makes no common method of selects of more columns.
+FUSED = 100
 
 
 def _resolve(base: set[str], definitions: Definitions, wanted: Iterable[str], params: Params) -> tuple[dict[str, str], dict[str, set[str]], dict[str, int]]:
@@ -80,10 +82,9 @@ def _steps(made: dict[str, str], depth: dict[str, int]) -> list[list[str]]:
     return steps
 
 
-def build(df: DataFrame, definitions: Definitions, params: Params, wanted: Iterable[str] | None = None, only: bool = False, top: Iterable[str] | None = None) -> DataFrame:
+def build(df: DataFrame, definitions: Definitions, params: Params, wanted: Iterable[str] | None = None, only: bool = False, packed: bool = False) -> DataFrame:
     """df with the wanted columns (all that have no leading underscore, by default), or, with `only`, just these. Defined columns that df has are
-    replaced. With `top`, only these stand by themselves and all others in a struct `_rest`, for joins that copy rows as they are; a filter on its fields
-    would be rewritten in terms of all that they are made of, so filters come before."""
+    replaced. Where rows are filtered by what is built, they are better not packed: the filter would be rewritten in terms of whole structs."""
     wanted = list(dict.fromkeys(wanted if wanted is not None else (d for d in definitions if not d.startswith("_"))))
     base = set(df.columns)
     made, needs, depth = _resolve(base, definitions, wanted, params)
@@ -97,14 +98,14 @@ def build(df: DataFrame, definitions: Definitions, params: Params, wanted: Itera
     for k, new in enumerate(steps):
         later = {x for own in steps[k + 1 :] for n in own for x in needs[n]}
         size = sum(len(made[n]) for n in new) + 24 * len(standing)
-        if code + size > METHOD:
+        if code + size > METHOD and len(standing) + len(structs) <= FUSED:
             df, code = apart(df), 0
         code += size
         standing |= {n: f"{made[n]} AS `{n}`" for n in new}
         if k + 1 == len(steps):
             break
         done, kept = [n for n in standing if n not in later and n in ends], [n for n in standing if n in later]
-        if top is not None and done:
+        if packed and done:
             name = f"_done{k}"
             df = df.selectExpr(*(standing[n] for n in kept), _struct(standing, done, name), *structs)
             structs.append(name)
@@ -114,16 +115,8 @@ def build(df: DataFrame, definitions: Definitions, params: Params, wanted: Itera
             df = df.selectExpr(*(standing[n] for n in kept), *structs)
         standing = {n: f"`{n}`" for n in kept}
     value = {n: f"{stored[n]}.`{n}` AS `{n}`" if n in stored else standing[n] for n in outputs}
-    if top is None:
-        return df.selectExpr(*value.values())
-    top = list(top)
-    return df.selectExpr(*(value[n] for n in top), _struct(value, [n for n in outputs if n not in top], "_rest"))
+    return df.selectExpr(*value.values())
 
 
 def _struct(texts: dict[str, str], names: list[str], name: str) -> str:
     return f"struct({', '.join(texts[n] for n in names)}) AS {name}"
-
-
-def unpacked(df: DataFrame) -> DataFrame:
-    """The fields of `_rest` as columns again."""
-    return df.select(*(c for c in df.columns if c != "_rest"), "_rest.*")

@@ -35,6 +35,12 @@ def write_parquet(df: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
+    """A snapshot as a table of the session's catalogue, bucketed and sorted by underlying: what groups or joins by underlying reads it without an exchange."""
+    rows = df.selectExpr(*(canonical(df, c) for c in COLUMNS), "snapshot_date")
+    rows.write.mode("overwrite").bucketBy(buckets, "underlying_symbol").sortBy("underlying_symbol").format("parquet").saveAsTable(table)
+
+
 def union_frames(*frames: DataFrame) -> DataFrame:
     """Rows of all frames; a column that a frame lacks is missing there."""
     out = frames[0]

@@ -224,9 +224,9 @@ def sort_page(df: DataFrame, column: str, page: int, size: int, descending: bool
 
 def even_sample(chain: DataFrame, points: int) -> DataFrame:
     """At most `points` rows of each slice at evenly spaced ranks by strike."""
-    ranked = ranks.with_rank(chain, SLICE, ranks.bucket(F.col("strike")), [F.col("strike"), F.col("contract_symbol")]).withColumnRenamed("_total", "_n")
-    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i / max(points - 1, 1) * (F.col("_n") - 1) + 0.5))
-    return ranked.where((F.col("_n") <= points) | F.array_contains(at, F.col("rank").cast("long"))).drop("_n")
+    ranked = ranks.with_rank(chain, SLICE, ranks.bucket(F.col("strike")), [F.col("strike"), F.col("contract_symbol")])
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(i / max(points - 1, 1) * (F.col("_total") - 1) + 0.5))
+    return ranked.where((F.col("_total") <= points) | F.array_contains(at, F.col("rank"))).drop("_total")
 
 
 def extents(chain: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -36,10 +36,10 @@ ROW_COLUMNS = {
 }
 
 
-def enrich_rows(chain: DataFrame, params: Params, settled: bool = True, columns: Iterable[str] | None = None, top: Iterable[str] | None = None) -> DataFrame:
-    """All columns that depend on their own row alone, or just the given ones; no shuffle. Settled Greeks and scores can be filtered by. With `top`, all other columns stand
-    in one struct (graph.unpacked takes them out)."""
-    out = graph.build(chain, ROW_COLUMNS, params, columns, only=columns is not None, top=top)
+def enrich_rows(chain: DataFrame, params: Params, settled: bool = True, columns: Iterable[str] | None = None, packed: bool = False) -> DataFrame:
+    """All columns that depend on their own row alone, or just the given ones; no shuffle. Settled Greeks and scores can be filtered by;
+    packed (see graph) ones that nobody filters by are built with less copying."""
+    out = graph.build(chain, ROW_COLUMNS, params, columns, only=columns is not None, packed=packed)
     held = [c for c in (*GREEKS, *SCORES) if c in out.columns]
     return settle(out, held) if settled and held else out
 
@@ -69,10 +69,6 @@ STATISTICS = (
 )
 
 
-#: What filters and joins of statistics read; all else is copied as one value.
-TOP = ("snapshot_date", "underlying_symbol", "option_type", "expiration_date", "theta_efficiency")
-
-
 def with_flag(chain: DataFrame, params: Params, positions: DataFrame | None, columns: Iterable[str]) -> DataFrame:
     """The given columns and `_kept`, whether a row passes the filters or is held."""
     read = dict.fromkeys((*columns, "bid", "strike", "underlying_symbol", "option_type", "expiration_date", "underlying_price", "bid_ask_spread_pct_of_mid"))
@@ -89,5 +85,5 @@ def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = N
         positions = stored(positions)  # of a known size, and parsed once
     every = stored(with_flag(chain, params, positions, STATISTICS))
     rows = with_flag(chain, params, positions, chain.columns).where("_kept").drop("_kept")
-    out = enrich_rows(rows, params, settled=False, top=TOP)
-    return graph.unpacked(groups.with_all(out, every, every.where("_kept"), stored))
+    out = enrich_rows(rows, params, settled=False, packed=True)
+    return groups.with_all(out, every, every.where("_kept"), stored)

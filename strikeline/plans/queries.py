@@ -31,7 +31,7 @@ def shown(df: DataFrame, columns: str | None = None) -> DataFrame:
     def text(c: str) -> str:
         kind = kinds[c]
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return f"round(`{c}` + {d(oracle.NUDGE)}, 6)"
+            return f"rint((`{c}` + {d(oracle.NUDGE)}) * 1e6D) / 1e6D + 0D"  # round() goes through decimals, some ten times as slow
         if isinstance(kind, T.DateType):
             return f"date_format(`{c}`, 'yyyy-MM-dd')"
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -349,13 +349,15 @@ def expiration_window(spark, sf):
 # --- group statistics --------------------------------------------------------------------------------------------------------
 
 
-def _rows(spark, sf, settled: bool = False):
-    """Settled where a filter or an order reads Greeks or scores; without, what a query does not read is not computed."""
-    return enrich.enrich_rows(tables.chain(spark, sf), PARAMS, settled)
+def _rows(spark, sf, settled: bool = False, columns: str | None = None):
+    """Settled where a filter or an order reads Greeks or scores; without, what a query does not read is not computed. Of all columns, or of those named and those of
+    the chain."""
+    chain = tables.chain(spark, sf)
+    return enrich.enrich_rows(chain, PARAMS, settled, None if columns is None else [*chain.columns, *columns.split()])
 
 
 def _group_query(name: str, fn, columns: str, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf)), f"contract_symbol {columns}")
+    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf, columns="strike_distance_pct theta_efficiency premium_reference_price")), f"contract_symbol {columns}")
     ORACLE[name] = "WITH " + sql
 
 
@@ -378,7 +380,7 @@ SELECT contract_symbol, CASE WHEN p0 IS NOT NULL AND days_to_expiration > d0 THE
 
 
 def _filter_query(name: str, test: str, column) -> None:
-    QUERIES[name] = lambda spark, sf: shown(_rows(spark, sf).where(column()), "contract_symbol bid strike bid_ask_spread_pct_of_mid")
+    QUERIES[name] = lambda spark, sf: shown(_rows(spark, sf, columns="bid_ask_spread_pct_of_mid").where(column()), "contract_symbol bid strike bid_ask_spread_pct_of_mid")
     ORACLE[name] = oracle.pick("contract_symbol bid strike bid_ask_spread_pct_of_mid", f"enriched c WHERE {test}")
 
 
@@ -390,29 +392,29 @@ ORACLE["table_range_filter"] = oracle.pick("contract_symbol bid strike bid_ask_s
 
 @query("table_range_filter", ORACLE["table_range_filter"])
 def table_range_filter(spark, sf):
-    return shown(filters.range_filter(_rows(spark, sf), "strike", 20, 120), "contract_symbol bid strike bid_ask_spread_pct_of_mid")
+    return shown(filters.range_filter(_rows(spark, sf, columns="bid_ask_spread_pct_of_mid"), "strike", 20, 120), "contract_symbol bid strike bid_ask_spread_pct_of_mid")
 
 
 @query("filter_with_bypass", oracle.pick("contract_symbol strike bid", "kept", oracle.FILTERED))
 def filter_with_bypass(spark, sf):
-    return shown(filters.filter_chain(_rows(spark, sf), PARAMS, _positions(spark, sf)), "contract_symbol strike bid")
+    return shown(filters.filter_chain(_rows(spark, sf, columns="bid_ask_spread_pct_of_mid"), PARAMS, _positions(spark, sf)), "contract_symbol strike bid")
 
 
 @query("filter_accounting", "WITH " + oracle.FILTERED + """ SELECT underlying_symbol, count(*) AS raw_rows, coalesce(max(k), 0) AS kept_rows, count(*) - coalesce(max(k), 0) AS dropped_rows
 FROM enriched LEFT JOIN (SELECT underlying_symbol, count(*) AS k FROM kept GROUP BY 1) x USING (underlying_symbol) GROUP BY 1""")
 def filter_accounting(spark, sf):
-    rows = _rows(spark, sf)
+    rows = _rows(spark, sf, columns="bid_ask_spread_pct_of_mid")
     return filters.filter_accounting(rows, filters.filter_chain(rows, PARAMS, _positions(spark, sf)))
 
 
 @query("table_value_filter", "WITH " + oracle.ROWS + " SELECT contract_symbol, coalesce(score_validation, '—') AS label FROM enriched WHERE coalesce(score_validation, '—') IN ('—', 'DISCREPANCY')")
 def table_value_filter(spark, sf):
-    return filters.value_filter(_rows(spark, sf, settled=True), "score_validation", ["—", "DISCREPANCY"]).select("contract_symbol", filters.label("score_validation").alias("label"))
+    return filters.value_filter(_rows(spark, sf, True, "score_validation"), "score_validation", ["—", "DISCREPANCY"]).select("contract_symbol", filters.label("score_validation").alias("label"))
 
 
 @query("facet_values", "WITH " + oracle.ROWS + " SELECT DISTINCT coalesce(score_validation, '—') AS label FROM enriched")
 def facet_values(spark, sf):
-    return filters.facet_values(_rows(spark, sf), "score_validation")
+    return filters.facet_values(_rows(spark, sf, columns="score_validation"), "score_validation")
 
 
 # --- validation and export ---------------------------------------------------------------------------------------------------
@@ -516,7 +518,7 @@ _SUMMARY = """, s AS (
   hv AS historical_volatility_pct, round(iv / hv, 2) AS iv_hv_ratio, next_earnings_date, est AS next_earnings_date_is_estimated, round(risk, 6) AS event_risk_score FROM s""",
 )
 def ticker_summary(spark, sf):
-    return shown(summaries.ticker_summary(_rows(spark, sf)).drop("_change"))
+    return shown(summaries.ticker_summary(_rows(spark, sf, columns="event_risk_score")).drop("_change"))
 
 
 @query(
@@ -526,7 +528,7 @@ def ticker_summary(spark, sf):
   underlying_symbol || ' last underlying price was ' || printf('%.2f', price) || CASE WHEN ch >= 0 THEN ', up ' ELSE ', down ' END || printf('%.1f', abs(ch * 100e0)) || '% versus previous close.' AS market_context FROM s""",
 )
 def ticker_status(spark, sf):
-    return summaries.with_status(summaries.ticker_summary(_rows(spark, sf))).select("underlying_symbol", "latest_status", "market_context")
+    return summaries.with_status(summaries.ticker_summary(_rows(spark, sf, columns="event_risk_score"))).select("underlying_symbol", "latest_status", "market_context")
 
 
 _PROFITABLE = f"SELECT *, row_number() OVER (PARTITION BY underlying_symbol ORDER BY return_on_margin_annualized DESC NULLS LAST, coalesce(final_score, option_score, 0) DESC, quote_quality_score DESC, {_TIES}) AS k FROM enriched WHERE passes_primary_screen"
@@ -550,7 +552,7 @@ def highlights(spark, sf):
   round(median(underlying_price_age_seconds), 6) AS underlying_quote_age_median_seconds, round(max(underlying_price_age_seconds), 6) AS underlying_quote_age_max_seconds FROM enriched""",
 )
 def freshness_summary(spark, sf):
-    return shown(summaries.freshness_summary(_rows(spark, sf)))
+    return shown(summaries.freshness_summary(_rows(spark, sf, columns="quote_age_seconds")))
 
 
 _LATER = Params(as_of=PARAMS.as_of + dt.timedelta(hours=1))
@@ -564,7 +566,7 @@ def _fresh(kind: str, ts: str, flag: str) -> str:
 
 @query("freshness_now", "WITH " + oracle.ROWS + " " + _fresh("quotes", "option_quote_time", "is_stale_quote") + " UNION ALL " + _fresh("underlyings", "underlying_price_time", "is_stale_underlying_price"))
 def freshness_now(spark, sf):
-    return shown(summaries.freshness_now(_rows(spark, sf), _LATER))
+    return shown(summaries.freshness_now(_rows(spark, sf, columns="is_stale_quote"), _LATER))
 
 
 @query(
@@ -584,7 +586,7 @@ def freshness_gate(spark, sf):
 
 @query("dataset_constants", "WITH " + oracle.CHAIN + " SELECT 'risk_free_rate_used' AS name, '0.045' AS value FROM chain HAVING count(*) > 0 UNION ALL SELECT 'data_source', max(data_source) FROM chain HAVING count(DISTINCT data_source) = 1")
 def dataset_constants(spark, sf):
-    return summaries.dataset_constants(_rows(spark, sf))
+    return summaries.dataset_constants(_rows(spark, sf, columns="premium_reference_method"))
 
 
 @query("chain_slice", oracle.pick("contract_symbol option_type strike bid ask", "chain WHERE underlying_symbol = 'TKC' AND expiration_date = DATE '2002-01-23' AND option_type = 'put'", oracle.CHAIN))
@@ -597,12 +599,12 @@ _KEYS = "underlying_symbol, strftime(expiration_date, '%Y-%m-%d') AS expiration_
 
 @query("chain_totals", "WITH " + oracle.ROWS + f" SELECT {_KEYS}, count(*) AS contracts, round(count(*) FILTER (passes_primary_screen) / count(*), 6) AS pass_share, CAST(sum(volume) AS BIGINT) AS total_volume, CAST(sum(open_interest) AS BIGINT) AS total_open_interest FROM enriched GROUP BY ALL")
 def chain_totals(spark, sf):
-    return shown(summaries.chain_totals(_rows(spark, sf)))
+    return shown(summaries.chain_totals(_rows(spark, sf, columns="passes_primary_screen")))
 
 
 @query("risk_mix", "WITH " + oracle.ROWS + f" SELECT {_KEYS}, " + ", ".join(f"count(*) FILTER (risk_level = '{x}') AS {x.lower()}_count, round(count(*) FILTER (risk_level = '{x}') / count(*), 6) AS {x.lower()}_share" for x in ("LOW", "MODERATE", "HIGH")) + " FROM enriched GROUP BY ALL")
 def risk_mix(spark, sf):
-    return shown(summaries.risk_mix(_rows(spark, sf)))
+    return shown(summaries.risk_mix(_rows(spark, sf, columns="risk_level")))
 
 
 @query("liquidity_topk", "WITH " + oracle.CHAIN + f" SELECT {_KEYS}, contract_symbol, open_interest + volume AS liquidity, row_number() OVER w AS rank FROM chain WINDOW w AS (PARTITION BY underlying_symbol, chain.expiration_date, option_type ORDER BY open_interest + volume DESC, strike, contract_symbol) QUALIFY row_number() OVER w <= 6")
@@ -612,7 +614,7 @@ def liquidity_topk(spark, sf):
 
 @query("table_sort_page", oracle.pick("contract_symbol final_score", "(SELECT * FROM enriched ORDER BY final_score DESC NULLS LAST, contract_symbol LIMIT 100 OFFSET 100)"))
 def table_sort_page(spark, sf):
-    return shown(summaries.sort_page(_rows(spark, sf, settled=True), "final_score", 2, 100, descending=True), "contract_symbol final_score")
+    return shown(summaries.sort_page(_rows(spark, sf, True, "final_score"), "final_score", 2, 100, descending=True), "contract_symbol final_score")
 
 
 @query(

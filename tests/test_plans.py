@@ -40,6 +40,37 @@ def test_the_whole_plan_reads_and_joins_little(static):
     assert len(re.findall("BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|NestedLoopJoin", plan)) <= 8
 
 
+def test_row_columns_take_few_selects(static):
+    from strikeline.plans import enrich, queries, tables
+
+    rows = enrich.enrich_rows(tables.chain(static, SF), queries.PARAMS, settled=False)
+    logical = rows._jdf.queryExecution().analyzed().toString()
+    assert logical.count("Project [") <= 15  # of these, three make the chain
+    assert logical.count("Repartition 1073741824") <= 10
+    assert max(method_sizes(static, rows)) < 8000
+
+
+def test_rows_are_not_shuffled_for_small_statistics(static):
+    """Positions and statistics are stored first, so their size is known, and they are sent to the rows."""
+    plan = physical(QUERIES["export_conform"](static, SF)).toString()
+    assert plan.count("BroadcastHashJoin") == 5 and "SortMergeJoin" not in plan  # part, positions, and three sets of keys
+
+
+def test_bucketed_snapshots_are_grouped_without_an_exchange(static):
+    from strikeline.operators import export
+    from strikeline.plans import tables
+
+    export.write_bucketed(tables.chain(static, SF), "bucketed_chain", 4)
+    try:
+        plan = physical(static.table("bucketed_chain").groupBy("underlying_symbol").count()).toString()
+        assert "Exchange" not in plan and "FileScan" in plan
+        chain = static.table("bucketed_chain")
+        joined = chain.join(chain.groupBy("underlying_symbol").count().hint("shuffle_merge"), "underlying_symbol")
+        assert "Exchange" not in physical(joined).toString()
+    finally:
+        static.sql("DROP TABLE bucketed_chain")
+
+
 def test_filters_read_the_chain_once(static):
     plan = physical(QUERIES["filter_with_bypass"](static, SF)).toString()
     # the chain, and the positions made of a part of it
