@@ -24,8 +24,8 @@ RAW, KINDS = 256, 256
 HIDDEN, GATE = 24, 16
 #: Bound of the labelled sample (whole documents, those of the least hash of doc_id) and passes over it.
 SAMPLE, EPOCHS = 3000, 40
-#: Passages of one document that are learned from; all passages are scored.
-TRAINED = 512
+#: Documents that a step learns from, and bytes of their texts; a longer document is a step of its own.
+BATCH, BATCH_BYTES = 64, 1 << 20
 THRESHOLD = 0.3
 
 _KIND = np.arange(256, dtype=np.uint32)
@@ -106,37 +106,49 @@ class Model:
         return [x.T @ dh, dh.sum(0), h.T @ dtv, h.T @ dsu, ((tv * su) * de[:, None]).sum(0), z.T @ g, np.array(g.sum())]
 
 
-def fit(x: np.ndarray, row: np.ndarray, y: np.ndarray, seed: int = 1, epochs: int = EPOCHS, batch: int = 64) -> Model:
-    """Adam on the logistic loss; documents in an order that depends on the seed only."""
-    rng = np.random.default_rng(seed)
-    s = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-    model = Model(s(x.shape[1], HIDDEN) * 3, np.zeros(HIDDEN, np.float32), s(HIDDEN, GATE), s(HIDDEN, GATE), s(GATE), s(HIDDEN), np.array(0.0, np.float32))
-    first = np.searchsorted(row, np.arange(len(y)))
-    count = np.bincount(row, minlength=len(y))
-    m, v = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()]
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for k in range(0, len(order), batch):
-            own = order[k : k + batch]
-            idx = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in own])
-            grads = model.gradients(x[idx], np.concatenate([[0], np.cumsum(count[own])[:-1]]), y[own])
-            step += 1
-            rate = 0.01 * (1 - epoch / epochs) + 0.0005
-            for p, g, mm, vv in zip(model.parts(), grads, m, v, strict=True):
-                g = g + 1e-5 * p
-                mm += 0.1 * (g - mm)
-                vv += 0.001 * (g * g - vv)
-                p -= (rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)).astype(p.dtype)
-    return model
+class Trainer:
+    """Adam on the logistic loss, a batch of whole documents at a time."""
+
+    def __init__(self, width: int, epochs: int = EPOCHS, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        s = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        self.model = Model(s(width, HIDDEN) * 3, np.zeros(HIDDEN, np.float32), s(HIDDEN, GATE), s(HIDDEN, GATE), s(GATE), s(HIDDEN), np.array(0.0, np.float32))
+        self.m, self.v = ([np.zeros_like(p) for p in self.model.parts()] for _ in range(2))
+        self.step, self.epochs = 0, epochs
+
+    def learn(self, x: np.ndarray, row: np.ndarray, y: np.ndarray, epoch: int) -> None:
+        grads = self.model.gradients(x, np.searchsorted(row, np.arange(len(y))), y)
+        self.step += 1
+        rate = 0.01 * (1 - epoch / self.epochs) + 0.0005
+        for p, g, mm, vv in zip(self.model.parts(), grads, self.m, self.v, strict=True):
+            g = g + 1e-5 * p
+            mm += 0.1 * (g - mm)
+            vv += 0.001 * (g * g - vv)
+            p -= (rate * (mm / (1 - 0.9**self.step)) / (np.sqrt(vv / (1 - 0.999**self.step)) + 1e-8)).astype(p.dtype)
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(epoch, texts, labels) of BATCH documents of one epoch at most, fewer where they have more than BATCH_BYTES of text and are more than one."""
+    texts, y, size, now = [], [], 0, None
+    for batch in batches:
+        for epoch, text, label in zip(batch.column("epoch").to_pylist(), batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            text = (text or "").encode()
+            if texts and (epoch != now or len(texts) >= BATCH or size + len(text) > BATCH_BYTES):
+                yield now, texts, y
+                texts, y, size = [], [], 0
+            now, size = epoch, size + len(text)
+            texts.append(text)
+            y.append(label)
+    if texts:
+        yield now, texts, y
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """A model from at most `sample` labelled documents; None if there is no label of each kind.
 
     Null labels and ids are skipped; of several labels of one document the least counts; documents that repeat an id count each, equal rows once. The sample
-    is the first in the order of a hash of the id. A document of more than TRAINED passages is learned from so many, evenly spaced; one task holds them, and
-    the driver gets the model alone.
+    is the first in the order of a hash of the id, and its whole texts are learned from. One task reads them as a stream, sorted anew for each epoch, and holds one batch
+    of documents at a time; the driver gets the model alone.
     """
     short_batches(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
@@ -145,25 +157,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     picked = rows.select("doc_id", "name").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id", "name"])  # at most `sample` rows of two numbers
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "name").limit(sample)
     chosen = rows.join(F.broadcast(picked), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).select("doc_id", "name", "text", "y")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            x, of = passages(*utf8(batch.column("text")))
-            cut = np.searchsorted(of, np.arange(len(batch) + 1))
-            even = [np.unique(np.linspace(a, b - 1, min(b - a, TRAINED)).astype(int)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "name", "y")), pa.array([x[i].astype(np.float16).tobytes() for i in even], pa.binary())], names=["doc_id", "name", "y", "x"])
+    epochs = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
-        for batch in batches:
-            x += [np.frombuffer(v, np.float16).reshape(-1, RAW + KINDS) for v in batch.column("x").to_pylist()]
-            y += batch.column("y").to_pylist()
-        if len(set(y)) > 1:
-            model = fit(np.concatenate(x).astype(np.float32), np.repeat(np.arange(len(x)), [len(a) for a in x]), np.array([float(v > 0) for v in y], np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    encoded = chosen.mapInArrow(encode, "doc_id long, name long, y int, x binary")
-    found = encoded.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "name").mapInArrow(learn, "model binary").collect()
+        trainer, kinds = Trainer(RAW + KINDS), set()
+        for epoch, texts, y in portions(batches):
+            x, row = passages(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+            kinds |= {v > 0 for v in y}
+            trainer.learn(x, row, np.array([float(v > 0) for v in y], np.float32), epoch)
+        if len(kinds) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trainer.model)], pa.binary())], names=["model"])
+
+    order = ["epoch", F.xxhash64("epoch", "doc_id", "name"), "doc_id", "name"]
+    found = epochs.repartition(1).sortWithinPartitions(*order).mapInArrow(learn, "model binary").collect()
     return pickle.loads(found[0].model) if found else None
 
 

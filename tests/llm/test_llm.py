@@ -132,7 +132,9 @@ def test_language_without_training(spark):
 def test_attention_gradients():
     rng = np.random.default_rng(1)
     x, row, y = rng.random((7, 12)).astype(np.float64), np.array([0, 0, 0, 1, 2, 2, 2]), np.array([1.0, 0.0, 1.0])
-    model = quality.fit(x.astype(np.float32), row, y.astype(np.float32), epochs=1)
+    trainer = quality.Trainer(x.shape[1], epochs=1)
+    trainer.learn(x.astype(np.float32), row, y.astype(np.float32), 0)
+    model = trainer.model
     for name in "wbvuacd":
         setattr(model, name, np.asarray(getattr(model, name), np.float64))
     first = np.array([0, 3, 4])

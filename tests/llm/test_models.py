@@ -81,8 +81,8 @@ def test_attention_equals_plain_loops():
 
 
 def test_training_sample_of_repeated_ids(spark, monkeypatch):
-    """An id of many rows does not push others out of the sample in another way from run to run; long documents are learned from in part."""
-    monkeypatch.setattr(quality, "TRAINED", 3)
+    """An id of many rows does not push others out of the sample in another way from run to run."""
+    monkeypatch.setattr(quality, "BATCH_BYTES", 2000)
     rows = [(k, ("good text here " if k % 2 else "b@d t3xt h3r3 ") * (30 + 200 * (k == 5))) for k in range(40)] + [(7, f"one id, text {k} " * 20) for k in range(60)] + [(None, "no id"), (3, None)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(40)] + [(None, 1), (1, None)], "doc_id long, quality int")
     one, two = (quality.train(d, labels, sample=30) for d in (docs.repartition(3), docs.repartition(2)))
@@ -180,3 +180,27 @@ def test_what_follows_a_control_inside_the_article_stays():
     page = f"<article><p>{LONG}</p><p>L <label>x</label> <button>b</button> t</p></article>"
     assert html.extract(page, LEARNED) == f"{LONG} L t"
     assert html.extract(f"<p>outside {LONG}</p><article><p>in</p></article><p>{LONG}</p>", LEARNED) == "in"
+
+
+def test_batches_are_bounded_and_hold_whole_texts(monkeypatch):
+    """A batch ends with its epoch, at so many documents or at so many bytes; one longer text is a batch by itself."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "BATCH", 3)
+    monkeypatch.setattr(quality, "BATCH_BYTES", 100)
+    texts = ["a" * n for n in (10, 20, 90, 5, 5, 5, 5, 500, 1)] + [None]
+    rows = [(e, t, k % 2) for e in range(2) for k, t in enumerate(texts)]
+    stream = [pa.RecordBatch.from_pylist([{"epoch": e, "text": t, "y": y} for e, t, y in rows[a : a + 7]], pa.schema([("epoch", pa.int32()), ("text", pa.string()), ("y", pa.int32())])) for a in range(0, len(rows), 7)]
+    got = list(quality.portions(iter(stream)))
+    assert [(e, len(t), y) for e, ts, ys in got for t, y in zip(ts, ys, strict=True)] == [(e, len(t or ""), y) for e, t, y in rows]
+    assert all(len(ts) <= 3 and (len(ts) == 1 or sum(map(len, ts)) <= 100) for _, ts, _ in got) and [500] in [[len(t) for t in ts] for _, ts, _ in got]
+
+
+def test_very_long_labelled_documents(spark):
+    """Labels that only the last words of 100,000 show."""
+    long = "plain words of some text " * 20_000
+    docs = [(i, long + ("click here now!!! $$$ " * 4000 if i % 2 else "and so it ended well. " * 4000), i % 2) for i in range(8)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(df, quality.train(df, labels)).collect()}
+    assert all((got[i] > 0.5) == bool(y) for i, _, y in docs)
