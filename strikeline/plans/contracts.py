@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from strikeline.functions.shared import new_folder
 from strikeline.operators import export, ledger, positions, summaries, validation
 from strikeline.params import Params
 from strikeline.plans import oracle, tables
-from strikeline.plans.enrich import shared_folder
 from strikeline.sources import vendors
 
 PARAMS = Params()
 _STORED = "contract_symbol underlying_symbol option_type expiration_date strike bid ask last_trade_price implied_volatility option_quote_time"
 
 
-def _folder(spark, ending: str = "") -> str:
-    return f"{shared_folder(spark)}/query-{uuid.uuid4().hex}{ending}"
-
-
 def register(query, shown) -> None:
     """Adds these queries with the decorator of the registered queries."""
 
     @query("snapshot_csv", oracle.pick(_STORED, "chain", oracle.CHAIN))
     def snapshot_csv(spark, sf):
-        path = _folder(spark, ".csv")
+        path = new_folder(spark, ".csv")
         export.write_csv(tables.chain(spark, sf), path)
         return shown(vendors.read_snapshot(spark, path), _STORED)
 
     @query("snapshot_parquet", oracle.pick(_STORED, "chain", oracle.CHAIN))
     def snapshot_parquet(spark, sf):
-        path = _folder(spark)
+        path = new_folder(spark)
         export.write_parquet(tables.chain(spark, sf), path)
         return shown(vendors.read_snapshot(spark, path), _STORED)
 
     @query("landed_payload", "WITH " + oracle.CHAIN + " SELECT contract_symbol AS ticker, round(bid, 6) AS bid, strftime(expiration_date, '%Y-%m-%d') AS expiration FROM chain WHERE line % 2 = 0")
     def landed_payload(spark, sf):
-        path = _folder(spark)
+        path = new_folder(spark)
         payload = F.struct("bid", F.col("expiration_date").cast("string").alias("expiration"))
         label = F.when(F.col("_line") % 2 == 0, "quotes").otherwise("profile").alias("label")
         tables.chain(spark, sf).select(F.lit("tpch").alias("provider"), F.col("contract_symbol").alias("ticker"), label, F.lit("2002-01-02T21:00:00Z").alias("fetched_at"), payload.alias("payload")).write.json(path)
@@ -52,7 +46,7 @@ def register(query, shown) -> None:
         """One export for each nation: blank lines, a header, quoted cells, short rows, a footer."""
         line = F.concat(F.lit(" "), "s_name", F.lit(' , "a, ""b"" '), F.col("s_nationkey").cast("string"), F.lit('"'))
         files = tables.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-        path = _folder(spark)
+        path = new_folder(spark)
         files.select("s_nationkey", F.concat(F.lit("\n\nName,Note,Missing\n\n"), "body", F.lit("\n,,\nAs of today, all rights reserved"))).write.partitionBy("s_nationkey").text(path)
         rows = vendors.read_positions(spark, path).where("line > 0")
         return shown(rows.select(F.col("cells")[0].alias("name"), F.col("cells")[1].alias("note"), F.col("cells")[2].alias("missing"), F.size("cells").alias("cells")))
@@ -121,14 +115,14 @@ SELECT coalesce(e.underlying_symbol, d.underlying_symbol) AS underlying_symbol,
     @query("snapshot_hash", _hash_sql)
     def snapshot_hash(spark, sf):
         """Row count and content hash of a stored snapshot, as they stand in its ledger row."""
-        path = _folder(spark)
+        path = new_folder(spark)
         export.write_parquet(tables.chain(spark, sf), path)
         return ledger.content_hash(vendors.read_snapshot(spark, path).select(*_hashed.split()))
 
     @query("snapshot_contract", "SELECT 'schema_version' AS problem, count(*) AS rows FROM lineitem UNION ALL SELECT 'row_count', count(*) FROM lineitem")
     def snapshot_contract(spark, sf):
         """A stored snapshot against a ledger row of another version and a row count that is one too high; the hash is that of the rows before they were stored."""
-        path = _folder(spark)
+        path = new_folder(spark)
         chain = tables.chain(spark, sf)
         export.write_parquet(chain, path)
         stored = vendors.read_snapshot(spark, path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.functions import graph
+from strikeline.functions.shared import stored
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
 
@@ -44,24 +43,6 @@ def enrich_rows(chain: DataFrame, params: Params, settled: bool = True, columns:
     return settle(out, held) if settled and held else out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; one of this machine only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder."""
-    out = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
-
-
 #: What group statistics read.
 STATISTICS = (
     "snapshot_date", "underlying_symbol", "option_type", "expiration_date", "strike", "contract_symbol", "underlying_price", "time_to_expiration_years",

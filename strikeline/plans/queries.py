@@ -657,7 +657,8 @@ def retention_candidates(spark, sf):
     return shown(ledger.retention_candidates(tables.ledger(spark, sf), 100))
 
 
-from strikeline.plans import contracts  # noqa: E402
+from strikeline.plans import contracts, streams  # noqa: E402
 
 contracts.register(query, shown)
+streams.register(query, shown)
 ORACLE.update({name: oracle.nudged(sql) for name, sql in ORACLE.items()})
