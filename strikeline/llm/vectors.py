@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strikeline.functions.shared import drop_folder, passing_tables, shared_folder
+from strikeline.functions.shared import stored as shared_table
+
+__all__ = ["drop_folder", "passing_tables", "shared_folder", "shared_table"]
+
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -186,57 +189,3 @@ def short_batches(spark: SparkSession) -> None:
     """Arrow batches of 1,000 rows at most: a worker holds some MB even where texts are very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where none is set and all runs on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
-def shared_table(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, which is smaller than a checkpoint."""
-    out = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    for folders in _watched:
-        folders.append(out)
-    df.write.parquet(out)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
-
-
-#: Lists of the folders of tables that were written while each was watched.
-_watched: list[list[str]] = []
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder by the file system that it is in."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def passing_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes the shared tables that are written within, once nothing within needs them any more."""
-    folders: list[str] = []
-    _watched.append(folders)
-    try:
-        yield
-    finally:
-        _watched.remove(folders)
-        for folder in folders:
-            drop_folder(spark, folder)
