@@ -14,6 +14,11 @@ from strikeline.params import Params
 #: Last tie-breakers of every ranking.
 TIES = ("option_type", "strike", "contract_symbol")
 SLICE = ["underlying_symbol", "expiration_date", "option_type"]
+#: What a ranked contract is shown with.
+RANKED = (
+    "underlying_symbol", "contract_symbol", "option_type", "expiration_date", "strike", "premium_reference_price", "return_on_margin_annualized", "probability_itm", "delta_abs",
+    "strike_distance_pct", "risk_level", "spread_score", "dte_score", "theta_efficiency", "quote_quality_score", "option_score", "final_score", "bid_ask_spread_pct_of_mid", "event_risk_score",
+)
 
 
 def primary_candidates(chain: DataFrame) -> DataFrame:
@@ -37,10 +42,15 @@ def opportunity(chain: DataFrame) -> DataFrame:
     )
 
 
-def _first(df: DataFrame, order: list[Column], keys: tuple[str, ...] = ("underlying_symbol",)) -> DataFrame:
-    """The row of each group that comes first in an ascending order; tasks keep one row of a group each, so a hot group is never sorted."""
-    rest = F.struct(*(c for c in df.columns if c not in keys))
-    return df.groupBy(*keys).agg(F.min_by(rest, F.struct(*(x.alias(f"_{k}") for k, x in enumerate(order)), *TIES)).alias("_first")).select(*keys, "_first.*")
+def _first(df: DataFrame, order: list[Column], keys: tuple[str, ...] = ("underlying_symbol",), also: tuple[str, ...] = ()) -> DataFrame:
+    """The row of each group that comes first in an ascending order, with RANKED and also; tasks keep one row of a group each.
+
+    By structs alone Spark sorts all rows by group. Next to a collected set it hashes the groups and holds one row of each; that set is of nothing.
+    """
+    rest = F.struct(*(c for c in (*RANKED, *also) if c not in keys))
+    best = F.min_by(rest, F.struct(*(x.alias(f"_{k}") for k, x in enumerate(order)), *TIES)).alias("_first")
+    found = df.groupBy(*keys).agg(best, F.collect_set(F.lit(None).cast("boolean")).alias("_none"))
+    return found.where(F.size("_none") == 0).select(*keys, "_first.*")
 
 
 def _up(x: str) -> list[Column]:
@@ -82,7 +92,7 @@ def top_conviction(chain: DataFrame) -> DataFrame:
     c = primary_candidates(chain).where(F.col("option_type").isin("call", "put"))
     c = c.withColumns({"_score": F.round(score, 9), "_final": final, "_quality": zero("quote_quality_score"), "_spread": zero("spread_score")})
     order = [*_down("_score"), *_down("_final"), *_down("_quality"), *_down("_spread"), *_up("strike_distance_pct")]
-    best = _first(c, order, ("underlying_symbol", "option_type"))
+    best = _first(c, order, ("underlying_symbol", "option_type"), ("_score",))
     return opportunity(best).join(best.select("underlying_symbol", "option_type", F.col("_score").alias("conviction_score")), ["underlying_symbol", "option_type"])
 
 

@@ -17,6 +17,8 @@ GREEKS = (
     "delta", "probability_itm", "gamma", "vega", "theta", "delta_abs", "delta_safety_pct", "delta_itm_proxy", "has_valid_greeks",
 )
 SCORES = ("quote_quality_score", "option_score", "score_validation", "score_adjustment", "final_score")
+#: A filter of rankings; in terms of the quote it is a method of 15,000 bytecodes, which the JVM never compiles.
+SCREENED = ("passes_primary_screen",)
 
 
 def settle(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,7 +41,7 @@ def enrich_rows(chain: DataFrame, params: Params, settled: bool = True, columns:
     """All columns that depend on their own row alone, or just the given ones; no shuffle. Settled Greeks and scores can be filtered by;
     packed (see graph) ones that nobody filters by are built with less copying."""
     out = graph.build(chain, ROW_COLUMNS, params, columns, only=columns is not None, packed=packed)
-    held = [c for c in (*GREEKS, *SCORES) if c in out.columns]
+    held = [c for c in (*GREEKS, *SCORES, *SCREENED) if c in out.columns]
     return settle(out, held) if settled and held else out
 
 

@@ -484,10 +484,11 @@ def export_conform(spark, sf):
 
 _TOP = "underlying_symbol contract_symbol option_type expiration_date strike premium_reference_price delta_abs risk_level spread_score quote_quality_score option_score final_score"
 _TIES = "option_type, strike, contract_symbol"
+_RANKED = " ".join((*summaries.RANKED, "passes_primary_screen"))
 
 
 def _top(name: str, fn, inner: str, extra: str = "") -> None:
-    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf, settled=True)), _TOP + (" conviction_score" if extra else "") + " return_on_margin_annualized_pct")
+    QUERIES[name] = lambda spark, sf: shown(fn(_rows(spark, sf, True, _RANKED)), _TOP + (" conviction_score" if extra else "") + " return_on_margin_annualized_pct")
     ORACLE[name] = (
         "WITH " + oracle.ROWS + f", ranked AS ({inner}) SELECT {', '.join(oracle.shown(c) for c in _TOP.split())}{extra}, round(round(return_on_margin_annualized * 100e0, 1), 6) AS return_on_margin_annualized_pct FROM ranked WHERE k = 1"
     )
@@ -542,7 +543,7 @@ _PROFITABLE = f"SELECT *, row_number() OVER (PARTITION BY underlying_symbol ORDE
 ) SELECT highlight, underlying_symbol, contract_symbol, r AS return_on_margin_annualized_pct FROM u QUALIFY row_number() OVER (PARTITION BY highlight ORDER BY r DESC NULLS LAST, underlying_symbol) = 1""",
 )
 def highlights(spark, sf):
-    rows = _rows(spark, sf, settled=True)
+    rows = _rows(spark, sf, True, _RANKED)
     return shown(summaries.highlights(summaries.top_profitable(rows), summaries.top_moderate(rows, PARAMS)))
 
 

@@ -80,3 +80,12 @@ def test_filters_read_the_chain_once(static):
 def test_filters_reach_the_scan(static):
     plan = physical(QUERIES["chain_slice"](static, SF)).toString()
     assert "PushedFilters: [" in plan and "ReadSchema" in plan
+
+
+@pytest.mark.parametrize("name", ["top_profitable", "top_moderate", "top_conviction", "highlights"])
+def test_rankings_hash_groups_and_are_compiled(static, name):
+    """Rows are not sorted by group, which would spill them, and the screen is one compiled method."""
+    df = QUERIES[name](static, SF)
+    plan = physical(df).toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
+    assert max(method_sizes(static, df)) < 8000
