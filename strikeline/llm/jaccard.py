@@ -2,7 +2,8 @@
 
 Sets are the distinct runs of five words of a text; documents of equal sets are one member with a weight. In every run a set chooses about
 PER_RUN of its elements by a hash that all sets share; sets that choose one element meet in its bucket. Every bucket of more than SMALL members is split
-again by the next level's chosen elements, LEVELS levels at most; small buckets, and what is left after the last level, are compared. All runs are made at once:
+again by the next level's chosen elements, LEVELS levels at most; small buckets, and what is left after the last level, are compared. A large bucket
+of which all but PART members are like one of them is not split: links to that one connect them, and the others are compared with all. All runs are made at once:
 a level has the elements that any run chooses, and a path goes on with a part of them that a hash of the path picks, so that paths fail independently.
 Runs, and the part by the size of the set, are such that a pair of the least similarity misses with a chance below 1 - RECALL where all of its buckets are large.
 
@@ -310,13 +311,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _buckets(ids: DataFrame, sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(s1, s2, bucket, m): the buckets to be compared and their sizes, by recursive splitting. A row is a member of a bucket, which the set of elements on
-    its path names; all large buckets go on, each with its own part of the elements of the next level."""
+def _likeness(similarity: float):
+    """mapInArrow: members of buckets with their pivot's sketch; `like`, whether sketches link the two."""
+    least = (similarity - SKETCH_SLACK) * SKETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), SKETCH) for c in ("sketch", "pivot"))
+            kept = [c for c in batch.schema.names if c not in ("sketch", "pivot")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array((own == pivot).sum(1) >= least)], names=[*kept, "like"])
+
+    return run
+
+
+def _with_pivots(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(s1, s2, bucket, m, p1, like) of members of large buckets: p1 is the bucket's pivot, any of its members by one of four hashes, so that buckets share pivots and their links are the same, and `like` whether sketches link a member to it."""
+    pivots = large.groupBy("bucket").agg(F.min_by("s1", F.xxhash64("s1", F.pmod("bucket", F.lit(4)))).alias("p1")).join(sets.select(F.col("s1").alias("p1"), F.col("sketch").alias("pivot")), "p1").dropDuplicates(["bucket"])
+    rows = large.join(sets.select("s1", "s2", "sketch"), ["s1", "s2"]).join(pivots, "bucket").select("s1", "s2", "bucket", "m", "p1", "sketch", "pivot")
+    return rows.mapInArrow(_likeness(similarity), "s1 long, s2 long, bucket long, m long, p1 long, like boolean")
+
+
+def _buckets(ids: DataFrame, sets: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(s1, s2, bucket, m): the buckets to be compared and their sizes, by recursive splitting; and (s1, t1), links to pivots. A row is a member of a bucket, which the
+    set of elements on its path names. Large buckets go on, each with its own part of the elements of the next level, but for those of which sketches link all members
+    to the pivot except PART at most: their links connect them, and those few are compared with all members, so that no pair of the bucket is lost."""
     parts = parts_followed(similarity, recall)
     part = F.element_at(F.array(*(F.lit(int(p * 2**20) + 1) for p in parts)), F.least("size", F.lit(len(parts) - 1)) + 1)
     stays = F.col("size") < _least_size(similarity)
-    out = None
+    out = stars = None
     rows = sets.select("s1", "s2", F.explode(F.array_distinct("p0")).alias("bucket"))
     for level in range(LEVELS):
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
@@ -328,9 +350,18 @@ def _buckets(ids: DataFrame, sets: DataFrame, similarity: float, recall: float)
         small = (found if last else found.where(F.col("m") <= SMALL)).join(once, "bucket", "left_semi").select("s1", "s2", "bucket", "m")
         out = small if out is None else out.unionByName(small)
         if last:
-            return out
+            return out, stars
+        members = shared_table(_with_pivots(found.where(F.col("m") > SMALL).select("s1", "s2", "bucket", "m"), sets, similarity))
+        dense = shared_table(members.groupBy("bucket").agg(F.count_if(~F.col("like")).alias("few")).where(F.col("few") <= PART))
+        alone = members.join(dense.join(once, "bucket", "left_semi"), "bucket")
+        linked = alone.where("like AND s1 != p1").select("s1", F.col("p1").alias("t1"))
+        stars = linked if stars is None else stars.unionByName(linked)
+        parts_of = F.ceil(F.col("m") / PART).cast("int")
+        part_of = F.when(F.col("like"), F.array(F.pmod(F.xxhash64("s1", "s2"), parts_of).cast("int"))).otherwise(F.sequence(F.lit(0), parts_of - 1))
+        held = alone.where("few > 0").select("s1", "s2", F.explode(part_of).alias("part"), "bucket").select("s1", "s2", F.xxhash64("bucket", "part").alias("bucket"), F.lit(2 * PART).cast("long").alias("m"))
+        out = out.unionByName(held)
         path = F.array("bucket") if level == 0 else F.col("path")
-        large = found.where(F.col("m") > SMALL).groupBy("s1", "s2").agg(F.collect_list(path).alias("b"))
+        large = found.where(F.col("m") > SMALL).join(dense, "bucket", "left_anti").groupBy("s1", "s2").agg(F.collect_list(path).alias("b"))
         heads = large.join(sets.select("s1", "s2", "size", "head.k1", "head.k2"), ["s1", "s2"])
         chosen = ids.select("k1", "k2", F.array_distinct(f"p{level + 1}").alias("next"))
         pairs = heads.join(chosen, ["k1", "k2"]).dropDuplicates(["s1", "s2"]).select("s1", "s2", "b", "next", part.alias("part"), stays.alias("stays"))
@@ -354,13 +385,13 @@ def _linked(docs: DataFrame, similarity: float, recall: float, words: int, id_co
     )
     sets = shared_table(sets)
 
-    buckets = _buckets(ids, sets, similarity, recall)
+    buckets, near = _buckets(ids, sets, similarity, recall)
     # what is still large after the last level is compared in blocks of two parts
     huge = buckets.where(F.col("m") > 2 * PART).withColumn("k", F.ceil(F.col("m") / PART).cast("int")).withColumn("p", F.pmod(F.xxhash64("s1", "s2", "bucket"), F.col("k")).cast("int"))
     split = huge.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s1", "s2", F.xxhash64("bucket", F.least("p", "other"), F.greatest("p", "other")).alias("bucket"))
     dealt = buckets.where(F.col("m") <= 2 * PART).select("s1", "s2", "bucket").unionByName(split)
     members = dealt.join(sets.select("s1", "s2", "size", "sketch"), ["s1", "s2"])
-    stars = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(similarity), "s1 long, t1 long").distinct()
+    stars = members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketched(similarity), "s1 long, t1 long").unionByName(near).distinct()
     group_of = both_ways(stars)
     group_size = group_of.groupBy("c1").agg(F.count("*").alias("m"))
 
