@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strikeline.schema import COLUMNS, TIMESTAMPS, type_of
 
+CSV_ROWS = 500_000
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -25,8 +26,8 @@ def format_timestamps(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; missing values are blank."""
-    format_timestamps(conform(df)).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """With a header; missing values are blank. Gzip, in files of at most CSV_ROWS rows, each of which is read by one task."""
+    format_timestamps(conform(df)).write.mode("errorifexists").option("compression", "gzip").option("maxRecordsPerFile", CSV_ROWS).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -89,3 +89,12 @@ def test_rankings_hash_groups_and_are_compiled(static, name):
     plan = physical(df).toString()
     assert "SortAggregate" not in plan and "ObjectHashAggregate" in plan
     assert max(method_sizes(static, df)) < 8000
+
+
+def test_csv_exports_are_compressed(spark, tmp_path):
+    from strikeline.operators import export
+    from strikeline.plans import tables
+
+    export.write_csv(tables.chain(spark, SF), str(tmp_path / "out.csv"))
+    files = list((tmp_path / "out.csv").glob("part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
