@@ -443,7 +443,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, samples: int = SAMPLES, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encode, with n_pieces and ids_sha256 (of little-endian 32-bit ids) instead of the ids, and whether decoding gives the text back."""
+    """As encode, with n_pieces and ids_sha256 (of little-endian 32-bit ids) before the other columns, whether decoding gives the text back, and the ids last."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,16 +452,16 @@ def encode_digests(docs: DataFrame, samples: int = SAMPLES, model_path: str | No
             rows = []
             for i, x in enumerate(segmentations(vocabulary.value, buf, off, batch.column("seed").to_numpy(), samples)):
                 text, doc = buf[off[i] : off[i + 1]].tobytes(), batch.column("doc_id")[i].as_py()
-                rows += [(doc, j, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), vocabulary.value.decode(ids) == text, *rest) for j, (ids, *rest) in enumerate(x)]
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64())
-            names = ["doc_id", "sample", "n_pieces", "ids_sha256", "round_trip", "log_prob", "perturbed", "log_inclusion"]
+                rows += [(doc, j, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), vocabulary.value.decode(ids) == text, *rest, ids) for j, (ids, *rest) in enumerate(x)]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
+            names = ["doc_id", "sample", "n_pieces", "ids_sha256", "round_trip", "log_prob", "perturbed", "log_inclusion", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return _rows(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, sample int, n_pieces long, ids_sha256 string, round_trip boolean, log_prob double, perturbed double, log_inclusion double"
+        run, "doc_id long, sample int, n_pieces long, ids_sha256 string, round_trip boolean, log_prob double, perturbed double, log_inclusion double, ids array<int>"
     )
 
 
 def op9_sentencepiece_sampling(spark, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every document."""
+    """Two distinct sampled segmentations of every document: their ids, and whether these decode to the text."""
     return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -100,3 +100,12 @@ def test_text_without_spaces(monkeypatch):
         seen.append({tuple(ids.tolist()): log_p for doc in drawn(short, range(300), 1) for ids, log_p, *_ in doc})
     both = seen[0].keys() & seen[1].keys()
     assert len(both) > 1 and all(abs(seen[0][x] - seen[1][x]) < 1e-2 for x in both)
+
+
+def test_op9_returns_the_ids(spark):
+    import hashlib
+
+    rows = pieces.op9_sentencepiece_sampling(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        ids = np.array(r.ids, "<i4")
+        assert r.n_pieces == len(ids) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and r.round_trip
