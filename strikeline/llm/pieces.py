@@ -402,6 +402,15 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("long")).alias("seed"))
 
 
+def _flat(found: list[list[tuple]]) -> tuple[pa.Array, pa.Array, pa.ListArray, list[pa.Array]]:
+    """Of all segmentations of a chunk, text by text: the text's place, the sample's number, the ids as slices of one array, and the three values."""
+    flat = [s for x in found for s in x]
+    off = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s[0] for s in flat])))
+    own = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+    return own, pa.array([j for x in found for j in range(len(x))], pa.int32()), ids, [pa.array([s[c] for s in flat], pa.float64()) for c in (1, 2, 3)]
+
+
 def encode(docs: DataFrame, samples: int = SAMPLES, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct sampled segmentations of every text.
 
@@ -415,16 +424,8 @@ def encode(docs: DataFrame, samples: int = SAMPLES, model_path: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
             found = segmentations(vocabulary.value, *utf8(batch.column("text")), batch.column("seed").to_numpy(), samples)
-            own = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in found]))
-            flat = [s for x in found for s in x]
-            off = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(own), pa.array([j for x in found for j in range(len(x))], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s[0] for s in flat]))), *(pa.array([s[c] for s in flat], pa.float64()) for c in (1, 2, 3)),
-                ],
-                names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
-            )
+            own, number, ids, rest = _flat(found)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), number, ids, *rest], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 
@@ -442,20 +443,31 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     return own.mapInArrow(run, own.select("*", F.lit("").alias("text")).schema)
 
 
+def digests(vocabulary: Vocabulary, batch: pa.RecordBatch, samples: int) -> pa.RecordBatch:
+    """The rows of encode_digests of a chunk (doc_id, text, seed). All its ids are decoded at once, and stay one array."""
+    buf, off = utf8(batch.column("text"))
+    own, number, ids, rest = _flat(segmentations(vocabulary, buf, off, batch.column("seed").to_numpy(), samples))
+    values, cut = ids.values.to_numpy(), ids.offsets.to_numpy()
+    size = vocabulary.size[values]
+    back = vocabulary.data[ragged(vocabulary.off[values], size)].tobytes()
+    place = np.append(0, np.cumsum(size))[cut].tolist()
+    text, begin = buf.tobytes(), off.tolist()
+    same = [back[a + 1 : b] == text[begin[i] : begin[i + 1]] for i, a, b in zip(own.to_pylist(), place[:-1], place[1:], strict=True)]  # but for the first space, which encoding adds
+    raw, at = memoryview(values.astype("<i4").tobytes()), (4 * cut.astype(np.int64)).tolist()
+    sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(own), number, pa.array(np.diff(cut).astype(np.int64)), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), *rest, ids],
+        names=["doc_id", "sample", "n_pieces", "ids_sha256", "round_trip", "log_prob", "perturbed", "log_inclusion", "ids"],
+    )
+
+
 def encode_digests(docs: DataFrame, samples: int = SAMPLES, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode, with n_pieces and ids_sha256 (of little-endian 32-bit ids) before the other columns, whether decoding gives the text back, and the ids last."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
-            buf, off = utf8(batch.column("text"))
-            rows = []
-            for i, x in enumerate(segmentations(vocabulary.value, buf, off, batch.column("seed").to_numpy(), samples)):
-                text, doc = buf[off[i] : off[i + 1]].tobytes(), batch.column("doc_id")[i].as_py()
-                rows += [(doc, j, len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), vocabulary.value.decode(ids) == text, *rest, ids) for j, (ids, *rest) in enumerate(x)]
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()))
-            names = ["doc_id", "sample", "n_pieces", "ids_sha256", "round_trip", "log_prob", "perturbed", "log_inclusion", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield digests(vocabulary.value, batch, samples)
 
     return _rows(docs, id_col, text_col).mapInArrow(
         run, "doc_id long, sample int, n_pieces long, ids_sha256 string, round_trip boolean, log_prob double, perturbed double, log_inclusion double, ids array<int>"

@@ -109,3 +109,19 @@ def test_op9_returns_the_ids(spark):
     for r in rows:
         ids = np.array(r.ids, "<i4")
         assert r.n_pieces == len(ids) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest() and r.round_trip
+
+
+def test_digests_decode_a_chunk_at_once(monkeypatch):
+    import hashlib
+
+    texts = ["", "a b", "日本 é!", "  two\nlines ", "the end"]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 1, None, 7, 9], pa.int64()), pa.array(texts, pa.string()), pa.array(range(5), pa.int64())], names=["doc_id", "text", "seed"])
+    alone = pieces.Vocabulary.decode
+    monkeypatch.setattr(pieces.Vocabulary, "decode", lambda *_: 1 / 0)
+    out = pieces.digests(VOCABULARY, batch, 2).to_pylist()
+    assert [(r["doc_id"], r["sample"]) for r in out] == [(3, 0), (1, 0), (1, 1), (None, 0), (None, 1), (7, 0), (7, 1), (9, 0), (9, 1)]
+    want = dict(zip([3, 1, None, 7, 9], texts, strict=True))
+    for r in out:
+        ids = np.array(r["ids"], np.int64)
+        assert r["round_trip"] and alone(VOCABULARY, ids).decode() == want[r["doc_id"]]
+        assert r["n_pieces"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()
