@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strikeline.params import Params
 
@@ -44,11 +45,20 @@ def retention_candidates(ledger: DataFrame, keep: int) -> DataFrame:
     return ledger.join(last, ledger["provider"].eqNullSafe(last["_provider"]) & (age < last["_last"])).drop("_provider", "_last", "_n")
 
 
+#: Their texts are ASCII, so the length is that in bytes, which needs no pass over the text.
+_ASCII = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _text(field: T.StructField) -> list[str]:
+    """Length, colon and value, or - for a missing one: parts of one flat concat, which copies each value once."""
+    text, length = f"CAST(`{field.name}` AS STRING)", "octet_length" if isinstance(field.dataType, _ASCII) else "char_length"
+    return [f"coalesce(CAST({length}({text}) AS STRING), '-')", f"IF(`{field.name}` IS NULL, '', ':')", f"coalesce({text}, '')"]
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and a hash of the multiset of rows: sums of two 60-bit parts of each row's SHA-256. It does not depend on the order of rows or partitions, and rows that
     stand twice do not cancel. A row's text has the length of each value before it, and - for a missing one."""
-    text = [F.coalesce(F.concat(F.length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in df.columns]
-    hashed = df.select(F.sha2(F.concat(*text), 256).alias("h"))
+    hashed = df.selectExpr(f"sha2(concat({', '.join(x for f in df.schema.fields for x in _text(f))}), 256) AS h")
     sums = [F.coalesce(F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (1, 16)]
     return hashed.agg(F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("content_hash"))
 

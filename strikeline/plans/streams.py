@@ -23,7 +23,7 @@ def register(query, shown) -> None:
         """Row columns of landed quotes, written batch by batch with a ledger."""
         folder = new_folder(spark)
         tables.chain(spark, sf).write.parquet(f"{folder}/in")
-        quotes = enrichment.read_quotes(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, 4)
+        quotes = enrichment.read_quotes(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, max(4, spark.sparkContext.defaultParallelism))  # a file for each core
         enrichment.enrich_with_ledger(quotes, PARAMS, f"{folder}/out", f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
         return shown(spark.read.parquet(f"{folder}/out"), _SCORED)
 

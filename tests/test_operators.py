@@ -376,3 +376,25 @@ def test_latest_quotes_across_days_and_a_restart(spark, tmp_path):
         enrichment.latest_quotes_across_days(stream).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = spark.read.parquet(str(tmp_path / "in")).where("option_quote_time IS NOT NULL").groupBy("contract_symbol").agg(F.max(F.struct("option_quote_time", "bid", "ask")).alias("q")).select("contract_symbol", "q.*")
     assert got == {r.contract_symbol: (r.option_quote_time, r.bid, r.ask) for r in batch.collect()}
+
+
+def test_content_hash_is_that_of_its_definition(spark):
+    import hashlib
+
+    df = spark.sql("SELECT * FROM VALUES ('é!', 1.5D, 7, true, DATE'2026-01-02', TIMESTAMP'2026-01-02 03:04:05.5', 2.50BD), (NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('', -0.0D, -1, false, NULL, NULL, 0.00BD) AS t(a, b, c, d, e, f, g)")
+    texts = [["é!", "1.5", "7", "true", "2026-01-02", "2026-01-02 03:04:05.5", "2.50"], [None] * 7, ["", "-0.0", "-1", "false", None, None, "0.00"]]
+    h = [hashlib.sha256("".join("-" if x is None else f"{len(x)}:{x}" for x in r).encode()).hexdigest() for r in texts]
+    want = "-".join(str(sum(int(x[k : k + 15], 16) for x in h)) for k in (0, 15))
+    assert tuple(ledger.content_hash(df).first()) == (3, want)
+    plan = ledger.content_hash(df)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("octet_length") == 6 and plan.count("char_length") + plan.count(" length(") <= 1  # one pass over the text where it can have longer signs
+
+
+def test_a_first_batch_of_empty_files_has_a_ledger_row(spark, tmp_path):
+    from strikeline.plans import tables
+    from strikeline.streaming import enrichment
+
+    none = tables.chain(spark, "/root/testdata/sf0.001").where("false")
+    none.write.parquet(str(tmp_path / "in"))
+    enrichment.write_batch(spark.read.parquet(str(tmp_path / "in")), 0, Params(), str(tmp_path / "out"), str(tmp_path / "ledger"))
+    assert [r.row_count for r in spark.read.parquet(str(tmp_path / "ledger")).collect()] == [0]
