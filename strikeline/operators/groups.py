@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strikeline.functions import ranks
+from strikeline.functions.graph import Definitions
 from strikeline.params import Params
 
 SNAPSHOT = ("snapshot_date",)
@@ -31,25 +32,40 @@ def attach(chain: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return chain.join(named, on, "left").drop(*(f"_k_{k}" for k in keys))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float], store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Quantiles of the values of each group, interpolated between neighbours, and `_n`, the number of values that are not missing.
 
-    Values are counted first, so a hot group comes as its different values and counts; these are summed up by buckets (ranks), so that a group of many
-    different values is not one task.
+    Buckets of values are summed up (ranks), and values are ranked only in those buckets that hold a wanted place, so a group of many different values is not one task.
+    Values are counted first, so a hot group comes as its different values and counts. With `store`, for rows that are cheap to read twice and whose values mostly differ, the
+    buckets come from the rows themselves and the wanted ones are stored, so that Spark sends them to the rows: only rows of those buckets are shuffled.
     """
     # a missing value counts 0; it is not filtered, since a filter would be rewritten in terms of all that a derived value is made of
-    counts = rows.select(*keys, F.col(value).alias("_value")).groupBy(*keys, "_value").agg(F.count("_value").alias("_c"))
-    parts = ranks.with_before(counts, keys, ranks.bucket(F.col("_value")), F.col("_c"))
+    values = rows.select(*keys, F.col(value).alias("_value"))
+    if store is None:
+        counts = values.groupBy(*keys, "_value").agg(F.count("_value").alias("_c"))
+    else:
+        counts = values.withColumn("_c", F.when(F.col("_value").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    bucket, n = ranks.bucket(F.col("_value"), ranks.PER_DOUBLING if store is None else ranks.FEW), F.col("_total")
+    place = lambda q, n: q * (n - 1)
+    holds = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_sum"))
+    wanted = n == 0  # a group without values keeps its row
+    for q in at.values():
+        wanted = wanted | holds(F.floor(place(q, n))) | holds(F.ceil(place(q, n)))
+    sums = ranks.sums_before(counts, keys, bucket, F.col("_c")).where(wanted)
+    parts = ranks.join_buckets(counts, keys, bucket, sums if store is None else store(sums))
+    if store is not None:
+        parts = parts.groupBy(*keys, "_bucket", "_before", "_total", "_value").agg(F.sum("_c").alias("_c"))
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_bucket").orderBy("_value"))
-    ranked = parts.select(*keys, "_value", upto.alias("_upto"), F.col("_total").alias("_n"))
-    place = lambda q: q * (F.col("_n") - 1)
+    ranked = parts.select(*keys, "_value", upto.alias("_upto"), n.alias("_n"))
+    n = F.col("_n")
     out = [F.max("_n").alias("_n")]
     for name, q in at.items():
-        out += [F.min(F.when(F.col("_upto") > f(place(q)), F.col("_value"))).alias(f"_{k}_{name}") for k, f in (("low", F.floor), ("high", F.ceil))]
+        out += [F.min(F.when(F.col("_upto") > f(place(q, n)), F.col("_value"))).alias(f"_{k}_{name}") for k, f in (("low", F.floor), ("high", F.ceil))]
     stats = ranked.groupBy(*keys).agg(*out)
-    low, high = (lambda n: F.col(f"_low_{n}")), (lambda n: F.col(f"_high_{n}"))
-    mixed = lambda n, q: F.when(low(n) == high(n), low(n)).otherwise((F.ceil(place(q)) - place(q)) * low(n) + (place(q) - F.floor(place(q))) * high(n))
-    return stats.select(*keys, "_n", *(mixed(n, q).alias(n) for n, q in at.items()))
+    low, high = (lambda name: F.col(f"_low_{name}")), (lambda name: F.col(f"_high_{name}"))
+    above = lambda q: place(q, n) - F.floor(place(q, n))
+    mixed = lambda name, q: F.when(low(name) == high(name), low(name)).otherwise((F.ceil(place(q, n)) - place(q, n)) * low(name) + above(q) * high(name))
+    return stats.select(*keys, "_n", *(mixed(name, q).alias(name) for name, q in at.items()))
 
 
 def iv_levels(source: DataFrame) -> DataFrame:
@@ -63,7 +79,8 @@ def iv_levels(source: DataFrame) -> DataFrame:
     order = F.when(iv.isNotNull() & F.col("strike_distance_pct").isNotNull() & F.col("expiration_date").isNotNull(), F.struct("expiration_date", "strike_distance_pct", "option_type", "strike", "contract_symbol"))
     rows = source.select(*keys, iv.alias("_iv"), order.alias("_order"))
     found = quantiles(rows, keys, "_iv", {"_p30": 0.3, "_p70": 0.7, "_p50": 0.5})
-    near = rows.groupBy(*keys).agg(F.min_by("_iv", "_order").alias("_near"))
+    # next to a collected set, which is of nothing, Spark hashes the groups; alone, the struct makes it sort all rows
+    near = rows.groupBy(*keys).agg(F.min_by("_iv", "_order").alias("_near"), F.collect_set(F.lit(None).cast("boolean")).alias("_none")).where(F.size("_none") == 0).drop("_none")
     both = found.unionByName(near, allowMissingColumns=True).groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("_n", "_p30", "_p70", "_p50", "_near")))
     stats = both.withColumn("_iv", F.coalesce("_near", "_p50"))
     level = F.when(F.col("_n") < 5, "UNKNOWN").when(F.col("_iv") >= F.col("_p70"), "HIGH").when(F.col("_iv") <= F.col("_p30"), "LOW").otherwise("NEUTRAL")
@@ -103,9 +120,9 @@ def with_strike_increment(chain: DataFrame, source: DataFrame | None = None) ->
     return attach(chain, strike_increments(chain if source is None else source), SIDE)
 
 
-def theta_quartiles(source: DataFrame) -> DataFrame:
+def theta_quartiles(source: DataFrame, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """snapshot_date, underlying_symbol, option_type, _p25: first quartile of theta efficiency."""
-    return quantiles(source, SIDE, "theta_efficiency", {"_p25": 0.25}).drop("_n")
+    return quantiles(source, SIDE, "theta_efficiency", {"_p25": 0.25}, store).drop("_n")
 
 
 def with_theta_below_p25(chain: DataFrame, source: DataFrame | None = None) -> DataFrame:
@@ -137,12 +154,12 @@ def with_expected_move(chain: DataFrame, source: DataFrame | None = None) -> Dat
 
 
 def with_all(chain: DataFrame, source: DataFrame, kept: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Levels, terms and increments of `source`, quartiles and moves of `kept`, attached with one join for each set of keys.
+    """Levels, terms and increments of `source`, quartiles (`_p25`, for BELOW_P25) and moves of `kept`, attached with one join for each set of keys.
 
     All statistics are one table, which `store` writes and reads again: only then does Spark know their size, and sends them to the rows where they are small instead
-    of shuffling the rows.
+    of shuffling the rows. They belong on rows that have few columns yet: Spark makes no common method of a join of more than a hundred, and copies the row in each.
     """
-    found = [iv_levels(source), iv_terms(source), strike_increments(source), theta_quartiles(kept), expected_moves(kept)]
+    found = [iv_levels(source), iv_terms(source), strike_increments(source), theta_quartiles(kept, store), expected_moves(kept)]
     first, *rest = (x.withColumn("_kind", F.lit(k)) for k, x in enumerate(found))
     for x in rest:
         first = first.unionByName(x, allowMissingColumns=True)
@@ -150,8 +167,11 @@ def with_all(chain: DataFrame, source: DataFrame, kept: DataFrame, store: Callab
     for keys, kinds in ((UNDERLYING, (0, 1)), (SIDE, (2, 3)), (EXPIRATION, (4,))):
         values = [c for k in kinds for c in found[k].columns if c not in keys]
         chain = attach(chain, table.where(F.col("_kind").isin(*kinds)).groupBy(*keys).agg(*(F.max(c).alias(c) for c in values)), keys)
-    below = F.col("theta_efficiency") < F.col("_p25")
-    return chain.withColumns({"theta_efficiency_below_p25": below, "iv_state_term": F.coalesce("iv_state_term", F.lit("UNKNOWN"))}).drop("_p25")
+    return chain.withColumn("iv_state_term", F.coalesce("iv_state_term", F.lit("UNKNOWN")))
+
+
+#: The row column that reads an attached quartile.
+BELOW_P25: Definitions = {"theta_efficiency_below_p25": lambda c, p: f"{c.theta_efficiency} < {c._p25}"}
 
 
 def with_roll_yield(chain: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.functions import graph
+from strikeline.functions.mathx import apart
 from strikeline.functions.shared import stored
 from strikeline.operators import filters, greeks, groups, pricing, quotes, screens
 from strikeline.params import Params
@@ -62,11 +63,11 @@ def full_chain(chain: DataFrame, params: Params, positions: DataFrame | None = N
     """Row columns, then statistics of the unfiltered chain, then filters, then statistics of what they leave.
 
     The columns that statistics need are computed once and stored; every statistic reads that narrow table. The chain is read once more for its rows, which are filtered
-    before all their columns are computed.
+    and get their statistics before all their columns are computed: filters and joins move narrow rows only.
     """
     if positions is not None:
         positions = stored(positions)  # of a known size, and parsed once
     every = stored(with_flag(chain, params, positions, STATISTICS))
     rows = with_flag(chain, params, positions, chain.columns).where("_kept").drop("_kept")
-    out = enrich_rows(rows, params, settled=False, packed=True)
-    return groups.with_all(out, every, every.where("_kept"), stored)
+    rows = groups.with_all(apart(rows), every, every.where("_kept"), stored)
+    return graph.build(rows, ROW_COLUMNS | groups.BELOW_P25, params, packed=True).drop("_p25")

@@ -398,3 +398,21 @@ def test_a_first_batch_of_empty_files_has_a_ledger_row(spark, tmp_path):
     none.write.parquet(str(tmp_path / "in"))
     enrichment.write_batch(spark.read.parquet(str(tmp_path / "in")), 0, Params(), str(tmp_path / "out"), str(tmp_path / "ledger"))
     assert [r.row_count for r in spark.read.parquet(str(tmp_path / "ledger")).collect()] == [0]
+
+
+def test_quantiles_of_stored_rows_shuffle_few_of_them(spark):
+    """Only rows of the buckets that hold a wanted place are ranked; a group without values keeps its row."""
+    values = [(k * 7919 % 10007) / 100.0 for k in range(10007)]
+    rows = [("a", v) for v in values] + [("b", 1.5), ("b", None), ("b", -2.0), ("c", None), ("d", 0.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    sent = []
+
+    def store(buckets):
+        sent.append(buckets.count())
+        return buckets
+
+    at = {"m": 0.5, "q": 0.3, "e": 0.999}
+    got = {r.g: tuple(r) for r in groups.quantiles(df, ["g"], "v", at, store).collect()}
+    assert got == {r.g: tuple(r) for r in groups.quantiles(df, ["g"], "v", at).collect()}
+    assert got["a"][:3] == ("a", 10007, 50.03) and got["b"][:3] == ("b", 2, -0.25) and got["c"] == ("c", 0, None, None, None) and got["d"] == ("d", 1, 0.0, 0.0, 0.0)
+    assert len(sent) == 1 and sent[0] <= 10

@@ -56,6 +56,13 @@ def test_rows_are_not_shuffled_for_small_statistics(static):
     assert plan.count("BroadcastHashJoin") == 5 and "SortMergeJoin" not in plan  # part, positions, and three sets of keys
 
 
+def test_statistics_join_narrow_rows(static):
+    """Joins of more than a hundred columns are in no generated method, and took most of the export's time."""
+    plan = physical(QUERIES["export_conform"](static, SF)).toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert len(joins) == 5 and all(re.search(r"\*\(\d+\) BroadcastHashJoin", line) for line in joins)
+
+
 def test_bucketed_snapshots_are_grouped_without_an_exchange(static):
     from strikeline.operators import export
     from strikeline.plans import tables
