@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,20 +47,39 @@ def retention_candidates(ledger: DataFrame, keep: int) -> DataFrame:
 
 #: Their texts are ASCII, so the length is that in bytes, which needs no pass over the text.
 _ASCII = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Lengths of all such texts but those of decimals, with the colon: taken from here, none is made anew for each value.
+_LENGTHS = f"array({', '.join(f"'{n}:'" for n in range(32))})"
 
 
 def _text(field: T.StructField) -> list[str]:
     """Length, colon and value, or - for a missing one: parts of one flat concat, which copies each value once."""
-    text, length = f"CAST(`{field.name}` AS STRING)", "octet_length" if isinstance(field.dataType, _ASCII) else "char_length"
-    return [f"coalesce(CAST({length}({text}) AS STRING), '-')", f"IF(`{field.name}` IS NULL, '', ':')", f"coalesce({text}, '')"]
+    name, kind = f"`{field.name}`", field.dataType
+    text = f"CASE WHEN {name} THEN 'true' WHEN NOT {name} THEN 'false' END" if isinstance(kind, T.BooleanType) else f"CAST({name} AS STRING)"
+    if isinstance(kind, _ASCII) and not isinstance(kind, T.DecimalType):
+        return [f"coalesce(get({_LENGTHS}, octet_length({text})), '-')", f"coalesce({text}, '')"]
+    length = "octet_length" if isinstance(kind, _ASCII) else "char_length"
+    return [f"coalesce(CAST({length}({text}) AS STRING), '-')", f"IF({name} IS NULL, '', ':')", f"coalesce({text}, '')"]
+
+
+def row_hash(schema: T.StructType) -> Column:
+    """SHA-256 of a row's text, which has the length of each value before it, and - for a missing one."""
+    return F.expr(f"sha2(concat({', '.join(x for f in schema.fields for x in _text(f))}), 256)")
+
+
+def hash_totals(h: Column) -> list[Column]:
+    """Row count and content hash, as aggregates of the hash of each row. A part is added up in three pieces of 20 bits, as whole numbers, exactly for 2^43 rows."""
+    sums = []
+    for k in (1, 16):
+        part = F.conv(F.substring(h, k, 15), 16, 10).cast("bigint")
+        pieces = (F.coalesce(F.sum(F.shiftright(part, n).bitwiseAND(F.lit((1 << 20) - 1))), F.lit(0)).cast("decimal(19,0)") * F.lit(1 << n).cast("decimal(13,0)") for n in (40, 20, 0))
+        sums.append(sum(pieces, F.lit(0)).cast("string"))
+    return [F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("content_hash")]
 
 
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and a hash of the multiset of rows: sums of two 60-bit parts of each row's SHA-256. It does not depend on the order of rows or partitions, and rows that
-    stand twice do not cancel. A row's text has the length of each value before it, and - for a missing one."""
-    hashed = df.selectExpr(f"sha2(concat({', '.join(x for f in df.schema.fields for x in _text(f))}), 256) AS h")
-    sums = [F.coalesce(F.sum(F.conv(F.substring("h", k, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in (1, 16)]
-    return hashed.agg(F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("content_hash"))
+    stand twice do not cancel."""
+    return df.select(row_hash(df.schema).alias("h")).agg(*hash_totals(F.col("h")))
 
 
 def check_snapshot(df: DataFrame, entry: DataFrame, schema_version: int) -> DataFrame:

@@ -11,6 +11,8 @@ from strikeline.sources import vendors
 from strikeline.streaming import enrichment
 
 PARAMS = Params()
+#: Bytes of a row group of landed quotes, which is what one task of a batch reads at least.
+ROW_GROUP = 4 << 20
 _SCORED = "contract_symbol risk_level final_score theta_efficiency"
 _NEWEST = "option_quote_time DESC, bid DESC NULLS LAST, ask DESC NULLS LAST"
 
@@ -22,7 +24,7 @@ def register(query, shown) -> None:
     def stream_enrichment(spark, sf):
         """Row columns of landed quotes, written batch by batch with a ledger."""
         folder = new_folder(spark)
-        tables.chain(spark, sf).write.parquet(f"{folder}/in")
+        tables.chain(spark, sf).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/in")
         quotes = enrichment.read_quotes(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, 4)
         enrichment.enrich_with_ledger(quotes, PARAMS, f"{folder}/out", f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
         return shown(spark.read.parquet(f"{folder}/out"), _SCORED)

@@ -416,3 +416,34 @@ def test_quantiles_of_stored_rows_shuffle_few_of_them(spark):
     assert got == {r.g: tuple(r) for r in groups.quantiles(df, ["g"], "v", at).collect()}
     assert got["a"][:3] == ("a", 10007, 50.03) and got["b"][:3] == ("b", 2, -0.25) and got["c"] == ("c", 0, None, None, None) and got["d"] == ("d", 1, 0.0, 0.0, 0.0)
     assert len(sent) == 1 and sent[0] <= 10
+
+
+def test_a_batch_of_one_file_is_written_by_all_cores_and_hashed_as_it_is_stored(spark, tmp_path):
+    """Rows of few dates go below them as they come, those of more are sorted; either way the ledger's hash is that of the stored rows, in which missing dates count."""
+    from strikeline.plans import tables
+    from strikeline.streaming import enrichment
+
+    chain = tables.chain(spark, "/root/testdata/sf0.001")
+    for batch, date in enumerate(("IF(_line = 3, NULL, snapshot_date)", "IF(_line = 3, NULL, date_add(snapshot_date, _line))")):
+        path, out, book = (str(tmp_path / f"{x}{batch}") for x in ("in", "out", "ledger"))
+        chain.withColumn("snapshot_date", F.expr(date)).coalesce(1).write.parquet(path)
+        enrichment.write_batch(spark.read.parquet(path), batch, Params(), out, book)
+        stored = spark.read.parquet(out).drop("batch_id")
+        entry = spark.read.parquet(book).first()
+        assert entry[:2] == ledger.content_hash(stored).first()[:] and entry.row_count == chain.count()
+        assert (entry.first_date, entry.last_date, entry.batch_id) == (*stored.agg(F.min("snapshot_date"), F.max("snapshot_date")).first(), batch)
+        assert len({f.name.split("-")[1] for f in (tmp_path / f"out{batch}").rglob("part-*.parquet")}) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_landed_quotes_have_small_row_groups(spark, tmp_path, monkeypatch):
+    """A batch of few files is read by all cores, each of which gets row groups of its own."""
+    import pyarrow.parquet as pq
+
+    from strikeline.plans import streams
+    from strikeline.plans.queries import QUERIES
+
+    monkeypatch.setattr(streams, "new_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(streams, "ROW_GROUP", 20_000)
+    assert QUERIES["stream_enrichment"](spark, "/root/testdata/sf0.001").count() > 0
+    assert any(pq.ParquetFile(f).num_row_groups > 1 for f in (tmp_path / "in").glob("part-*.parquet"))
